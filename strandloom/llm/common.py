@@ -3,9 +3,12 @@ broadcasts and prefix sums that never put a whole key into one task."""
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +22,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once, so that workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_strandloom_sent"):
+        root = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as d:
+            name = f"{d}/strandloom.zip"
+            with zipfile.ZipFile(name, "w") as z:
+                for f in sorted(root.rglob("*.py")):
+                    z.write(f, f.relative_to(root.parent))
+            sc.addPyFile(shutil.copy(name, f"{sc._temp_dir}/strandloom.zip"))
+        sc._strandloom_sent = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only in local mode."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -79,6 +96,7 @@ def mapped(df: DataFrame, keep: list[str], value: str, fields: list[StructField]
     Rows go through Python in Arrow batches, without a shuffle.  value may be one of keep;
     columns travel under numbers, so that no name can clash.
     """
+    ship(df.sparkSession)
     names = [f"_c{i}" for i in range(len(keep))]
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], *([] if value in keep else [F.col(f"`{value}`").alias("_value")]))
     at = keep.index(value) if value in keep else len(keep)

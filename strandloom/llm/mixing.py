@@ -134,5 +134,5 @@ def mix_documents(docs: DataFrame, *, text: str = "text", n_chars: str = "n_char
     short = F.expr("regexp_extract(_row[TEXT], concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){', _words, '}+'), 0)".replace("TEXT", repr(text)))
     value = F.when(F.col("_words") < F.col("_size"), short).otherwise(F.col("_row")[text])
     copies = copies.withColumn("_text", value)
-    new = {text: F.col("_text"), n_chars: F.when(F.col("_words") < F.col("_size"), F.length("_text").cast("long")).otherwise(F.col("_row")[n_chars] if n_chars in docs.columns else F.lit(None))}
+    new = {text: F.col("_text"), n_chars: F.when(F.col("_words") < F.col("_size"), F.length("_text").cast("long")).otherwise(F.col("_row")[n_chars]) if n_chars in docs.columns else None}
     return copies.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
