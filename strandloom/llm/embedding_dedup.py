@@ -6,7 +6,7 @@ points of a table together are the cell.  A vector also belongs to the ``probes`
 that come next: those with one block moved to a neighbouring lattice point, nearest first.
 Vectors with the same label that share a cell are tested by cosine in double precision.
 
-Buckets are tested leader first (see linking).  When the components are known, all links
+Buckets are tested leader first, then in blocks (see linking).  When the components are known, all links
 lie inside them, and each component is counted in blocks of ``block`` vectors a side:
 every pair once, no pair emitted.
 
@@ -21,7 +21,6 @@ component id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations, product
 
 import numpy as np
@@ -98,6 +97,10 @@ def _units(rows: list[bytes]) -> np.ndarray:
     return a / np.sqrt((a * a).sum(axis=1))[:, None]
 
 
+def _ready(payload: bytes) -> tuple[bytes, np.ndarray]:
+    return payload[:32], _units([payload[32:]])[0]  # the label's hash goes first
+
+
 def _cells(dim_args: tuple):
     def make(values):
         ready: dict[int, Lattice] = {}
@@ -125,26 +128,6 @@ def _lattice(*args) -> Lattice:
     return _lattices[args]
 
 
-def _close(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                xs, ys = part.column(2).to_pylist(), part.column(3).to_pylist()
-                same = np.array([len(x) == len(y) for x, y in zip(xs, ys)])
-                good = np.zeros(len(xs), bool)
-                for n in {len(x) for x in xs}:
-                    at = [j for j, x in enumerate(xs) if len(x) == n and same[j]]
-                    if at:
-                        good[at] = (_units([xs[j] for j in at]) * _units([ys[j] for j in at])).sum(1) >= threshold
-                keep.append(good)
-            mask = pa.array(np.concatenate(keep) if keep else [], pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:2]], names=["_a", "_b"])
-
-    return run
-
-
 def _counted(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """Links of each class in a bin of block pairs, copies of the partner counted."""
@@ -187,13 +170,10 @@ def embedding_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str
     cells = mapped(classes, ["_id", "_label"], "_vector", [StructField("_cells", ArrayType(LongType()))], _cells((tables, blocks, probes, scale)))
     members = cells.select("_id", F.lit(0).alias("_n"), F.explode("_cells").alias("_cell"), "_label").select("_id", "_n", F.xxhash64("_cell", "_label").alias("_bucket"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        by = classes.select("_id", "_label", "_vector")
-        both = pairs.join(by.select(F.col("_id").alias("_a"), F.col("_label").alias("_la"), F.col("_vector").alias("_x")), "_a")
-        both = both.join(by.select(F.col("_id").alias("_b"), F.col("_label").alias("_lb"), F.col("_vector").alias("_y")), "_b").where("_la = _lb")
-        return both.select("_a", "_b", "_x", "_y").mapInArrow(_close(threshold), pairs.schema).distinct()
+    def payload(ids: DataFrame) -> DataFrame:
+        return classes.join(small(written(ids, "wanted")), "_id", "left_semi").select("_id", F.concat(F.unhex(F.sha2(F.col("_label").cast("string"), 256)), "_vector").alias("_payload"))
 
-    labels = linked_components(members, verify)
+    labels = linked_components(members, payload, _ready, lambda x, y: x[0] == y[0] and len(x[1]) == len(y[1]) and float(x[1] @ y[1]) >= threshold)
     inside = classes.join(labels, "_id")
     sizes = inside.groupBy("_comp").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
     inside = inside.join(small(written(sizes, "sizes")), "_comp").withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))

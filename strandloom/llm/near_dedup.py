@@ -10,16 +10,15 @@ bit-parallel): m aligned k-mers of a and b give the similarity m / (a + b - m),
 the Jaccard similarity for k-mers in equal order.  Links have at least ``threshold``.
 
 Texts with equal words are one class and are represented by their smallest id.  Buckets
-are tested leader first (see linking), so a bucket of thousands does not give all pairs.
+are tested leader first, then in blocks (see linking); no bucket gives all its pairs.
 
 Defined results: texts of fewer than five words are one k-mer; null and empty texts are one
 class without words, linked with nothing else.  Rows with a null id are alone.  Rows with
-equal ids are one document: it belongs to the groups of all its texts.
+equal ids are one document, compared by one of their texts, and stay or go together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -144,16 +143,18 @@ def _sketch(sketches: int, order: int, k: int):
     return make
 
 
-def _verified(k: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint32) for z in (x, y))
-                keep.append(aligned(shingles(x, k), shingles(y, k), threshold) > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["_a", "_b"])
+class Shingled:
+    """K-mers of a text in order, and as a set with the number of repeats."""
 
-    return run
+    def __init__(self, codes: bytes, k: int):
+        self.all = shingles(np.frombuffer(codes, np.uint32), k)
+        self.set = set(self.all.tolist())
+
+    def near(self, other: Shingled, threshold: float) -> bool:
+        a, b = len(self.all), len(other.all)
+        # common k-mers bound the alignment
+        m = len(self.set & other.set) + a - len(self.set)
+        return m >= threshold * (a + b - m) - 1e-9 and aligned(self.all, other.all, threshold) > 0
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int = K, threshold: float = 0.8, sketches: int = 16, order: int = 3) -> DataFrame:
@@ -165,17 +166,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = written(classes.select("_key", "_r.*"), "classes")
     members = classes.select("_id", "_n", F.explode("_sketch").alias("_bucket"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        ids = written(pairs.select(F.col("_a").alias("_id")).union(pairs.select("_b")).distinct(), "wanted")
-        wanted = F.broadcast(ids) if plan_bytes(ids) <= BROADCAST_BYTES else ids
-        texts = base.join(wanted, "_id", "left_semi")
-        codes = mapped(texts, ["_id"], "_text", [StructField("_codes", BinaryType())], lambda xs: (pa.array([word_codes(x).tobytes() for x in xs], pa.binary()),))
-        codes = written(codes, "codes")
-        both = pairs.join(codes.select(F.col("_id").alias("_a"), F.col("_codes").alias("_x")), "_a").join(codes.select(F.col("_id").alias("_b"), F.col("_codes").alias("_y")), "_b")
-        return both.select("_a", "_b", "_x", "_y").mapInArrow(_verified(k, threshold), pairs.schema).distinct()
-
-    labels = linked_components(members, verify, lambda n, m: F.least(n, m) >= threshold * F.greatest(n, m))
+    def payload(ids: DataFrame) -> DataFrame:
+        ids = written(ids, "wanted")
+        texts = base.join(F.broadcast(ids) if plan_bytes(ids) <= BROADCAST_BYTES else ids, "_id", "left_semi")
+        return mapped(texts, ["_id"], "_text", [StructField("_payload", BinaryType())], lambda xs: (pa.array([word_codes(x).tobytes() for x in xs], pa.binary()),)).dropDuplicates(["_id"])
+
+    labels = linked_components(members, payload, lambda x: Shingled(x, k), lambda x, y: x.near(y, threshold), lambda n, m: F.least(n, m) >= threshold * F.greatest(n, m))
     of = classes.select("_key", F.col("_id").alias("_class")).join(labels.withColumnRenamed("_id", "_class"), "_class", "left")
     of = of.select("_key", "_class", F.coalesce("_comp", "_class").alias("_group"))
     out = rows.select("_id", "_key").join(written(of, "groups"), "_key", "left")
