@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup
+from . import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, substring_dedup, token_counts, token_output
 from .common import ship
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
@@ -47,6 +51,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.write_training_order(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -56,7 +68,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op4_byte_bpe, op5_minhash_near_dedup, op6_exact_dedup, op9_language_id, op10_embedding_near_dedup)}
+    named = {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_token_counts, op4_byte_bpe, op5_minhash_near_dedup, op6_exact_dedup, op7_substring_dedup, op8_token_output, op9_language_id, op10_embedding_near_dedup)}
     return {**named, "pipeline": corpus_pipeline.run}
 
 
