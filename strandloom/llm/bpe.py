@@ -76,8 +76,8 @@ class RankQueue:
 class ByteBPE:
     """A tokenizer from ranks (bytes to id) and a pattern of pieces."""
 
-    #: Entries of the cache, and bytes of unknown pieces that are merged together.
-    CACHE, TOGETHER = 300_000, 1 << 19
+    #: Entries of a generation of the cache (the older of two goes when the younger is full), and bytes of unknown pieces that are merged together.
+    CACHE, TOGETHER = 150_000, 1 << 19
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
@@ -92,6 +92,7 @@ class ByteBPE:
                 if a is not None and b is not None:
                     self.pairs[a * self.size + b] = rank
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -185,9 +186,11 @@ class ByteBPE:
 
     def _encode(self, group: list[list[str]]) -> Iterator[list[int]]:
         if len(self.cache) > self.CACHE:
-            self.cache.clear()
+            self.cache, self.old = {}, self.cache
         if unknown := set(chain.from_iterable(group)).difference(self.cache):
-            self.learn(unknown)
+            again = unknown & self.old.keys()
+            self.cache.update((p, self.old[p]) for p in again)
+            self.learn(unknown - again)
         get = self.cache.__getitem__
         for pieces in group:
             yield list(chain.from_iterable(map(get, pieces)))

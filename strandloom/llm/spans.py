@@ -8,19 +8,28 @@ cache of bounded size; a text with other white space next to a space is encoded
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import tiktoken
 
 
 class _Chunks(dict):
+    """Ids of chunks; of the two generations the older goes when the younger is full, so that common chunks stay."""
+
+    GENERATION = 200_000
+
     def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.old = encode, lead, {}
 
     def __missing__(self, chunk: str) -> bytes | None:
-        out = None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.encode(self.lead + chunk)
-        if len(self) > 400_000:
+        if len(self) > self.GENERATION:
+            self.old = dict(self)
             self.clear()
+        if chunk in self.old:
+            out = self.old[chunk]
+        else:
+            out = None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.encode(self.lead + chunk)
         self[chunk] = out
         return out
 
@@ -30,6 +39,7 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"  # little-endian machines
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for b, i in ranks.items():
             self.lengths[i] = len(b)
@@ -37,7 +47,7 @@ class Encoder:
         self.first, self.rest = _Chunks(self._bytes, ""), _Chunks(self._bytes, " ")
 
     def _bytes(self, text: str) -> bytes:
-        return np.array(self.whole(text), self.dtype).tobytes()
+        return array(self.code, self.whole(text)).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text as little-endian integers."""
