@@ -23,8 +23,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once, so that workers can import it wherever they run."""
+    """Sends this package to the executors, once, so that workers can import it wherever they run.
+
+    Also makes Arrow batches smaller than the default, since rows hold whole texts.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     if not hasattr(sc, "_strandloom_sent"):
         root = Path(__file__).resolve().parents[1]
         with tempfile.TemporaryDirectory() as d:
