@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, power_of_two, written
+from .common import BROADCAST_BYTES, SPACE, plan_bytes, power_of_two, small, written
 
 #: Rows of Spark's bitmaps hold so many bits.
 PIECE = 1 << 15
@@ -56,9 +56,13 @@ def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def refined(docs: DataFrame, text: str, *keep: Column, prefix_chars: int = 64, max_bits: int = 1 << 27, digest_all: bool = False) -> DataFrame:
+def surviving_keys(docs: DataFrame, text: str, prefix_chars: int = 64) -> DataFrame:
+    return written(_survivors(docs, text, prefix_chars), "survivors")
+
+
+def refined(docs: DataFrame, text: str, *keep: Column, keys: DataFrame | None = None, prefix_chars: int = 64, max_bits: int = 1 << 27, digest_all: bool = False) -> DataFrame:
     """keep columns, _len, _prefix, _maybe (its group survived) and _sha (null unless it did, or digest_all)."""
-    keys = written(_survivors(docs, text, prefix_chars), "survivors")
+    keys = surviving_keys(docs, text, prefix_chars) if keys is None else keys
     bits = power_of_two(16 * keys.count(), PIECE, max_bits)
     at = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(bits))
     byte = F.substring(F.col("_bits"), F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))
@@ -96,10 +100,29 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
 
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, whole, that stay.  Only rows that may have a copy are shuffled."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = refined(docs, text, row.alias("_row"))
-    rest = rows.where("_maybe").groupBy("_len", "_prefix", "_sha").agg(
-        F.min_by("_row", F.struct(F.col("_row")[doc_id].isNull(), F.col("_row")[doc_id], F.to_json("_row"))).alias("_row")
-    )
-    return rows.where("not _maybe").select("_row").unionByName(rest.select("_row")).select("_row.*")
+    """The rows of docs, whole, that stay.
+
+    Groups are settled on digests; the ids and digests of rows that go are broadcast while
+    they are few, so that no text is shuffled.  Beyond that only rows that may have a copy
+    are.  Of rows with the same id and equal texts the one with the first JSON stays.
+    """
+    keys = surviving_keys(docs, text)
+    digests = refined(docs, text, F.col(doc_id).alias("_id"), keys=keys).where("_maybe").select("_id", "_sha")
+    digests = written(digests.groupBy("_sha", "_id").agg(F.count("*").alias("_n")), "digests")
+    # null ids come last: min() skips them
+    groups = digests.groupBy("_sha").agg(F.min("_id").alias("_keep"), F.sum("_n").alias("_size")).where("_size > 1")
+    groups = digests.join(groups.select("_sha", "_keep"), "_sha").withColumn("_stays", F.col("_id").eqNullSafe(F.col("_keep")))
+    # rows that go, and those that stay but are repeated, so that one of them has to be chosen
+    met = written(groups.where("not _stays or _n > 1").select(F.col("_id").alias("_out"), F.col("_sha").alias("_of"), "_stays"), "copies")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = refined(docs, text, row, F.col(doc_id).alias("_id"), keys=keys)
+    on = F.col("_id").eqNullSafe(F.col("_out")) & (F.col("_sha") == F.col("_of"))
+    if plan_bytes(met) <= BROADCAST_BYTES:
+        left = rows.join(F.broadcast(met), on, "left_anti").select("_row")
+    else:
+        left = rows.where("not _maybe").select("_row").union(rows.where("_maybe").join(met, on, "left_anti").select("_row"))
+    twins = met.where("_stays")
+    if twins.isEmpty():
+        return left.select("_row.*")
+    chosen = rows.where("_maybe").join(small(twins), on).groupBy("_id", "_sha").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return left.union(chosen.select("_row")).select("_row.*")
