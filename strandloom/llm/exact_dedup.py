@@ -88,6 +88,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     rest = rows.where("_maybe")
     same = rest.groupBy("_len", "_prefix", "_sha", "_id").agg(F.count("*").alias("_n"))
     groups = rest.groupBy("_len", "_prefix", "_sha").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size"))
+    # written, so that a group with many rows is met by a broadcast or by a join that Spark can split
+    same, groups = written(same, "same"), small(written(groups, "sizes"))
     multi = (
         same.join(groups, ["_len", "_prefix", "_sha"])
         .select("*", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
@@ -111,7 +113,9 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     digests = written(digests.groupBy("_sha", "_id").agg(F.count("*").alias("_n")), "digests")
     # null ids come last: min() skips them
     groups = digests.groupBy("_sha").agg(F.min("_id").alias("_keep"), F.sum("_n").alias("_size")).where("_size > 1")
-    groups = digests.join(groups.select("_sha", "_keep"), "_sha").withColumn("_stays", F.col("_id").eqNullSafe(F.col("_keep")))
+    # written, so that a group with many ids is met by a broadcast or by a join that Spark can split
+    groups = small(written(groups.select("_sha", "_keep"), "keepers"))
+    groups = digests.join(groups, "_sha").withColumn("_stays", F.col("_id").eqNullSafe(F.col("_keep")))
     # rows that go, and those that stay but are repeated, so that one of them has to be chosen
     met = written(groups.where("not _stays or _n > 1").select(F.col("_id").alias("_out"), F.col("_sha").alias("_of"), "_stays"), "copies")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
