@@ -120,7 +120,9 @@ def lines_to_drop(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     schema = StructType([*rows.schema.fields[:2], StructField("_key", StringType()), StructField("_lines", ArrayType(IntegerType()))])
     hits = written(rows.mapInArrow(_suspects(sent, bits, min_chars), schema), "suspects")
     keepers = hits.select("_key", "_id").distinct().groupBy("_key").agg(F.count("*").alias("_docs"), F.max("_id").alias("_keep")).where(F.col("_docs") >= min_docs)
-    lost = hits.join(keepers.select("_key", "_keep"), "_key").where(~F.col("_id").eqNullSafe(F.col("_keep")))
+    # written, so that a frequent key is met by a broadcast or by a join that Spark can split
+    keepers = small(written(keepers.select("_key", "_keep"), "keepers"))
+    lost = hits.join(keepers, "_key").where(~F.col("_id").eqNullSafe(F.col("_keep")))
     lost = lost.groupBy("_id", "_text_hash").agg(F.flatten(F.collect_list("_lines")).alias("_drop"))
     # rows with equal id and text gave each line more than once
     return written(lost.withColumn("_drop", F.array_distinct("_drop")), "drops")
