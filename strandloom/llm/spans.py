@@ -1,8 +1,7 @@
-"""Fast whole-text encoding to token ids in binary form, for operators that need ids and byte lengths.
+"""Whole-text encoding to token ids in binary form, for operators that need ids and byte lengths.
 
-The pattern starts a new piece at each single space between other characters, so the tokens
-of a text are those of its space-separated chunks, each with its space.  Chunks come from a
-cache of bounded size; a text with other white space next to a space is encoded in one go.
+Texts go to the library as they are.  A cache of the ids of space-separated chunks was slower
+here: where many chunks are rare it cannot hold them.
 """
 
 from __future__ import annotations
@@ -14,26 +13,6 @@ import numpy as np
 import tiktoken
 
 
-class _Chunks(dict):
-    """Ids of chunks; of the two generations the older goes when the younger is full, so that common chunks stay."""
-
-    GENERATION = 200_000
-
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead, self.old = encode, lead, {}
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        if len(self) > self.GENERATION:
-            self.old = dict(self)
-            self.clear()
-        if chunk in self.old:
-            out = self.old[chunk]
-        else:
-            out = None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.encode(self.lead + chunk)
-        self[chunk] = out
-        return out
-
-
 class Encoder:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -44,20 +23,13 @@ class Encoder:
         for b, i in ranks.items():
             self.lengths[i] = len(b)
         self.whole = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.rest = _Chunks(self._bytes, ""), _Chunks(self._bytes, " ")
-
-    def _bytes(self, text: str) -> bytes:
-        return array(self.code, self.whole(text)).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text as little-endian integers."""
-        if not text:
-            return b""
-        chunks = text.split(" ")
-        try:
-            return b"".join([self.first[chunks[0]], *map(self.rest.__getitem__, chunks[1:])])
-        except TypeError:
-            return self._bytes(text)
+        return array(self.code, self.whole(text)).tobytes() if text else b""
+
+    def count(self, text: str | None) -> int:
+        return len(self.whole(text)) if text else 0
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self(text), self.dtype)

@@ -61,7 +61,7 @@ def numbered(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, s
 
     def make(texts):
         e = encoder(path, pattern)
-        return (pa.array([-(-len(e(x)) // (e.dtype.itemsize * stride)) for x in texts], pa.int64()),)
+        return (pa.array([-(-e.count(x) // stride) for x in texts], pa.int64()),)
 
     counts = written(mapped(base, ["_id", "_h", "_t"], "_text", [StructField("_n", LongType())], make), "counts")
     # rows with equal id and text are numbered one after the other

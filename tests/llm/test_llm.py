@@ -255,7 +255,7 @@ def test_token_counts(spark, docs, library):
     assert fields.count() == 2 * docs.count() and token_counts.count_tokens(empty(spark), PATH, PATTERN).count() == 0
 
 
-def test_chunks_encode_like_the_library(texts, library):
+def test_encoder_is_like_the_library(texts, library):
     e = spans.encoder(PATH, PATTERN)
     for t in [*texts, " a  b", "a ", "x \n y", "it's 's 3rd", "  nbsp  "]:
         assert e.ids(t).tolist() == library.encode_ordinary(t or "")
