@@ -191,6 +191,27 @@ def test_repeated_passages(spark, docs, texts):
     assert substring_dedup.repeated_passages(empty(spark)).count() == 0
 
 
+def test_whole_runs_whose_parts_are_elsewhere(spark):
+    """Parts of each shared run stand in documents before its first holder, and runs of one word have other lengths."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        run = sentence(rng, rng.randint(50, 70), 5000).split()
+        cut = rng.randint(15, 35)
+        rows += [" ".join([*run[:cut], sentence(rng, 40)]), " ".join([sentence(rng, 40), *run[cut:]])]
+        rows += [" ".join([sentence(rng, rng.randint(0, 30), 5000), *run, *run[:20], sentence(rng, rng.randint(0, 30), 5000)]) for _ in range(2)]
+    rows += ["w1 w2 w3 " * 30, sentence(rng, 20) + " w1 w2 w3" * 60]
+    first, need = {}, set()
+    for i, t in enumerate(rows):
+        w = t.split()
+        need |= {(i, j) for j in range(len(w) - 49) if first.setdefault(tuple(w[j : j + 50]), i) != i}
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    assert len({i for i, _ in need}) >= 41
+    for i, j in need:
+        assert any(r["doc_id"] == i and r["start_word"] <= j and j + 50 <= r["end_word"] for r in got), (i, j)
+    assert {r["doc_id"] for r in got} == {i for i, _ in need}
+
+
 def test_chains_against_all_predecessors():
     rng = np.random.default_rng(8)
     for _ in range(50):
