@@ -212,6 +212,47 @@ def test_whole_runs_whose_parts_are_elsewhere(spark):
     assert {r["doc_id"] for r in got} == {i for i, _ in need}
 
 
+def planted(rng, n, share):
+    """Two texts of 400 words that share n words, of which share are other ones in the second, and the passage's place there."""
+    passage = sentence(rng, n, 5000).split()
+    changed = set(rng.sample(range(n), round(share * n)))
+    other = [f"x{rng.randrange(5000)}" if i in changed else w for i, w in enumerate(passage)]
+    at = [rng.randint(0, 300) for _ in range(2)]
+    return [" ".join([sentence(rng, s, 5000), *p, sentence(rng, 400 - n - s, 5000)]) for s, p in zip(at, (passage, other))], at[1]
+
+
+def test_fuzzy_passages(spark):
+    """Planted passages whose words differ here and there, up to the threshold, and in length; unrelated texts give nothing."""
+    rng = random.Random(14)
+    rows, want = [], {}
+    for n in (60, 80, 100):
+        for share in (0.1, 0.15, 0.2):
+            for _ in range(12):
+                pair, at = planted(rng, n, share)
+                rows += pair
+                want[len(rows) - 1] = (at, at + n)
+    inserted = sentence(rng, 120, 5000).split()
+    rows += [" ".join(inserted), " ".join([*inserted[:55], "new", "words", *inserted[55:80], *inserted[83:]])]
+    want[len(rows) - 1] = (0, 119)
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    held = {i for i, (s, e) in want.items() for r in got if r["doc_id"] == i and r["other_id"] == i - 1 and min(e, r["end_word"]) - max(s, r["start_word"]) >= 50}
+    assert len(held) >= 0.97 * len(want) and len(rows) - 1 in held
+    assert {r["doc_id"] for r in got} <= set(want)
+
+
+def test_parts_of_a_passage_compared_with_brute_force():
+    """A part is found if any has enough equal words and ends that pay."""
+    rng = np.random.default_rng(15)
+    for _ in range(60):
+        equal = rng.random(90) < rng.choice([0.7, 0.8, 0.9])
+        at, total = np.arange(91), np.concatenate([[0], np.cumsum(equal)])
+        pays = 2 * total - at
+        any_fits = any(total[j] - total[i] >= 0.8 * (j - i) - 1e-9 and pays[i] == pays[i : j + 1].min() and pays[j] == pays[i : j + 1].max() for i in range(91) for j in range(i + 50, 91))
+        parts = substring_dedup.similar_parts(at, at, equal, 50, 0.8)
+        assert bool(parts) == any_fits
+        assert all(j - i >= 50 and total[j] - total[i] >= 0.8 * (j - i) - 1e-9 for i, j in parts)
+
+
 def test_chains_against_all_predecessors():
     rng = np.random.default_rng(8)
     for _ in range(50):
