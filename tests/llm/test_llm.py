@@ -253,6 +253,25 @@ def test_parts_of_a_passage_compared_with_brute_force():
         assert all(j - i >= 50 and total[j] - total[i] >= 0.8 * (j - i) - 1e-9 for i, j in parts)
 
 
+@pytest.mark.parametrize("copies", [1, 12])
+def test_fuzzy_passages_whose_lines_are_elsewhere(spark, copies):
+    """No exact run of 50 words, and each line stands in other, earlier documents: once, or in more than the seed's partners."""
+    rng = random.Random(16)
+    rows, want = [], {}
+    for _ in range(20):
+        lines = [sentence(rng, 33, 5000).split() for _ in range(3)]
+        rows += [" ".join([sentence(rng, 20, 5000), *line, sentence(rng, 20, 5000)]) for line in lines for _ in range(copies)]
+        for change in (False, True):
+            passage = sum(lines, [])
+            if change:  # the first words of the second and third line
+                passage[33] = passage[66] = "changed"
+            rows.append(" ".join([sentence(rng, 30, 5000), *passage, sentence(rng, 30, 5000)]))
+        want[len(rows) - 1] = len(rows) - 2
+    got = substring_dedup.repeated_passages(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    assert want.items() <= {(r["doc_id"], r["other_id"]) for r in got if r["n_words"] >= 95}
+    assert {r["doc_id"] for r in got} == set(want)
+
+
 def test_chains_against_all_predecessors():
     rng = np.random.default_rng(8)
     for _ in range(50):
