@@ -14,7 +14,8 @@ are tested leader first, then in blocks (see linking); no bucket gives all its p
 
 Defined results: texts of fewer than five words are one k-mer; null and empty texts are one
 class without words, linked with nothing else.  Rows with a null id are alone.  Rows with
-equal ids are one document, compared by one of their texts, and stay or go together.
+equal ids and equal words stay or go together; those with equal ids and other words are
+documents of their own, of which a group keeps one.
 """
 
 from __future__ import annotations
@@ -157,31 +158,61 @@ class Shingled:
         return m >= threshold * (a + b - m) - 1e-9 and aligned(self.all, other.all, threshold) > 0
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int = K, threshold: float = 0.8, sketches: int = 16, order: int = 3) -> DataFrame:
-    """One row for each row of docs: id, class_id (smallest id with the same words), group_id (smallest id reachable by links) and kept."""
+def _labelled(docs: DataFrame, doc_id: str, text: str, k: int, threshold: float, sketches: int, order: int) -> DataFrame:
+    """One row for each row of docs: _id, _key of its words, _class, _group and _kept.
+
+    Classes are linked under a hash of their key, since texts of equal ids are different classes.
+    """
     made = [StructField("_key", BinaryType()), StructField("_n", IntegerType()), StructField("_sketch", ArrayType(LongType()))]
     base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     rows = written(mapped(base, ["_id"], "_text", made, _sketch(sketches, order, k)), "sketches")
     classes = rows.where("_id is not null").groupBy("_key").agg(F.min(F.struct("_id", "_n", "_sketch")).alias("_r"))
-    classes = written(classes.select("_key", "_r.*"), "classes")
-    members = classes.select("_id", "_n", F.explode("_sketch").alias("_bucket"))
+    classes = written(classes.select("_key", F.xxhash64("_key").alias("_c"), "_r.*"), "classes")
+    members = classes.select(F.col("_c").alias("_id"), "_n", F.explode("_sketch").alias("_bucket"))
 
     def payload(ids: DataFrame) -> DataFrame:
-        ids = written(ids, "wanted")
-        texts = base.join(F.broadcast(ids) if plan_bytes(ids) <= BROADCAST_BYTES else ids, "_id", "left_semi")
-        return mapped(texts, ["_id"], "_text", [StructField("_payload", BinaryType())], lambda xs: (pa.array([word_codes(x).tobytes() for x in xs], pa.binary()),)).dropDuplicates(["_id"])
+        wanted = written(classes.select(F.col("_c"), "_id").join(ids.select(F.col("_id").alias("_c")), "_c", "left_semi").select("_id").distinct(), "wanted")
+        texts = base.join(F.broadcast(wanted) if plan_bytes(wanted) <= BROADCAST_BYTES else wanted, "_id", "left_semi")
+
+        def codes(xs):
+            found = [word_codes(x).tobytes() for x in xs]
+            return pa.array([xxh3_128_digest(c) for c in found], pa.binary()), pa.array(found, pa.binary())
+
+        held = mapped(texts, ["_id"], "_text", [StructField("_key", BinaryType()), StructField("_payload", BinaryType())], codes)
+        return held.select(F.xxhash64("_key").alias("_id"), "_payload").dropDuplicates(["_id"])
 
     labels = linked_components(members, payload, lambda x: Shingled(x, k), lambda x, y: x.near(y, threshold), lambda n, m: F.least(n, m) >= threshold * F.greatest(n, m))
-    of = classes.select("_key", F.col("_id").alias("_class")).join(labels.withColumnRenamed("_id", "_class"), "_class", "left")
-    of = of.select("_key", "_class", F.coalesce("_comp", "_class").alias("_group"))
+    labels = written(labels.withColumnRenamed("_id", "_c").join(classes.select("_c", F.col("_id").alias("_class")), "_c"), "labels")
+    leads = labels.groupBy("_comp").agg(F.min(F.struct("_class", "_c")).alias("_lead"))
+    of = classes.select("_key", "_c", F.col("_id").alias("_class")).join(labels.join(leads, "_comp").select("_c", "_lead"), "_c", "left")
+    of = of.select("_key", "_class", F.coalesce("_lead._class", "_class").alias("_group"), F.coalesce(F.col("_lead._c") == F.col("_c"), F.lit(True)).alias("_leads"))
     out = rows.select("_id", "_key").join(written(of, "groups"), "_key", "left")
-    group = F.when(F.col("_id").isNotNull(), F.col("_group"))
-    return out.select(F.col("_id").alias(doc_id), F.when(F.col("_id").isNotNull(), F.col("_class")).alias("class_id"), group.alias("group_id"), F.col("_id").eqNullSafe(group).alias("kept"))
+    known = F.col("_id").isNotNull()
+    kept = ~known | (F.col("_id") == F.col("_group")) & F.col("_leads")
+    return out.select("_id", "_key", F.when(known, F.col("_class")).alias("_class"), F.when(known, F.col("_group")).alias("_group"), kept.alias("_kept"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int = K, threshold: float = 0.8, sketches: int = 16, order: int = 3) -> DataFrame:
+    """One row for each row of docs: id, class_id (smallest id with the same words), group_id (smallest id reachable by links) and kept."""
+    out = _labelled(docs, doc_id, text, k, threshold, sketches, order)
+    return out.select(F.col("_id").alias(doc_id), F.col("_class").alias("class_id"), F.col("_group").alias("group_id"), F.col("_kept").alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int = K, threshold: float = 0.8, sketches: int = 16, order: int = 3) -> DataFrame:
     """The rows of docs, whole, without those that are not the first of their group."""
-    gone = near_duplicates(docs, doc_id, text, **kw).where("not kept").select(F.col(doc_id).alias("_gone")).distinct()
-    gone = written(gone, "dropped")
-    gone = F.broadcast(gone) if plan_bytes(gone) <= BROADCAST_BYTES else gone
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    found = written(_labelled(docs, doc_id, text, k, threshold, sketches, order), "labelled")
+    dropped = written(found.where("not _kept").select(F.col("_id").alias("_gone"), F.col("_key").alias("_words")).distinct(), "dropped")
+
+    def small_or_not(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if plan_bytes(df) <= BROADCAST_BYTES else df
+
+    # ids of which some texts go and others stay
+    split = written(found.where("_kept and _id is not null").select("_id").join(small_or_not(dropped.select("_gone").distinct()), F.col("_id") == F.col("_gone"), "left_semi").distinct(), "split")
+    gone = dropped.select("_gone").distinct()
+    kept = docs.join(small_or_not(gone), docs[doc_id] == gone["_gone"], "left_anti")
+    if split.isEmpty():
+        return kept
+    some = docs.join(small_or_not(split), docs[doc_id] == split["_id"], "left_semi")
+    some = mapped(some, [*docs.columns], text, [StructField("__words", BinaryType())], lambda xs: (pa.array([xxh3_128_digest(word_codes(x).tobytes()) for x in xs], pa.binary()),))
+    some = some.join(small_or_not(dropped), (some[doc_id] == dropped["_gone"]) & (some["__words"] == dropped["_words"]), "left_anti")
+    return kept.unionByName(some.drop("__words"))
