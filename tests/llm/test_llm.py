@@ -161,6 +161,18 @@ def test_near_duplicates(spark, docs, texts):
     assert kept.columns == docs.columns and near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_rows_with_equal_ids(spark):
+    rng = random.Random(11)
+    one, two, three = (sentence(rng, 90) for _ in range(3))
+    near = lambda x: " ".join(w if i != 40 else "changed" for i, w in enumerate(x.split()))
+    # the rows of id 1 have other texts, each with a near copy; of id 5 one text is a copy and one is alone
+    rows = [(1, one), (1, two), (2, near(one)), (3, near(two)), (5, near(near(one)) + " end"), (5, three), (None, one)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["group_id"], r["kept"]) for r in near_dedup.near_duplicates(frame).collect()]
+    assert sorted(x for x in got if x[0]) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 1, False), (5, 5, True)]
+    assert {tuple(r) for r in near_dedup.drop_near_duplicates(frame).collect()} == {(1, one), (1, two), (5, three), (None, one)}
+
+
 def test_alignment_is_the_longest_common_subsequence():
     rng = random.Random(7)
     for _ in range(200):
