@@ -73,7 +73,7 @@ class Classifier:
         return found[0][1], 1 - found[0][0] / found[1][0] if len(found) > 1 else 1.0
 
 
-def identify(docs: DataFrame, keep: list[str], text: str, dictionaries: dict[str, bytes], min_margin: float = 0.002) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str], text: str, dictionaries: dict[str, bytes], min_margin: float = 0.02) -> DataFrame:
     """The columns keep with _lang_pred, _score and _rejected; no shuffle."""
 
     def make(texts):

@@ -1,5 +1,6 @@
 """Operators on training data against brute force on small fixtures."""
 
+import base64
 import hashlib
 import random
 import re
@@ -384,6 +385,19 @@ def test_language_id(spark):
     assert language_id.keep_identified(empty(spark)).count() == 0
 
 
+def test_texts_in_no_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng, letters = random.Random(1), "abcdefghijklmnopqrstuvwxyz"
+    junk = ["".join(rng.choice(letters + " ") for _ in range(rng.randint(20, 600))) for _ in range(200)]
+    junk += [" ".join(str(rng.randrange(10 ** rng.randint(1, 8))) for _ in range(rng.randint(5, 80))) + " x" for _ in range(200)]
+    junk += [base64.b64encode(rng.randbytes(rng.randint(20, 400))).decode() for _ in range(200)]
+    learned = language_id.learn(docs)
+    found = language_id.identify(spark.createDataFrame(list(enumerate(junk)), "id int, text string"), ["id"], "text", learned)
+    assert found.where("not _rejected").count() <= 0.03 * len(junk)
+    right = language_id.identify(docs, ["lang"], "text", learned).where("lang = _lang_pred")
+    assert right.where("not _rejected").count() >= 0.99 * right.count()
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     folder = "/root/testdata/sf0.001"
