@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -416,3 +417,110 @@ def test_pipeline(spark, docs, texts):
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "encode"]
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_pipeline_stages_compared_with_plain_python(spark, library):
+    import corpus_pipeline as P
+
+    rng = random.Random(21)
+    base = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 2500").collect() if r["text"]]
+    columns = list(base[0].asDict())
+    rows = [tuple(r) for r in base]
+    at = {c: columns.index(c) for c in columns}
+
+    def add(n, doc_id, text):
+        row = list(rows[n])
+        row[at["doc_id"]], row[at["text"]] = doc_id, text
+        rows.append(tuple(row))
+
+    long = [i for i, r in enumerate(base) if len(r["text"].split()) >= 80]
+    for j, i in enumerate(long[:6]):
+        w = base[i]["text"].split()
+        add(i, 900_000 + j, base[i]["text"].replace(" ", "\n", 1))
+        w[30] = "changed"
+        add(i, 910_000 + j, " ".join(w))
+        # at and under the threshold
+        for n in (4, 12):
+            v = list(w)
+            for p in rng.sample(range(len(v)), n):
+                v[p] = f"other{p}"
+            add(i, 920_000 + 100 * n + j, " ".join(v))
+    for j, x in enumerate((None, "", "12 !?", " ")):
+        add(0, 930_000 + j, x)
+    docs = spark.createDataFrame(rows, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").schema)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+
+    def told(inputs, _):
+        sizes, want = language_id.Classifier(language_id.learn(docs)), []
+        for r in inputs:
+            if any(map(str.isalpha, r["text"] or "")):
+                (best, lang), (other, _) = sorted(zip(sizes.sizes(r["text"].lower().encode()), sizes.langs))[:2]
+                if 1 - best / other >= 0.02:
+                    want.append((r["doc_id"], r["text"], lang))
+        return want
+
+    def smallest(groups):
+        return [(r["doc_id"], r["text"], r["lang"]) for g in groups for r in [min(g, key=lambda r: r["doc_id"])]]
+
+    def exact(inputs, _):
+        groups = {}
+        for r in inputs:
+            groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"]), []).append(r)
+        return smallest(groups.values())
+
+    def near(inputs, _):
+        seqs = []
+        for r in inputs:
+            w = r["text"].encode().lower().split()
+            seqs.append([tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))])
+        bags, group = [Counter(s) for s in seqs], list(range(len(seqs)))
+        for i, a in enumerate(seqs):
+            for j in range(i):
+                b, bound = seqs[j], (bags[i] & bags[j]).total()
+                if not bound or bound < 0.8 * (len(a) + len(b) - bound):
+                    continue
+                line = [0] * (len(b) + 1)
+                for x in a:
+                    new = [0]
+                    for k, y in enumerate(b):
+                        new.append(line[k] + 1 if x == y else max(line[k + 1], new[k]))
+                    line = new
+                if line[-1] >= 0.8 * (len(a) + len(b) - line[-1]) - 1e-9:
+                    group = [group[j] if g == group[i] else g for g in group]
+        return smallest([[r for r, g in zip(inputs, group) if g == x] for x in set(group)])
+
+    def mixed(inputs, out):
+        by = {}
+        for r in inputs:
+            by[r["source"]] = by.get(r["source"], 0) + size(r["text"])
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(by, key=lambda s: (s is None, s or "")))}
+        open_ = set(by)
+        while True:
+            rest = 1.5 * sum(by.values()) - sum(2 * by[s] for s in by if s not in open_)
+            over = {s for s in open_ if rest * weight[s] / sum(weight[x] for x in open_) > 2 * by[s]}
+            if not over:
+                break
+            open_ -= over
+        given, text_of = Counter(), {r["doc_id"]: r["text"] for r in inputs}
+        for r in out:
+            given[r["source"]] += size(r["text"])
+            assert text_of[r["doc_id"]].startswith(r["text"])
+        assert given == {s: int(rest * weight[s] / sum(weight[x] for x in open_)) if s in open_ else 2 * by[s] for s in by}
+        cut = Counter(r["source"] for r in out if r["text"] != text_of[r["doc_id"]])
+        assert max(cut.values(), default=0) <= 1 and max(Counter(r["doc_id"] for r in out).values()) <= 2
+
+    def encoded(inputs, _):
+        ids = [library.encode_ordinary(r["text"]) for r in inputs]
+        return [(r["doc_id"], len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()) for r, x in zip(inputs, ids)]
+
+    current, counts = docs, {}
+    for (name, stage), plain in zip(P.STAGES, (told, exact, near, mixed, encoded), strict=True):
+        inputs = current.collect()
+        current = P.written(stage(spark, current, ""), name)
+        got = current.collect()
+        want = plain(inputs, got)
+        if want is not None:
+            shown = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if name == "encode" else ["doc_id", "text", "lang"]
+            assert sorted(tuple(r[c] for c in shown) for r in got) == sorted(want), name
+        counts[name] = (len(inputs), len(got))
+    assert all(a > b for a, b in (counts[n] for n in ("language_id", "exact_dedup", "near_dedup"))), counts
