@@ -5,33 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import plan_bytes, small, written
+
 
 def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds 0, 1, 2 ... in the given order (which must be total to be repeatable).
 
-    Rows are range-partitioned; a count for each partition gives the offsets.  Both jobs
-    must see the same ranges, so the range-partitioned rows are persisted on disk.
+    Rows are range-partitioned and written, so that both jobs see the same ranges and lost
+    executors lose nothing; a count for each range gives the offsets (a row for each range).
     """
-    from pyspark import StorageLevel
-
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    offsets = written(counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before")), "offsets")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_in_part", inside).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_in_part") - 1).drop("_part", "_in_part", "_before")
+    numbered = ranged.withColumn("_in_part", inside).join(small(offsets), "_part")
+    return numbered.withColumn(name, F.col("_before") + F.col("_in_part") - 1).drop("_part", "_in_part", "_before")
 
 
-def number_lines(lines: DataFrame, name: str) -> DataFrame:
-    """Adds the 0-based number of each line of a text scan, in file order; no shuffle of lines."""
-    tagged = lines.withColumn("_mono", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_part", F.shiftright("_mono", 33))
-    counts = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return tagged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_mono").bitwiseAND((1 << 33) - 1)).drop("_mono", "_part", "_before")
+def number_lines(lines: DataFrame, name: str, per_record: int = 1) -> DataFrame:
+    """Numbers the rows of a scan of text files: ``name`` in their file, and _record, the number over all files
+    (ordered by path) of the record of ``per_record`` lines that holds the row.  No shuffle of lines.
+
+    A split of a file is read in order by one task, so a row's place in it follows from its running id; the
+    splits' counts (a row for each split) give the places of splits in files and of files in the whole.
+    """
+    scan = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
+    splits = scan.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_mono").alias("_first"))
+    splits = written(splits, "splits")
+    here = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block")) - F.col("_n")
+    files = splits.groupBy("_file").agg(F.ceil(F.sum("_n") / per_record).alias("_records"))
+    files = files.select("_file", (F.sum("_records").over(Window.orderBy("_file")) - F.col("_records")).alias("_base"))
+    places = written(splits.select("_file", "_block", (here - F.col("_first")).alias("_shift")).join(files, "_file"), "places")
+    out = scan.join(small(places), ["_file", "_block"]).withColumn(name, F.col("_mono") + F.col("_shift"))
+    return out.withColumn("_record", F.col("_base") + F.floor(F.col(name) / per_record)).drop("_file", "_block", "_mono", "_shift", "_base")
 
 
 def spread(df: DataFrame, per_core: int = 32 << 20) -> DataFrame:
     """Deals rows out to all cores when the input is too small to be split by its files; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < per_core * cores else df
+    return df.repartition(cores) if plan_bytes(df) < per_core * cores else df

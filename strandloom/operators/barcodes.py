@@ -2,18 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import kmers
+from ..functions.sequences import encode2bit
+from ..functions.storage import ship, written
+from .kmers import LONGEST_CODE, _parts, kmer_codes, kmers, window_codes
+
+#: Unikmers that are broadcast at most: 16 bytes each, 64 MB.
+MOST_BROADCAST = 1 << 22
 
+SCHEMA = "read_id string, read_int bigint, read_len int, barcode array<bigint>"
 
-def barcodes(reads: DataFrame, unikmers: DataFrame, k: int = 21) -> DataFrame:
+
+def barcodes(reads: DataFrame, unikmers: DataFrame, k: int = 21, *, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """read_id, read_int, read_len, barcode, n_barcodes; repeats stay; reads without unikmers have an empty barcode.
 
-    The list is as long as its read, so one group never outgrows a record.
+    While the unikmers are at most ``most_broadcast``, their sorted codes go to all tasks and reads are not
+    shuffled.  Beyond that, k-mers meet the unikmers by a join, and the lists, each as long as its read, are
+    gathered by read.  Unikmers carry their code or else their k-mer.
     """
-    hits = kmers(reads, k).join(unikmers, "kmer").select("read_int", "pos", F.col("unikmer_id").cast("bigint").alias("unikmer_id"))
+    if k > LONGEST_CODE:
+        hits = kmers(reads, k).join(unikmers.select("kmer", "unikmer_id"), "kmer")
+        return _gathered(reads, hits)
+    code = F.col("code") if "code" in unikmers.columns else encode2bit(F.col("kmer"))
+    marks = written(unikmers.select(code.cast("bigint").alias("code"), F.col("unikmer_id").cast("bigint").alias("unikmer_id")), "unikmers")
+    if marks.count() > most_broadcast:
+        return _gathered(reads, kmer_codes(reads, k).join(marks, "code"))
+    table = marks.orderBy("code").toArrow()
+    spark = reads.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast((table.column("code").to_numpy(), table.column("unikmer_id").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = sent.value
+        for batch in batches:
+            for part in _parts(batch, "seq"):
+                made, of, _ = window_codes(part.column("seq").to_pylist(), k)
+                at = np.searchsorted(known, made)
+                hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == made) if len(known) else np.zeros(0, np.int64)
+                ends = np.searchsorted(of[hit], np.arange(part.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[at[hit]], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], names=["read_id", "read_int", "read_len", "barcode"])
+
+    rows = reads.select(F.col("read_id").cast("string").alias("read_id"), F.col("read_int").cast("bigint").alias("read_int"), F.col("read_len").cast("int").alias("read_len"), F.col("seq").cast("string").alias("seq"))
+    return rows.mapInArrow(run, SCHEMA).withColumn("n_barcodes", F.size("barcode"))
+
+
+def _gathered(reads: DataFrame, hits: DataFrame) -> DataFrame:
+    hits = hits.select("read_int", "pos", F.col("unikmer_id").cast("bigint").alias("unikmer_id"))
     lists = hits.groupBy("read_int").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "unikmer_id"))), lambda x: x["unikmer_id"]).alias("barcode"))
     out = reads.select("read_id", "read_int", "read_len").join(lists, "read_int", "left").withColumn("barcode", F.coalesce("barcode", F.array().cast("array<bigint>")))
     return out.select("read_id", "read_int", "read_len", "barcode", F.size("barcode").alias("n_barcodes"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import number_rows
 from ..functions.sequences import min_bin_bases, round_to_500
+from ..functions.storage import small, written
 
 #: Statistics start at 50 unikmers; counts up to 5 are bins of their own.
 START_COUNT, FIXED = 50, 5
@@ -69,25 +71,23 @@ def bin_reads(barcoded: DataFrame, genome_size: int, coverage: float) -> DataFra
     min_bases = min_bin_bases(genome_size, coverage)
     if min_bases is None:
         return None
-    distribution = barcode_distribution(barcoded).persist()
+    distribution = written(barcode_distribution(barcoded), "distribution")  # a row for each distinct count
     bounds = bin_bounds(distribution)
     of = bin_starts(distribution, bounds, min_bases)
-    rows = barcoded.select("read_id", "read_int", "read_len", "n_barcodes").join(F.broadcast(of), "n_barcodes", "left").crossJoin(F.broadcast(bounds.select("adjusted")))
+    rows = barcoded.select("read_id", "read_int", "read_len", "n_barcodes").join(small(written(of, "bins")), "n_barcodes", "left").crossJoin(F.broadcast(bounds.select("adjusted")))
     bin_id = F.when(F.col("n_barcodes") <= FIXED, F.col("n_barcodes")).when(F.col("n_barcodes") > F.col("adjusted"), F.col("adjusted") + 1).otherwise(F.col("bin_id"))
     return rank_in_bins(rows.select(bin_id.cast("bigint").alias("bin_id"), "read_id", "read_int", "read_len"))
 
 
 def rank_in_bins(rows: DataFrame) -> DataFrame:
-    from ..functions.ordering import number_rows
-
     order = [F.col("bin_id"), F.col("read_len").desc(), F.col("read_int")]
     numbered = number_rows(rows, order, "_n")
-    first = numbered.groupBy("bin_id").agg(F.min("_n").alias("_first"))
-    return numbered.join(F.broadcast(first), "bin_id").select("bin_id", "read_id", "read_len", (F.col("_n") - F.col("_first") + 1).alias("rank_in_bin"))
+    first = written(numbered.groupBy("bin_id").agg(F.min("_n").alias("_first")), "first_of_bins")
+    return numbered.join(small(first), "bin_id").select("bin_id", "read_id", "read_len", (F.col("_n") - F.col("_first") + 1).alias("rank_in_bin"))
 
 
-def bin_summary(dimension: DataFrame, binned: DataFrame) -> DataFrame:
-    """bin_id, n_reads, sum_bases for all bins, empty ones too, in bin order."""
+def bin_summary(dimension: DataFrame, binned: DataFrame, ordered: bool = False) -> DataFrame:
+    """bin_id, n_reads, sum_bases for all bins, empty ones too, in bin order; with ordered also bin_ord."""
     sums = binned.groupBy("bin_id").agg(F.count("*").alias("n_reads"), F.sum(F.col("read_len").cast("bigint")).alias("sum_bases"))
     out = dimension.join(sums, "bin_id", "left").orderBy("bin_ord")
-    return out.select("bin_id", F.coalesce("n_reads", F.lit(0)).alias("n_reads"), F.coalesce("sum_bases", F.lit(0)).alias("sum_bases"))
+    return out.select("bin_id", F.coalesce("n_reads", F.lit(0)).alias("n_reads"), F.coalesce("sum_bases", F.lit(0)).alias("sum_bases"), *(["bin_ord"] if ordered else []))

@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import number_rows
+from ..functions.storage import discard, written
+
 ANCHOR_SCHEMA = "sel_ord int, read_id string, read_int bigint, kept array<bigint>, read_len int"
 
 
@@ -45,20 +48,27 @@ def lazy_greedy(reads: Iterable[tuple[int, np.ndarray]]) -> list[tuple[int, np.n
     return out
 
 
-def anchors(barcoded: DataFrame) -> DataFrame:
+#: Bytes of barcodes (8 an id) that anchors() takes to the driver at most.
+DRIVER_BYTES = 1 << 31
+
+
+def anchors(barcoded: DataFrame, driver_bytes: int = DRIVER_BYTES) -> DataFrame:
     """sel_ord, read_id, read_int, kept, read_len by lazy greedy set cover.
 
     The order of ties makes this inherently sequential, so the non-empty barcodes stream to
-    the driver, as compact arrays; use anchors_by_rounds where they do not fit there.
+    the driver, as compact arrays, if they have at most driver_bytes; else ValueError: use anchors_by_rounds.
     """
     rows = barcoded.where("n_barcodes > 0").select("read_int", "barcode")
+    size = 8 * (barcoded.agg(F.sum(F.col("n_barcodes").cast("bigint"))).first()[0] or 0)
+    if size > driver_bytes:
+        raise ValueError(f"the barcodes have {size} bytes, more than {driver_bytes}; choose the cover by rounds, which needs no driver")
     picked = lazy_greedy((r["read_int"], np.array(r["barcode"], np.int64)) for r in rows.toLocalIterator(prefetchPartitions=True))
     spark = barcoded.sparkSession
     chosen = spark.createDataFrame([(i, r, kept.tolist()) for i, (r, kept) in enumerate(picked)], "sel_ord int, read_int bigint, kept array<bigint>")
     return chosen.join(barcoded.select("read_int", "read_id", "read_len"), "read_int").select("sel_ord", "read_id", "read_int", "kept", "read_len")
 
 
-def anchors_by_rounds(barcoded: DataFrame, checkpoint: bool = True) -> DataFrame:
+def anchors_by_rounds(barcoded: DataFrame) -> DataFrame:
     """sel_ord, read_id, read_int, kept, read_len: a distributed greedy cover.
 
     In each round a read is taken if no read that shares an uncovered id with it has more
@@ -67,9 +77,12 @@ def anchors_by_rounds(barcoded: DataFrame, checkpoint: bool = True) -> DataFrame
     differs from anchors().  Nothing but counts reaches the driver.
     """
     left = barcoded.where("n_barcodes > 0").select("read_int", F.posexplode("barcode").alias("pos", "unikmer_id"))
-    out, round_ = None, 0
+    out, round_, before = None, 0, None
     while True:
-        left = left.checkpoint() if checkpoint else left.persist()
+        left = written(left, "left")
+        if before is not None:
+            discard(before)
+        before = left
         if left.isEmpty():
             break
         scored = left.groupBy("read_int").agg(F.count("*").alias("score"))
@@ -78,15 +91,13 @@ def anchors_by_rounds(barcoded: DataFrame, checkpoint: bool = True) -> DataFrame
         local = rows.join(best, "unikmer_id").groupBy("read_int", "score").agg(F.min((F.col("_rank") == F.col("_best")).cast("int")).alias("_wins")).where("_wins = 1")
         taken = rows.join(local.select("read_int"), "read_int", "left_semi").groupBy("read_int", "score").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "unikmer_id"))), lambda x: x["unikmer_id"]).alias("kept"))
         taken = taken.withColumn("_round", F.lit(round_))
-        taken = taken.checkpoint() if checkpoint else taken.persist()
+        taken = written(taken, "taken")
         out = taken if out is None else out.union(taken)
         left = left.join(taken.select(F.explode("kept").alias("unikmer_id")).distinct(), "unikmer_id", "left_anti").select("read_int", "pos", "unikmer_id")
         round_ += 1
     spark = barcoded.sparkSession
     if out is None:
         return spark.createDataFrame([], ANCHOR_SCHEMA)
-    from ..functions.ordering import number_rows
-
     numbered = number_rows(out, [F.col("_round"), F.col("score").desc(), F.col("read_int")], "sel_ord")
     return numbered.join(barcoded.select("read_int", "read_id", "read_len"), "read_int").select(F.col("sel_ord").cast("int"), "read_id", "read_int", "kept", "read_len")
 

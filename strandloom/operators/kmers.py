@@ -1,17 +1,92 @@
-"""K-mers of reads: windows, counts, histogram."""
+"""K-mers of reads: windows, counts, histogram.
+
+Up to 31 bases a canonical k-mer travels as its 2-bit code in a bigint, made for many reads at once by an
+Arrow kernel; code order is string order.  Longer ones are strings, cut in the JVM.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import is_acgt, normalised, reverse_complement
+from ..functions.sequences import BASES, DIGITS, is_acgt, normalised, reverse_complement
+from ..functions.storage import ship
 
 CHUNK = 96
+#: The longest k-mer whose code fits into a bigint.
+LONGEST_CODE = 31
+#: Bases that one task encodes at a time, and codes that it counts before it sends them on.
+TOGETHER, FLUSH = 1 << 20, 1 << 22
+
+
+def _digits() -> np.ndarray:
+    """The 2-bit digit of each byte; 4 for bytes outside ACGT in either case."""
+    out = np.full(256, 4, np.uint8)
+    for i, b in enumerate(BASES):
+        out[ord(b)] = out[ord(b.lower())] = i
+    return out
+
+
+def window_codes(seqs: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical codes of all windows of ACGT, and their sequence's number and place in it, in order."""
+    data = [(s or "").encode("latin-1", "replace") for s in seqs]
+    lengths = np.array([len(d) for d in data], np.int64)
+    digit = _digits()[np.frombuffer(b"".join(data), np.uint8)]
+    starts = np.cumsum(lengths) - lengths
+    n = len(digit) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bad = np.concatenate([[0], np.cumsum(digit > 3)])
+    clean = bad[k:] == bad[:-k]
+    # windows that leave their sequence are none
+    for end in np.cumsum(lengths):
+        clean[max(0, end - k + 1) : end] = False
+    at = np.flatnonzero(clean)
+    wide = digit.astype(np.int64)
+    forward, backward = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(k):
+        part = wide[i : i + n]
+        forward = forward << 2 | part & 3
+        backward |= (3 - (part & 3)) << (2 * i)
+    of = np.searchsorted(starts, at, "right") - 1
+    return np.minimum(forward, backward)[at], of, at - starts[of]
+
+
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about TOGETHER bases each, or one longer read."""
+    sizes = np.cumsum([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def decoded(code: Column, k: int) -> Column:
+    """The k-mer of a code."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), DIGITS, BASES)
+
+
+def kmer_codes(reads: DataFrame, k: int = 21) -> DataFrame:
+    """read_int, pos (0-based), code of every window of ACGT; k is at most 31."""
+    ship(reads.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, "seq"):
+                code, of, pos = window_codes(part.column("seq").to_pylist(), k)
+                yield pa.RecordBatch.from_arrays([part.column("read_int").take(pa.array(of)), pa.array(pos.astype(np.int32)), pa.array(code)], names=["read_int", "pos", "code"])
+
+    return reads.select(F.col("read_int").cast("bigint").alias("read_int"), F.col("seq").cast("string").alias("seq")).mapInArrow(run, "read_int bigint, pos int, code bigint")
 
 
 def kmers(reads: DataFrame, k: int = 21) -> DataFrame:
-    """read_int, pos (0-based), kmer (canonical) of every window of ACGT.
+    """read_int, pos (0-based), kmer (canonical) of every window of ACGT, of any length, by column functions alone.
 
     Reads are cut into overlapping chunks first: substring is linear in its position, so
     windows of a whole read would take quadratic time.
@@ -26,8 +101,34 @@ def kmers(reads: DataFrame, k: int = 21) -> DataFrame:
     return windows.where(F.col("_clean") | is_acgt(F.col("kmer"))).select("read_int", (F.col("_off") + F.col("_j")).alias("pos"), "kmer")
 
 
+def code_counts(reads: DataFrame, k: int = 21) -> DataFrame:
+    """code, n over all reads, both strands together; tasks count before they shuffle."""
+    ship(reads.sparkSession)
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for part in _parts(batch, "seq"):
+                parts.append(window_codes(part.column(0).to_pylist(), k)[0])
+                held += len(parts[-1])
+                if held >= FLUSH:
+                    yield counted(parts)
+                    parts, held = [], 0
+        if held:
+            yield counted(parts)
+
+    made = reads.select(F.col("seq").cast("string").alias("seq")).mapInArrow(run, "code bigint, n bigint")
+    return made.groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def kmer_counts(reads: DataFrame, k: int = 21) -> DataFrame:
     """kmer, n over all reads, both strands together."""
+    if k <= LONGEST_CODE:
+        return code_counts(reads, k).select(decoded(F.col("code"), k).alias("kmer"), "n")
     return kmers(reads, k).groupBy("kmer").agg(F.count("*").alias("n"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import end_window, key_starts
@@ -12,17 +12,27 @@ def direct_bridges(barcoded: DataFrame, anchors: DataFrame, min_overlap: int = 1
     """read_id, read_int, barcode, read_len of non-anchors whose start is the whole rest of some anchor
     from a position on, and whose end is the whole beginning of some anchor up to a position.
 
-    Both rests have at least min_overlap ids.  The anchors' kept ids are compared.  The first
-    (last) id of the rest narrows the join; the slices decide.
+    Both rests have at least min_overlap ids.  The anchors' kept ids are compared.  Positions meet by the two
+    outer ids of the first (last) min_overlap; only then are the rests cut, no longer than the read, and compared.
     """
     others = barcoded.where(F.size("barcode") >= min_overlap).join(anchors.select("read_int").distinct(), "read_int", "left_anti")
-    a = anchors.where(F.size("kept") >= min_overlap).select("kept", F.size("kept").alias("_len"), F.posexplode("kept").alias("_p", "_id"))
-    heads = a.where(F.col("_len") - F.col("_p") >= min_overlap).select(F.col("_id").alias("_first"), F.expr("slice(kept, _p + 1, _len - _p)").alias("_rest")).distinct()
-    tails = a.where(F.col("_p") + 1 >= min_overlap).select(F.col("_id").alias("_last"), F.expr("slice(kept, 1, _p + 1)").alias("_rest")).distinct()
-    starts = others.withColumn("_first", F.element_at("barcode", 1)).join(heads, "_first").where("size(barcode) >= size(_rest) and slice(barcode, 1, size(_rest)) = _rest").select("read_int").distinct()
-    both = others.join(starts, "read_int", "left_semi")
-    ends = both.withColumn("_last", F.element_at("barcode", -1)).join(tails, "_last").where("size(barcode) >= size(_rest) and slice(barcode, size(barcode) - size(_rest) + 1, size(_rest)) = _rest").select("read_int").distinct()
-    return both.join(ends, "read_int", "left_semi").select("read_id", "read_int", "barcode", "read_len")
+    held = anchors.where(F.size("kept") >= min_overlap).select(F.col("read_int").alias("_a"), "kept", F.size("kept").alias("_len"))
+    m = min_overlap
+    ids = F.expr(f"transform(sequence(0, _len - {m}), p -> named_struct('p', p, 'near', element_at(kept, p + 1), 'far', element_at(kept, p + {m})))")
+    spots = held.select("_a", "_len", F.explode(ids).alias("_s")).select("_a", "_len", F.col("_s.p").alias("_p"), F.col("_s.near").alias("_near"), F.col("_s.far").alias("_far"))
+
+    def met(rows: DataFrame, near: Column, far: Column, rest_len: str, whole: str, own: str) -> DataFrame:
+        """Reads whose slice ``own`` equals the anchor's slice ``whole``."""
+        ends = rows.select("read_int", F.size("barcode").alias("_n"), near.alias("_near"), far.alias("_far"))
+        pairs = ends.join(spots, ["_near", "_far"]).withColumn("_rest", F.expr(rest_len)).where("_n >= _rest").select("read_int", "_a", "_p", "_rest")
+        cut = pairs.join(held, "_a").select("read_int", "_rest", F.expr(whole).alias("_cut"))
+        return cut.join(rows.select("read_int", "barcode"), "read_int").where(F.expr(own) == F.col("_cut")).select("read_int").distinct()
+
+    first, last = (lambda i: F.element_at("barcode", i)), (lambda i: F.element_at("barcode", -i))
+    both = others.join(met(others, first(1), first(m), "_len - _p", "slice(kept, _p + 1, _rest)", "slice(barcode, 1, _rest)"), "read_int", "left_semi")
+    # a beginning ends m - 1 ids after the spot
+    ended = met(both, last(m), last(1), f"_p + {m}", "slice(kept, 1, _rest)", "slice(barcode, size(barcode) - _rest + 1, _rest)")
+    return both.join(ended, "read_int", "left_semi").select("read_id", "read_int", "barcode", "read_len")
 
 
 def head_index(barcoded: DataFrame, anchors: DataFrame | None = None, *, k: int = 11, stride: int = 3, fraction: float = 0.25, cap: int = 4000) -> DataFrame:
@@ -51,6 +61,15 @@ def index_statistics(index: DataFrame) -> DataFrame:
     return index.agg(F.countDistinct("key").alias("unique_keys"), F.count("*").alias("postings"), F.countDistinct("read_int").alias("indexed_reads"))
 
 
+def read_counters(barcoded: DataFrame, index: DataFrame, reads: DataFrame | None = None) -> DataFrame:
+    """One row: reads (all of ``reads``, or of ``barcoded``), missing (without a barcode row), empty, indexed, and unindexed (too short for a key)."""
+    ids = (reads if reads is not None else barcoded).select("read_int").distinct()
+    known = barcoded.groupBy("read_int").agg(F.max("n_barcodes").alias("_n"))
+    rows = ids.join(known, "read_int", "left").join(index.select("read_int").distinct().withColumn("_in", F.lit(1)), "read_int", "left")
+    n, held = F.col("_n"), F.col("_in").isNotNull()
+    return rows.agg(F.count("*").alias("reads"), F.count_if(n.isNull()).alias("missing"), F.count_if(n == 0).alias("empty"), F.count_if(held).alias("indexed"), F.count_if((n > 0) & ~held).alias("unindexed"))
+
+
 def overlap_edges(barcoded: DataFrame, index: DataFrame, *, k: int = 11, stride: int = 1, fraction: float = 0.25, cap: int = 4000) -> DataFrame:
     """src, dst: some key in the end window of src is indexed for dst; pairs once, self-overlaps included."""
     n, w = F.size("barcode"), end_window(F.size("barcode"), fraction, cap)

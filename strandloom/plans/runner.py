@@ -1,6 +1,10 @@
-"""The pipeline from reads to selected reads, with a resumable path search.
+"""The pipeline from reads to selected reads, which goes on where an earlier run stopped.
 
     python -m strandloom.plans.runner --reads R --run-dir D --genome-size N --coverage X
+
+Every stage is a store below the run folder.  The manifest there names the input files and the settings that
+made each finished store; a later run with the same ones reads it.  The path search keeps its own state, a
+checked prefix of the anchors.  All paths may lie on any file system that Hadoop knows.
 """
 
 from __future__ import annotations
@@ -8,7 +12,6 @@ from __future__ import annotations
 import argparse
 import hashlib
 import json
-import os
 import signal
 import struct
 import sys
@@ -16,12 +19,15 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.storage import exists, listing, qualified, read_new, remove, write_text
 from ..operators import barcodes as B
 from ..operators import binning, cover, kmers, overlap, paths, selection, spectrum
 from ..sources import readers, writers
 
-STATE_VERSION = 1
+STATE_VERSION = 2
+#: Fixed value: the advice at the end of each error about saved state.
 HINT = "use --restart to start a fresh run"
 
 
@@ -40,6 +46,8 @@ class Config:
     genome_size: int = 0
     coverage: float = 1.0
     batch: int = 64
+    driver_bytes: int = cover.DRIVER_BYTES
+    cover: str = "lazy"
 
 
 class StateError(RuntimeError):
@@ -50,18 +58,13 @@ def anchor_fingerprint(ids: list[int]) -> str:
     return hashlib.sha256(struct.pack(f">{len(ids) + 1}Q", len(ids), *ids)).hexdigest()
 
 
-def signatures(inputs: dict[str, str]) -> dict[str, list]:
-    """Absolute path, size and time of change of each input file, by role."""
-    out = {}
-    for role, path in inputs.items():
-        path = os.path.abspath(path)
-        files = [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs] if os.path.isdir(path) else [path]
-        out[role] = [path, sum(os.stat(f).st_size for f in files), max((os.stat(f).st_mtime_ns for f in files), default=0)]
-    return out
+def signatures(spark: SparkSession, inputs: dict[str, str]) -> dict[str, list]:
+    """Path and the files (name, size, time of change) of each input, by role."""
+    return {role: [qualified(spark, path), listing(spark, path)] for role, path in inputs.items()}
 
 
-def metadata(config: Config, anchor_ids: list[int], inputs: dict[str, str]) -> dict:
-    return {"version": STATE_VERSION, "python": list(sys.version_info[:2]), "count": len(anchor_ids), "fingerprint": anchor_fingerprint(anchor_ids), "anchor_ids": list(anchor_ids), "inputs": signatures(inputs), "config": asdict(config)}
+def metadata(config: Config, anchor_ids: list[int], inputs: dict[str, list]) -> dict:
+    return {"version": STATE_VERSION, "python": list(sys.version_info[:2]), "count": len(anchor_ids), "fingerprint": anchor_fingerprint(anchor_ids), "anchor_ids": list(anchor_ids), "inputs": inputs, "config": asdict(config)}
 
 
 def validate(state: dict, expected: dict) -> None:
@@ -83,36 +86,34 @@ def validate(state: dict, expected: dict) -> None:
                 raise StateError(f"a saved path does not start at its anchor; {HINT}")
 
 
-def assert_unchanged(before: dict, inputs: dict[str, str]) -> None:
-    now = signatures(inputs)
+def assert_unchanged(before: dict, now: dict) -> None:
     if changed := [role for role in now if list(now[role]) != list(before[role])]:
         raise RuntimeError(f"inputs changed during the run: {', '.join(changed)}")
 
 
-def protect(state_path: str, others: list[str]) -> None:
-    if os.path.realpath(state_path) in {os.path.realpath(p) for p in others}:
+def protect(spark: SparkSession, state_path: str, others: list[str]) -> None:
+    if qualified(spark, state_path) in {qualified(spark, p) for p in others}:
         raise ValueError("the state file must not be an input or an output")
 
 
-def load_state(path: str, expected: dict) -> dict:
+def load_state(spark: SparkSession, path: str, expected: dict) -> dict:
     try:
-        with open(path) as f:
-            state = json.load(f)
+        state = json.loads(read_new(spark, path) or "")
     except (OSError, ValueError) as e:
         raise StateError(f"the saved state cannot be read ({e}); {HINT}") from e
     validate(state, expected)
     return state
 
 
-def search(edges: DataFrame, anchor_ids: list[int], config: Config, inputs: dict[str, str], state_path: str, *, restart: bool = False, on_batch: Callable[[list[int], int, int], None] | None = None) -> dict[int, list[list[int]]]:
+def search(edges: DataFrame, anchor_ids: list[int], config: Config, inputs: dict[str, str], state_path: str, *, restart: bool = False, on_batch: Callable[[list[int], int, int], None] | None = None, progress_every: int = 0) -> dict[int, list[list[int]]]:
     """Paths of each anchor, batch by batch in anchor order; finished batches are in the state file and are not searched again."""
     spark = edges.sparkSession
-    protect(state_path, list(inputs.values()))
-    meta = metadata(config, anchor_ids, inputs)
-    resumed = os.path.exists(state_path) and not restart
-    state = load_state(state_path, meta) if resumed else {"metadata": meta, "completed": [], "paths": {}}
+    protect(spark, state_path, list(inputs.values()))
+    meta = metadata(config, anchor_ids, signatures(spark, inputs))
+    resumed = read_new(spark, state_path) is not None and not restart
+    state = load_state(spark, state_path, meta) if resumed else {"metadata": meta, "completed": [], "paths": {}}
     if not resumed:
-        writers.write_state(state, state_path)
+        write_text(spark, state_path, json.dumps(state))
     targets = spark.createDataFrame([(i,) for i in anchor_ids], "read_int bigint")
     for at in range(len(state["completed"]), len(anchor_ids), config.batch):
         batch = anchor_ids[at : at + config.batch]
@@ -121,70 +122,147 @@ def search(edges: DataFrame, anchor_ids: list[int], config: Config, inputs: dict
         by: dict[int, list] = {i: [] for i in batch}
         for r in found.orderBy("source", "rank").toLocalIterator():  # top_k a source
             by[r["source"]].append(list(r["path"]))
-        assert_unchanged(meta["inputs"], inputs)
+        assert_unchanged(meta["inputs"], signatures(spark, inputs))
+        before = len(state["completed"])
         state["completed"] += batch
         state["paths"].update({str(i): p for i, p in by.items()})
-        writers.write_state(state, state_path)
+        write_text(spark, state_path, json.dumps(state))
+        if progress_every and before // progress_every < len(state["completed"]) // progress_every:
+            print(f"searched {len(state['completed'])} of {len(anchor_ids)} anchors, {sum(map(len, state['paths'].values()))} paths", file=sys.stderr)
         if on_batch:
             on_batch(batch, len(state["completed"]), len(anchor_ids))
     return {int(i): p for i, p in state["paths"].items()}
 
 
-def run(spark: SparkSession, reads_path: str, run_dir: str, config: Config, *, state_path: str | None = None, restart: bool = False, on_batch=None) -> DataFrame:
-    """All stages; each is stored under run_dir.  Returns the selected read ids."""
-    if config.max_expansions <= 0:
-        raise ValueError("max_expansions is positive")
-    store = lambda name: os.path.join(run_dir, name)
+class Stores:
+    """The stores of a run folder, and its manifest: for each finished store what made it, and the files it has."""
+
+    def __init__(self, spark: SparkSession, run_dir: str, restart: bool):
+        self.spark, self.folder = spark, run_dir.rstrip("/")
+        try:
+            self.done = {} if restart else json.loads(read_new(spark, self.path("manifest.json")) or "{}")
+        except (OSError, ValueError) as e:
+            raise StateError(f"the manifest cannot be read ({e}); {HINT}") from e
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def fresh(self, name: str, made_by: dict) -> bool:
+        """Whether the store was finished by the same inputs and settings and is as it was left."""
+        entry = self.done.get(name)
+        return bool(entry) and entry["by"] == json.loads(json.dumps(made_by)) and entry["files"] == listing(self.spark, self.path(name))
+
+    def finish(self, name: str, made_by: dict) -> None:
+        self.done[name] = {"by": made_by, "files": listing(self.spark, self.path(name))}
+        write_text(self.spark, self.path("manifest.json"), json.dumps(self.done))
+
+    def kept(self, name: str, made_by: dict, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], None] = writers.write_store) -> DataFrame:
+        if not self.fresh(name, made_by):
+            write(make(), self.path(name))
+            self.finish(name, made_by)
+        return self.spark.read.parquet(self.path(name))
 
-    def kept(df: DataFrame, name: str, sort: str | None = None) -> DataFrame:
-        writers.write_store(df, store(name), sort)
-        return spark.read.parquet(store(name))
 
+def run(spark: SparkSession, reads_path: str, run_dir: str, config: Config, *, state_path: str | None = None, restart: bool = False, on_batch=None, progress_every: int = 0) -> DataFrame:
+    """All stages; each is stored under run_dir.  Returns the selected read ids.
+
+    Finished stores of an earlier run on the same reads with the same settings are read, and a search that it
+    began goes on; restart makes all of them anew.
+    """
+    if config.max_expansions <= 0:
+        raise ValueError("max_expansions is positive")
+    if config.cover not in ("lazy", "rounds"):
+        raise ValueError("cover is 'lazy' or 'rounds'")
+    stores = Stores(spark, run_dir, restart)
+    state_path = state_path or stores.path("search_state.json")
+    source = signatures(spark, {"reads": reads_path})
+    by = lambda *names: {"inputs": source, **{n: getattr(config, n) for n in names}}
+    sorted_by = lambda c: (lambda df, path: writers.write_store(df, path, c))
+    k = by("k")
     records = readers.read_records(spark, reads_path)
-    reads = kept(readers.last_records(readers.with_read_ints(records)), "reads", "read_int")
-    counts = kept(kmers.kmer_counts(reads, config.k), "kmer_counts")
-    lower, upper = spectrum.window_bounds(kmers.kmer_histogram(counts))
-    marks = kept(spectrum.unikmers(counts, lower, upper), "unikmers")
-    barcoded = kept(B.barcodes(reads, marks, config.k), "barcodes", "read_int")
-    binned = binning.bin_reads(barcoded, config.genome_size, config.coverage)
-    binned = kept(binned if binned is not None else spark.createDataFrame([], "bin_id bigint, read_id string, read_len int, rank_in_bin bigint"), "bins")
-    chosen = kept(cover.anchors(barcoded), "anchors", "sel_ord")
-    direct = kept(overlap.direct_bridges(barcoded, chosen, config.min_overlap), "direct_bridges")
-    index = kept(overlap.head_index(barcoded, chosen, k=config.key, stride=config.stride, fraction=config.fraction, cap=config.cap), "head_index")
-    edges = kept(overlap.overlap_edges(barcoded, index, k=config.key, stride=config.query_stride, fraction=config.fraction, cap=config.cap), "edges", "src")
+    every = stores.kept("reads", by(), lambda: readers.last_records(readers.with_read_ints(records)), sorted_by("read_int"))
+    longer = config.k > kmers.LONGEST_CODE
+    counts = stores.kept("kmer_counts", k, lambda: kmers.kmer_counts(every, config.k) if longer else kmers.code_counts(every, config.k))
+    histogram = stores.kept("histogram", k, lambda: kmers.kmer_histogram(counts))
+    lower, upper = spectrum.window_bounds(histogram)
+    marks = stores.kept("unikmers", k, lambda: spectrum.unikmers(counts, lower, upper))
+    barcoded = stores.kept("barcodes", k, lambda: B.barcodes(every, marks, config.k), sorted_by("read_int"))
+    distribution = stores.kept("distribution", k, lambda: binning.barcode_distribution(barcoded))
+    binning_by = by("k", "genome_size", "coverage")
+    min_bases = binning.min_bin_bases(config.genome_size, config.coverage)
+    none = lambda: spark.createDataFrame([], "bin_id bigint, read_id string, read_len int, rank_in_bin bigint")
+    binned = stores.kept("bins", binning_by, none if min_bases is None else lambda: binning.bin_reads(barcoded, config.genome_size, config.coverage))
+    covering = by("k", "cover")
+    choose = (lambda: cover.anchors(barcoded, config.driver_bytes)) if config.cover == "lazy" else (lambda: cover.anchors_by_rounds(barcoded))
+    chosen = stores.kept("anchors", covering, choose, sorted_by("sel_ord"))
+    direct = stores.kept("direct_bridges", by("k", "cover", "min_overlap"), lambda: overlap.direct_bridges(barcoded, chosen, config.min_overlap))
+    indexing = by("k", "cover", "key", "stride", "fraction", "cap")
+    shape = {"k": config.key, "fraction": config.fraction, "cap": config.cap}
+    index = stores.kept("head_index", indexing, lambda: overlap.head_index(barcoded, chosen, stride=config.stride, **shape), writers.write_head_index)
+    edges = stores.kept("edges", indexing | by("query_stride"), lambda: overlap.overlap_edges(barcoded, index, stride=config.query_stride, **shape), sorted_by("src"))
+    if not stores.fresh("reports", binning_by | covering | indexing):
+        write_reports(stores, histogram, distribution, barcoded, binned, index, every, min_bases)
+        stores.finish("reports", binning_by | covering | indexing)
     order = [r["read_int"] for r in chosen.orderBy("sel_ord").select("read_int").toLocalIterator()]
-    inputs = {name: store(name) for name in ("barcodes", "anchors", "head_index")}
-    found = search(edges, order, config, inputs, state_path or store("search_state.json"), restart=restart, on_batch=on_batch)
+    inputs = {name: stores.path(name) for name in ("barcodes", "anchors", "head_index")}
+    protect(spark, state_path, [reads_path, *map(stores.path, stores.done)])
+    found = search(edges, order, config, inputs, state_path, restart=restart, on_batch=on_batch, progress_every=progress_every)
     rows = [(i, n + 1, p) for i, ps in found.items() for n, p in enumerate(ps)]
-    bridged = kept(paths.bridges(spark.createDataFrame(rows, paths.PATH_SCHEMA), chosen, reads), "bridges")
-    selected = kept(selection.final_selection(chosen, bridged, direct, binned).orderBy("read_id"), "selected")
-    writers.write_selected_fasta(records, selected, store("selected_fasta"))
+    everything = {"inputs": source, **asdict(config)}
+    bridged = stores.kept("bridges", everything, lambda: paths.bridges(spark.createDataFrame(rows, paths.PATH_SCHEMA), chosen, every))
+    selected = stores.kept("selected", everything, lambda: selection.final_selection(chosen, bridged, direct, binned).orderBy("read_id"))
+    if not stores.fresh("selected_fasta", everything):
+        writers.write_selected_fasta(selection.selected_records(records, selected), stores.path("selected_fasta"))
+        stores.finish("selected_fasta", everything)
     return selected
 
 
-def main(args: list[str] | None = None) -> int:
+def write_reports(stores: Stores, histogram, distribution, barcoded, binned, index, every, min_bases: int | None) -> None:
+    """CSV reports below reports/: the histogram, the distribution, the bins in the order they were made (if the genome is large enough), and counters."""
+    at = lambda name: stores.path(f"reports/{name}")
+    remove(stores.spark, stores.path("reports"))
+    writers.write_report(histogram, at("histogram"), writers.HISTOGRAM_HEADER, "freq")
+    writers.write_report(distribution, at("distribution"), writers.DISTRIBUTION_HEADER, "n_barcodes")
+    if min_bases is not None:
+        bounds = binning.bin_bounds(distribution)
+        dimension = binning.bin_dimension(distribution, bounds, binning.bin_starts(distribution, bounds, min_bases), min_bases)
+        writers.write_report(binning.bin_summary(dimension, binned, ordered=True), at("bins"), writers.BIN_HEADER, "bin_ord")
+    counters = overlap.index_statistics(index).crossJoin(F.broadcast(overlap.read_counters(barcoded, index, every)))  # one row each
+    writers.write_report(counters, at("index_counters"), tuple(counters.columns))
+
+
+#: Options: the name, its type, and the field of Config (the name, if it is the same).
+OPTIONS = (
+    ("k", int), ("min-overlap", int), ("key", int), ("stride", int), ("query-stride", int), ("fraction", float), ("cap", int), ("max-depth", int), ("top-k", int),
+    ("max-expansions", int), ("genome-size", int), ("coverage", float), ("batch", int), ("cover", str), ("driver-bytes", int),
+)
+
+
+def main(args: list[str] | None = None, on_batch=None) -> int:
     """Exit codes: 0, 1 out of memory, 2 unusable state, 130 interrupted, 128 + the signal when stopped by one."""
     p = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     p.add_argument("--reads", required=True)
     p.add_argument("--run-dir", "--base-dir", required=True)
     p.add_argument("--state-path", "--checkpoint-path")
     p.add_argument("--restart", action="store_true")
-    for name, kind in (("k", int), ("min-overlap", int), ("key", int), ("max-depth", int), ("top-k", int), ("max-expansions", int), ("genome-size", int), ("coverage", float), ("batch", int)):
-        p.add_argument(f"--{name}", type=kind, default=getattr(Config, name.replace("-", "_")))
+    p.add_argument("--progress-every", type=int, default=1000, help="anchors between lines on the progress; 0: none")
+    for name, kind in OPTIONS:
+        names = [f"--{name}", *(["--max-expansions-per-source"] if name == "max-expansions" else [])]
+        p.add_argument(*names, type=kind, default=getattr(Config, name.replace("-", "_")), dest=name.replace("-", "_"))
     a = p.parse_args(args)
-    config = Config(k=a.k, min_overlap=a.min_overlap, key=a.key, max_depth=a.max_depth, top_k=a.top_k, max_expansions=a.max_expansions, genome_size=a.genome_size, coverage=a.coverage, batch=a.batch)
+    config = Config(**{field: getattr(a, field) for field in (name.replace("-", "_") for name, _ in OPTIONS)})
     if config.max_expansions <= 0:
         p.error("--max-expansions is positive")
+    if config.cover not in ("lazy", "rounds"):
+        p.error("--cover is lazy or rounds")
 
     def stop(number, _frame):
         raise SystemExit(128 + number)
 
-    signal.signal(signal.SIGTERM, stop)
+    old = signal.signal(signal.SIGTERM, stop)
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir") is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(a.run_dir, "checkpoints"))
     try:
-        run(spark, a.reads, a.run_dir, config, state_path=a.state_path, restart=a.restart)
+        run(spark, a.reads, a.run_dir, config, state_path=a.state_path, restart=a.restart, on_batch=on_batch, progress_every=a.progress_every)
     except KeyboardInterrupt:
         return 130
     except MemoryError:
@@ -192,6 +270,8 @@ def main(args: list[str] | None = None) -> int:
     except StateError as e:
         print(e, file=sys.stderr)
         return 2
+    finally:
+        signal.signal(signal.SIGTERM, old)
     return 0
 
 

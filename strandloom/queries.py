@@ -6,7 +6,6 @@ frequency window.  Intermediate tables that several queries need are recomputed
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import sequences
 from .functions.ordering import spread
+from .functions.storage import written
 from .operators import barcodes as B
 from .operators import binning, cover, kmers, overlap, paths, selection, spectrum
 from .sources import adapters
@@ -24,13 +24,6 @@ MIN_BASES = sequences.min_bin_bases(P["genome"], P["coverage"])
 KEYS = {"k": P["key"], "fraction": P["fraction"], "cap": P["cap"]}
 
 
-def prepared(spark: SparkSession) -> None:
-    """A checkpoint folder where the cluster names none."""
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(f"{tempfile.gettempdir()}/strandloom-checkpoints")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,19 +33,18 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts(spark, sf_dir):
-    return kmers.kmer_counts(reads(spark, sf_dir), P["k"])
+    return kmers.code_counts(reads(spark, sf_dir), P["k"])
 
 
 def windowed_unikmers(spark, sf_dir):
-    n = counts(spark, sf_dir).persist()
+    n = written(counts(spark, sf_dir), "counts")
     lower, upper = spectrum.window_bounds(kmers.kmer_histogram(n))
     return spectrum.unikmers(n, lower, upper)
 
 
 def barcoded(spark, sf_dir) -> DataFrame:
     """Barcodes of all reads, computed once for a query that uses them several times."""
-    prepared(spark)
-    return B.barcodes(reads(spark, sf_dir), windowed_unikmers(spark, sf_dir), P["k"]).checkpoint()
+    return written(B.barcodes(reads(spark, sf_dir), windowed_unikmers(spark, sf_dir), P["k"]), "barcodes")
 
 
 def q_kmer_histogram(spark, sf_dir):
@@ -60,16 +52,17 @@ def q_kmer_histogram(spark, sf_dir):
 
 
 def q_kmer_counts(spark, sf_dir):
-    return counts(spark, sf_dir)
+    return kmers.kmer_counts(reads(spark, sf_dir), P["k"])
 
 
 def q_freq_window(spark, sf_dir):
-    w = spectrum.frequency_window(kmers.kmer_histogram(counts(spark, sf_dir)).persist())
+    w = spectrum.frequency_window(written(kmers.kmer_histogram(counts(spark, sf_dir)), "histogram"))
     return w.select("start_idx", "peak_idx", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "lower", "upper")
 
 
 def q_unikmers(spark, sf_dir):
-    return windowed_unikmers(spark, sf_dir).withColumn("code_prefix", sequences.encode2bit(F.substring("kmer", 1, 15)))
+    marks = windowed_unikmers(spark, sf_dir).select(kmers.decoded(F.col("code"), P["k"]).alias("kmer"), "unikmer_id")
+    return marks.withColumn("code_prefix", sequences.encode2bit(F.substring("kmer", 1, 15)))
 
 
 def _listed(df: DataFrame, column: str) -> DataFrame:
@@ -95,7 +88,7 @@ def q_bin_rank(spark, sf_dir):
 
 def q_bin_summary(spark, sf_dir):
     b = barcoded(spark, sf_dir)
-    d = binning.barcode_distribution(b).persist()
+    d = written(binning.barcode_distribution(b), "distribution")
     bounds = binning.bin_bounds(d)
     dim = binning.bin_dimension(d, bounds, binning.bin_starts(d, bounds, MIN_BASES), MIN_BASES)
     return binning.bin_summary(dim, binning.bin_reads(b, P["genome"], P["coverage"]))
@@ -162,8 +155,8 @@ def q_overlap_edges(spark, sf_dir):
 
 
 def _paths(b: DataFrame, **kw) -> DataFrame:
-    chosen = cover.champions(b).checkpoint()
-    edges = overlap.overlap_edges(b, overlap.head_index(b, chosen, stride=P["stride"], **KEYS), **KEYS).checkpoint()
+    chosen = written(cover.champions(b), "anchors")
+    edges = written(overlap.overlap_edges(b, overlap.head_index(b, chosen, stride=P["stride"], **KEYS), **KEYS), "edges")
     return paths.top_paths(edges, chosen, max_depth=P["depth"] - 1, top_k=P["top"], **kw)
 
 

@@ -23,8 +23,8 @@ def barcodes_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 def barcodes_from_events(events: DataFrame) -> DataFrame:
-    """Kinds of a user's events with the hour, in time order."""
-    code = F.pmod(F.crc32(F.concat("event_type", F.lit("/"), F.hour("ts").cast("string"))), F.lit(1_000_000))
+    """Kinds of a user's events with the hour (the first 32 bits of their MD5), in time order."""
+    code = F.conv(F.substring(F.md5(F.concat("event_type", F.lit("/"), F.hour("ts").cast("string"))), 1, 8), 16, 10).cast("bigint")
     out = events.groupBy(F.col("user_id").alias("read_int")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", code.alias("code")))), lambda x: x["code"]).alias("barcode"), F.count("*").alias("read_len"))
     return _completed(out)
 

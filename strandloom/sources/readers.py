@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import number_lines, number_rows
 from ..functions.sequences import canonical
+from ..functions.storage import listing
 
 READ_SCHEMA = "read_id string, read_int bigint, file_ord bigint, seq string, read_len int"
 
@@ -20,21 +21,30 @@ def sequence_format(path: str) -> str:
     raise ValueError(f"not a sequence file by its suffix: {path}")
 
 
+def format_of(spark: SparkSession, path: str) -> str:
+    """'fastq' if all files at the path end in .fastq, gzipped or not, 'fasta' if none does; ValueError for a mixture."""
+    kinds = {bool(re.search(r"\.fastq(\.gz)?$", name)) for name, _, _ in listing(spark, path)}
+    if len(kinds) > 1:
+        raise ValueError(f"FASTQ files among others: {path}")
+    return "fastq" if kinds == {True} else "fasta"
+
+
 def read_records(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """read_id, file_ord, seq, read_len of every record in file order.
+    """read_id, file_ord, seq, read_len of every record of a file, folder or glob, in the order of files by path and of records in them.
 
     The id is the header up to the first white space.  FASTQ records have four lines; a
-    quality line may start like a header.  Gzipped files are unpacked by Spark.
+    quality line may start like a header.  Files with other suffixes than .fastq are read as FASTA.
+    Gzipped files are unpacked by Spark.  Lines may end in CR LF.  An empty file has no records.
     """
-    if (fmt or sequence_format(path)) == "fastq":
-        lines = number_lines(spark.read.text(path), "_line")
+    if (fmt or format_of(spark, path)) == "fastq":
+        lines = number_lines(spark.read.text(path), "_line", 4)
         place = F.col("_line") % 4
-        records = lines.where(place < 2).groupBy(F.floor(F.col("_line") / 4).alias("file_ord")).agg(F.max(F.when(place == 0, F.substring("value", 2, 1 << 30))).alias("_head"), F.max(F.when(place == 1, F.col("value"))).alias("seq"))
+        head, seq = F.max(F.when(place == 0, F.substring("value", 2, 1 << 30))), F.max(F.when(place == 1, F.col("value")))
+        records = lines.where(place < 2).groupBy(F.col("_record").alias("file_ord")).agg(head.alias("_head"), seq.alias("seq"))
     else:
-        whole = spark.read.option("lineSep", "\n>").text(path)
-        whole = whole.withColumn("file_ord", F.monotonically_increasing_id()).where(F.trim("value") != "")
+        whole = number_lines(spark.read.option("lineSep", "\n>").text(path), "_line").where(F.trim("value") != "")
         value = F.regexp_replace("value", "^>", "")
-        records = whole.select("file_ord", F.regexp_extract(value, r"^[^\r\n]*", 0).alias("_head"), F.regexp_replace(F.regexp_replace(value, r"^[^\r\n]*", ""), r"\s", "").alias("seq"))
+        records = whole.select(F.col("_record").alias("file_ord"), F.regexp_extract(value, r"^[^\r\n]*", 0).alias("_head"), F.regexp_replace(F.regexp_replace(value, r"^[^\r\n]*", ""), r"\s", "").alias("seq"))
     records = records.select(F.regexp_extract("_head", r"^\s*(\S*)", 1).alias("read_id"), "file_ord", F.trim("seq").alias("seq"))
     return records.withColumn("read_len", F.length("seq"))
 
@@ -51,10 +61,10 @@ def last_records(records: DataFrame) -> DataFrame:
 
 
 def read_unikmers(spark: SparkSession, path: str) -> DataFrame:
-    """kmer (canonical), unikmer_id from a list with a k-mer a line; ids are line numbers, the last of equal k-mers counts."""
+    """kmer (canonical), unikmer_id from a list with a k-mer a line; ids are line numbers (of files in the order of their paths), the last of equal k-mers counts."""
     lines = number_lines(spark.read.text(path), "_line")
     kmer = canonical(F.regexp_replace(F.upper(F.trim("value")), "[^ACGT]", "A"))
-    return lines.where(F.trim("value") != "").groupBy(kmer.alias("kmer")).agg(F.max("_line").alias("unikmer_id"))
+    return lines.where(F.trim("value") != "").groupBy(kmer.alias("kmer")).agg(F.max("_record").alias("unikmer_id"))
 
 
 def read_histogram(spark: SparkSession, path: str) -> DataFrame:

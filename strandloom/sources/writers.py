@@ -1,11 +1,7 @@
-"""Writers: Parquet stores, FASTA, lists, reports and atomic state files."""
+"""Writers: Parquet stores, FASTA, lists and reports."""
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +22,12 @@ def fasta_lines(records: DataFrame, width: int = 60) -> DataFrame:
     return records.orderBy("file_ord").select(F.concat(F.lit(">"), F.col("read_id"), F.lit("\n"), wrapped).alias("value"))
 
 
-def write_selected_fasta(records: DataFrame, selected: DataFrame, path: str, width: int = 60, one_file: bool = True) -> None:
-    """The records whose id is selected, each of them as often as it occurs; quality and descriptions go.
+def write_selected_fasta(records: DataFrame, path: str, width: int = 60, one_file: bool = True) -> None:
+    """Selected records (see selection.selected_records) as FASTA; quality and descriptions go.
 
     Sorted files keep the order; one_file writes a single part for tools that need one.
     """
-    lines = fasta_lines(records.join(selected.select("read_id").distinct(), "read_id", "left_semi"), width)
+    lines = fasta_lines(records, width)
     (lines.coalesce(1) if one_file else lines).write.mode("overwrite").text(path)
 
 
@@ -44,27 +40,18 @@ def write_unikmers(unikmers: DataFrame, path: str) -> None:
     unikmers.orderBy("unikmer_id").select("kmer").write.mode("overwrite").text(path)
 
 
-#: The headers of the two reports.
+#: The headers of the reports on reads; the histogram's stands in for a workbook without one.
 DISTRIBUTION_HEADER = ("# of unikmers", "# of reads", "sum of bases (bp)")
 BIN_HEADER = ("unikmer bin", "# of reads", "sum of bases (bp)")
-
-
-def write_report(df: DataFrame, path: str, header: tuple[str, ...]) -> None:
-    """CSV with the report's header; also the stand-in for a workbook."""
-    df.toDF(*header).coalesce(1).write.mode("overwrite").csv(path, header=True)
-
-
-def write_state(state: dict, path: str) -> None:
-    """A small JSON file, replaced whole or not at all."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    handle, part = tempfile.mkstemp(dir=folder, prefix=".state-")
-    try:
-        with os.fdopen(handle, "w") as f:
-            json.dump(state, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(part, path)
-    except BaseException:
-        os.unlink(part)
-        raise
+HISTOGRAM_HEADER = ("frequency", "number of k-mers")
+
+
+def write_report(df: DataFrame, path: str, header: tuple[str, ...], order: str | None = None) -> None:
+    """One CSV file with the report's header, in the order of a column, which is left out if the header is shorter; also the
+    stand-in for a workbook.  Reports have a row for each distinct count or bin, so one task sorts them."""
+    rows = df.coalesce(1)
+    if order:
+        rows = rows.sortWithinPartitions(order)
+    if len(header) < len(df.columns):
+        rows = rows.drop(order)
+    rows.toDF(*header).write.mode("overwrite").csv(path, header=True)

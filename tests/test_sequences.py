@@ -1,9 +1,13 @@
 """Operators of the sequence pipeline against hand-derived cases and independent models."""
 
+import gzip
 import hashlib
+import json
+import os
 import random
+import signal
 import struct
-from collections import deque
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +15,8 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequences as S
 from strandloom.operators import barcodes, binning, cover, kmers, overlap, paths, selection, spectrum
 from strandloom.plans import runner
-from strandloom.sources import readers, writers
+from strandloom.sources import adapters, readers, writers
+from strandloom.streaming import incremental
 
 BARCODED = "read_id string, read_int bigint, read_len int, barcode array<bigint>, n_barcodes int"
 
@@ -42,6 +47,34 @@ def test_chunks_do_not_change_kmers(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def model_windows(seq, k):
+    flip = str.maketrans("ACGT", "TGCA")
+    s = seq.upper()
+    return [(i, min(w, w.translate(flip)[::-1])) for i in range(len(s) - k + 1) if set(w := s[i : i + k]) <= set("ACGT")]
+
+
+def test_codes_are_the_kmers(spark, monkeypatch):
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("ACGTNacgt" if i % 5 == 0 else "ACGT") for _ in range(rng.randint(0, 400))) for i in range(40)]
+    seqs += ["", "ACG", None, "é" * 50, "A" * 300]
+    reads = spark.createDataFrame([(str(i), i, s, len(s or "")) for i, s in enumerate(seqs)], "read_id string, read_int bigint, seq string, read_len int")
+    want = sorted((i, p, w) for i, s in enumerate(seqs) for p, w in model_windows(s or "", 21))
+    for together in (1, kmers.TOGETHER):
+        monkeypatch.setattr(kmers, "TOGETHER", together)
+        got = kmers.kmer_codes(reads, 21).select("read_int", "pos", kmers.decoded(F.col("code"), 21)).collect()
+        assert sorted(map(tuple, got)) == want
+    assert sorted(map(tuple, kmers.kmers(reads, 21).collect())) == want
+    assert dict(map(tuple, kmers.kmer_counts(reads, 21).collect())) == Counter(w for _, _, w in want)
+    assert dict(map(tuple, kmers.kmer_counts(reads, 35).collect())) == Counter(w for s in seqs for _, w in model_windows(s or "", 35))
+    marks = spectrum.unikmers(kmers.code_counts(reads, 21), 1, 300)
+    ids = {w: i for i, w in enumerate(sorted({w for _, _, w in want}))}
+    lists = {i: [ids[w] for j, _, w in want if j == i] for i in range(len(seqs))}
+    for most in (0, 1 << 22):  # by a join, and by a broadcast
+        assert {r["read_int"]: r["barcode"] for r in barcodes.barcodes(reads, marks, 21, most_broadcast=most).collect()} == lists
+    assert all(r["barcode"] == [] for r in barcodes.barcodes(reads, marks.limit(0), 21).collect())
+    assert kmers.kmer_counts(reads.limit(0), 21).count() == 0
+
+
 def test_frequency_window(spark):
     h = spark.createDataFrame([(0, 7), (1, 1000), (2, 100), (3, 50), (4, 45), (5, 60), (6, 80), (7, 60), (8, 40)], "freq bigint, n_kmers bigint")
     row = spectrum.frequency_window(h).first()
@@ -101,6 +134,44 @@ def test_direct_bridges(spark):
     assert sorted(r["read_int"] for r in overlap.direct_bridges(b, anchors, 2).collect()) == [2, 5]
 
 
+def test_bridges_of_long_anchors(spark):
+    """An anchor of 20,000 ids, whose rests would be 200 million ids together."""
+    long = list(range(20_000))
+    b = coded(spark, {0: long, 1: list(range(50_000, 50_200)), 2: [*long[-150:], 7, *range(50_000, 50_120)], 3: [*long[-150:], 7, *range(50_001, 50_120)], 4: long[5000:5200]})
+    anchors = b.where("read_int < 2").withColumnRenamed("barcode", "kept")
+    assert [r["read_int"] for r in overlap.direct_bridges(b, anchors, 100).collect()] == [2]
+
+
+def test_bridges_against_a_model(spark):
+    rng = random.Random(8)
+    lists = {i: [rng.randrange(6) for _ in range(rng.randint(0, 9))] for i in range(120)}
+    anchors = {i: lists[i] for i in range(10)}
+
+    def bridge(c, m):
+        ends = [(a[p:], a[: p + 1]) for a in anchors.values() for p in range(len(a))]
+        return len(c) >= m and any(len(r) >= m and c[: len(r)] == r for r, _ in ends) and any(len(r) >= m and c[-len(r) :] == r for _, r in ends)
+
+    b = coded(spark, lists)
+    chosen = b.where("read_int < 10").withColumnRenamed("barcode", "kept")
+    for m in (1, 2, 3):
+        assert {r["read_int"] for r in overlap.direct_bridges(b, chosen, m).collect()} == {i for i, c in lists.items() if i >= 10 and bridge(c, m)}
+
+
+def test_index_lookup_and_counters(spark):
+    b = coded(spark, {0: list(range(60)), 1: list(range(60)), 2: [1, 2], 3: []})
+    index = overlap.head_index(b, b.where("read_int = 0"))
+    assert readers.postings_of(index, list(range(11)), 11) == [0, 1] and readers.postings_of(index, [99] * 11, 11) == []
+    assert readers.postings_of(index, list(range(20, 31)), 11) == [0]
+    with pytest.raises(ValueError):
+        readers.postings_of(index, [1], 11)
+    reads = spark.createDataFrame([(i,) for i in range(6)], "read_int bigint")
+    assert tuple(overlap.read_counters(b, index, reads).first()) == (6, 2, 1, 2, 1)
+    assert readers.barcode_of(b, 2) == (100, [1, 2])
+    with pytest.raises(KeyError):
+        readers.barcode_of(b, 9)
+    assert barcodes.read_stats(b).where("read_id = '2'").first()["n_barcodes"] == 2
+
+
 def model_paths(edges, source, targets, depth, k, cap):
     """Breadth-first search with a queue."""
     found, used, queue = [], 0, deque([((source,), 0)])
@@ -121,7 +192,7 @@ def model_paths(edges, source, targets, depth, k, cap):
 
 def searched(spark, edges, sources, **kw):
     out = {s: [] for s in sources}
-    for r in paths.top_paths(edge_frame(spark, edges), nodes(spark, sources), save=lambda d: d.persist(), **kw).orderBy("source", "rank").collect():
+    for r in paths.top_paths(edge_frame(spark, edges), nodes(spark, sources), **kw).orderBy("source", "rank").collect():
         out[r["source"]].append(r["path"])
     return out
 
@@ -131,10 +202,13 @@ def test_paths_against_queue_model(spark):
     ends = [0, 5, 6, 7, 8, 9]
     assert searched(spark, fixed, ends, max_depth=4, top_k=10, max_expansions=1000) == {s: model_paths(fixed, s, ends, 4, 10, 1000) for s in ends}
     rng = random.Random(3419)
-    for _ in range(4):
-        g = {a: [b for b in range(8) if a != b and rng.random() < 0.3] for a in range(8)}
+    for _ in range(5):  # six graphs side by side in each run
+        g, ends = {}, []
+        for at in range(0, 60, 10):
+            g |= {at + a: [at + b for b in range(8) if a != b and rng.random() < 0.3] for a in range(8)}
+            ends += [at, at + 2, at + 5, at + 7]
         depth, k, cap = rng.randint(2, 5), rng.randint(1, 7), rng.randint(1, 59)
-        assert searched(spark, g, [0, 2, 5, 7], max_depth=depth, top_k=k, max_expansions=cap) == {s: model_paths(g, s, [0, 2, 5, 7], depth, k, cap) for s in (0, 2, 5, 7)}
+        assert searched(spark, g, ends, max_depth=depth, top_k=k, max_expansions=cap) == {s: model_paths(g, s, ends, depth, k, cap) for s in ends}
 
 
 def test_path_limits(spark):
@@ -146,6 +220,13 @@ def test_path_limits(spark):
         searched(spark, {}, [0], max_depth=256)
 
 
+def test_a_source_with_many_children(spark):
+    edges = spark.range(1, 250_001).select(F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst"))
+    for cap, targets in ((250_000, [0]), (1000, [0, 999, 1000, 1001])):
+        found = paths.top_paths(edges, nodes(spark, [0]), nodes(spark, targets), max_depth=3, top_k=10, max_expansions=cap)
+        assert [r["path"] for r in found.orderBy("rank").collect()] == [[0, t] for t in targets if 0 < t <= cap]
+
+
 def test_labels_and_selection(spark):
     labels = spark.createDataFrame([(0, "a"), (1, "x"), (2, "b"), (3, "c")], "read_int bigint, read_id string")
     found = spark.createDataFrame([(0, 1, [0, 1, 2])], paths.PATH_SCHEMA)
@@ -176,12 +257,68 @@ def test_files_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.sequence_format("x.txt")
     assert readers.sequence_format("X.FA.GZ") == "fasta"
+    with pytest.raises(ValueError):
+        readers.read_records(spark, str(tmp_path))
+    records = readers.read_records(spark, str(fasta))
     chosen = spark.createDataFrame([("a",)], "read_id string")
-    writers.write_selected_fasta(readers.read_records(spark, str(fasta)), chosen, str(tmp_path / "out"), width=4)
+    writers.write_selected_fasta(selection.selected_records(records, chosen), str(tmp_path / "out"), width=4)
     assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))) == ">a\nACGT\nAC\n>a\nTT\n"
 
 
-def test_state_is_a_checked_prefix(tmp_path):
+@pytest.mark.parametrize("kind", ["fastq", "fastq.gz", "fa", "txt"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_many_files_in_small_splits(spark, tmp_path, kind, end):
+    """Files of unequal sizes, the largest neither first nor last, cut into many splits: records stay whole and in order."""
+    rng, want = random.Random(7), []
+    for f, n in enumerate((3, 40, 1, 0, 17)):
+        lines = []
+        for i in range(n):
+            seq = "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 150)))
+            want.append((f"r{f}.{i}", seq))
+            lines += [f"@r{f}.{i} x", seq, "+", "@" * len(seq)] if "fastq" in kind else [f">r{f}.{i} x", seq[:70], *([seq[70:]] if seq[70:] else [])]
+        text = "".join(x + end for x in lines).encode()
+        (tmp_path / f"{f}.{kind}").write_bytes(gzip.compress(text) if kind.endswith("gz") else text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+    try:
+        rows = readers.read_records(spark, str(tmp_path)).orderBy("file_ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["read_id"], r["seq"]) for r in rows] == want and len({r["file_ord"] for r in rows}) == len(want)
+
+
+def test_lists_and_graphs(spark, tmp_path):
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k" / "1").write_text("ACG\nTTT\n" * 50)
+    (tmp_path / "k" / "2").write_text("GGG\nCGT\n")
+    marks = readers.read_unikmers(spark, str(tmp_path / "k"))
+    assert {r["kmer"]: r["unikmer_id"] for r in marks.collect()} == {"ACG": 101, "AAA": 99, "CCC": 100}
+    writers.write_unikmers(marks, str(tmp_path / "list"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "list").glob("part-*"))) == "AAA\nCCC\nACG\n"
+    (tmp_path / "h").write_text("0 5\n1 10\n2  3\n")
+    h = readers.read_histogram(spark, str(tmp_path / "h"))
+    assert sorted(map(tuple, h.collect())) == [(0, 5), (1, 10), (2, 3)]
+    writers.write_report(h, str(tmp_path / "csv"), writers.HISTOGRAM_HEADER, "freq")
+    assert [p.read_text() for p in (tmp_path / "csv").glob("part-*")] == ["frequency,number of k-mers\n0,5\n1,10\n2,3\n"]
+    (tmp_path / "g.gfa").write_text("H\tVN\nS\tone\tACGT\textra\nL\tone\t+\nS\ttwo\tGG\n")
+    segments = readers.read_gfa_segments(spark, str(tmp_path / "g.gfa"))
+    writers.write_contigs(segments, str(tmp_path / "contigs"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "contigs").glob("part-*"))) == ">one\nACGT\n>two\nGG\n"
+
+
+def test_streamed_counts(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "counts", "state"))
+    assert incremental.streamed_counts(spark, out).count() == 0
+    seqs = ["ACGTACGTAA", "GGGTTTACGA", "ACGTACGTAA"]
+    for i, x in enumerate(seqs):
+        spark.createDataFrame([(str(i), i, i, x, len(x))], readers.READ_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        if i:  # two runs; the second goes on after the first
+            incremental.count_stream(incremental.read_stream(spark, folder, 1), out, state, 4).awaitTermination()
+    want = Counter(w for s in seqs for _, w in model_windows(s, 4))
+    assert dict(map(tuple, incremental.streamed_counts(spark, out).collect())) == want
+
+
+def test_state_is_a_checked_prefix(spark, tmp_path):
     meta = runner.metadata(runner.Config(), [7, 3, 11], {})
     good = {"metadata": runner.json.loads(runner.json.dumps(meta)), "completed": [7, 3], "paths": {"7": [[7, 2, 3]], "3": []}}
     runner.validate(good, meta)
@@ -191,9 +328,13 @@ def test_state_is_a_checked_prefix(tmp_path):
     path = tmp_path / "s.json"
     path.write_text("{")
     with pytest.raises(runner.StateError, match="--restart"):
-        runner.load_state(str(path), meta)
+        runner.load_state(spark, str(path), meta)
     with pytest.raises(ValueError):
-        runner.protect(str(path), [str(path)])
+        runner.protect(spark, str(path), [f"file:{path}"])
+    other = str(tmp_path / "t.json")
+    for text in ("one", "two"):
+        runner.write_text(spark, other, text)
+        assert runner.read_new(spark, other) == text and not os.path.exists(other + ".part")
 
 
 def test_search_resumes(spark, tmp_path):
@@ -210,16 +351,93 @@ def test_search_resumes(spark, tmp_path):
     assert done == [[1], [2]] and found == {0: [[0, 1, 2], [0, 1]], 1: [[1, 2]], 2: []}
 
 
-def test_whole_run(spark, tmp_path):
+@pytest.fixture(scope="module")
+def reads_file(tmp_path_factory):
+    """Reads of a genome with errors, so that the histogram has a valley; some are held by others."""
     rng = random.Random(5)
-    genome = "".join(rng.choice("ACGT") for _ in range(3000))
-    reads = [genome[i : i + 300] for i in range(0, 2700, 30)]
-    path = tmp_path / "reads.fa"
-    path.write_text("".join(f">r{i}\n{s}\n" for i, s in enumerate(reads)))
-    config = runner.Config(min_overlap=20, max_depth=2, top_k=2, max_expansions=50, genome_size=600_000, coverage=0.1, batch=100)
-    try:
-        selected = runner.run(spark, str(path), str(tmp_path / "run"), config)
-    except ValueError as e:  # the histogram of so few reads may have no valley
-        pytest.skip(str(e))
-    assert {r[0] for r in selected.collect()} <= {f"r{i}" for i in range(len(reads))}
-    assert list((tmp_path / "run" / "selected_fasta").glob("part-*"))
+    genome = "".join(rng.choice("ACGT") for _ in range(4000))
+    path = tmp_path_factory.mktemp("reads") / "reads.fa"
+    rows = []
+    for i in range(420):
+        at = rng.randrange(3600)
+        s = list(genome[at : at + rng.randint(150, 400)])
+        for _ in range(rng.randrange(3)):
+            s[rng.randrange(len(s))] = rng.choice("ACGT")
+        rows.append("".join(s))
+    path.write_text("".join(f">r{i}\n{s}\n" for i, s in enumerate(rows)))
+    return str(path)
+
+
+ARGS = ["--genome-size", "600000", "--coverage", "0.1", "--min-overlap", "20", "--key", "5", "--max-depth", "3", "--top-k", "3", "--max-expansions", "60", "--batch", "3", "--progress-every", "3"]
+
+
+def stored(spark, folder, name):
+    return sorted(map(str, spark.read.parquet(f"{folder}/{name}").collect()))
+
+
+def test_stopped_run_goes_on(spark, reads_file, tmp_path, capsys):
+    """A signal after a batch gives its exit code; the next run searches only the rest and has the same results as a run of one piece."""
+    whole, parted = str(tmp_path / "whole"), str(tmp_path / "parted")
+    total = []
+    assert runner.main(["--reads", reads_file, "--run-dir", whole, *ARGS], on_batch=lambda b, d, t: total.append(t)) == 0
+    assert len(total) > 2 and "searched" in capsys.readouterr().err
+
+    def stop(batch, done, total):
+        if done >= 6:
+            os.kill(os.getpid(), signal.SIGTERM)
+
+    args = ["--reads", reads_file, "--run-dir", parted, *ARGS]
+    with pytest.raises(SystemExit) as e:
+        runner.main(args, on_batch=stop)
+    assert e.value.code == 128 + signal.SIGTERM
+    state = json.loads((tmp_path / "parted" / "search_state.json").read_text())
+    assert len(state["completed"]) == 6 and set(state["paths"]) == set(map(str, state["completed"]))
+    before = (tmp_path / "parted" / "barcodes" / "_SUCCESS").stat().st_mtime_ns
+
+    def interrupt(batch, done, total):
+        raise KeyboardInterrupt
+
+    assert runner.main(args, on_batch=interrupt) == 130
+    again = []
+    assert runner.main(args, on_batch=lambda b, d, t: again.append(b)) == 0
+    assert sum(map(len, again)) == total[0] - 9 and before == (tmp_path / "parted" / "barcodes" / "_SUCCESS").stat().st_mtime_ns
+    for name in ("barcodes", "anchors", "edges", "bridges", "selected"):
+        assert stored(spark, parted, name) == stored(spark, whole, name)
+    ids = {r[0] for r in spark.read.parquet(f"{whole}/selected").collect()}
+    assert ids and ids <= {f"r{i}" for i in range(420)}
+    fasta = "".join(p.read_text() for p in (tmp_path / "whole" / "selected_fasta").glob("part-*"))
+    assert fasta.count(">") == len(ids)
+    for name, header in (("distribution", writers.DISTRIBUTION_HEADER), ("bins", writers.BIN_HEADER), ("histogram", writers.HISTOGRAM_HEADER)):
+        lines = "".join(p.read_text() for p in (tmp_path / "whole" / "reports" / name).glob("part-*")).splitlines()
+        assert lines[0] == ",".join(header) and len(lines) > 2
+        assert [int(x.split(",")[0]) for x in lines[1:]] == sorted(int(x.split(",")[0]) for x in lines[1:])
+    # finished: nothing is searched; other settings leave the state unusable, and a restart makes it anew
+    assert runner.main(args, on_batch=interrupt) == 0
+    other = [*args[:-2], "--max-depth", "2"]
+    assert runner.main(other) == 2 and "--restart" in capsys.readouterr().err
+    assert runner.main([*other, "--restart"]) == 0
+    (tmp_path / "parted" / "search_state.json").write_text("{")
+    assert runner.main(args) == 2
+
+
+def test_changed_inputs_stop_a_search(spark, tmp_path):
+    edges = edge_frame(spark, {0: [1], 1: [2]}).persist()
+    store = tmp_path / "store"
+    store.write_text("x")
+
+    def change(batch, done, total):
+        store.write_text("other")
+
+    with pytest.raises(RuntimeError, match="store"):
+        runner.search(edges, [0, 1, 2], runner.Config(max_depth=3, batch=1), {"store": str(store)}, str(tmp_path / "state.json"), on_batch=change)
+    with pytest.raises(ValueError, match="rounds"):
+        cover.anchors(coded(spark, {0: [1, 2, 3]}), driver_bytes=16)
+    with pytest.raises(SystemExit) as e:
+        runner.main(["--reads", "x", "--run-dir", "y", "--max-expansions", "0"])
+    assert e.value.code == 2
+
+
+def test_events_have_barcodes(spark):
+    events = spark.createDataFrame([(1, 7, "2024-01-01 05:00:00", "a"), (0, 7, "2024-01-01 05:00:00", "b"), (2, 8, "2024-01-01 06:00:00", "a")], "event_id bigint, user_id bigint, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    code = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    assert {r["read_int"]: r["barcode"] for r in adapters.barcodes_from_events(events).collect()} == {7: [code("b/5"), code("a/5")], 8: [code("a/6")]}
