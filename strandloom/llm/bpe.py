@@ -10,12 +10,13 @@ Each match of the pattern is a piece; a piece that is a token itself is that tok
 Pieces seen before come from a cache of bounded size, which changes speed alone.
 
 Defined results: a null text counts as empty; an empty text has no tokens and decodes to
-no bytes.  Rows are independent: repeated rows, ties and other columns do not matter.
+no bytes.  Rows are independent: repeated rows and ties give repeated results, a null id is kept.  Texts and pieces
+of any length are encoded whole.  An empty table gives an empty table.  Columns travel under numbers, so that names
+cannot clash; encode_texts adds ids and n_tokens to the columns that are there.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField
 
 from .common import mapped
+from .spans import parsed, ranks_of
 
 
 class RankQueue:
@@ -94,11 +96,6 @@ class ByteBPE:
         self.cache: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
-    @classmethod
-    def from_file(cls, path: str, pattern: str) -> ByteBPE:
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}, pattern)
-
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The tokens of each piece (not empty)."""
         size, pairs, byte = self.size, self.pairs, self.byte
@@ -199,21 +196,23 @@ class ByteBPE:
         return b"".join(map(self.vocab.__getitem__, ids))
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
+_loaded: dict[tuple[int, str], ByteBPE] = {}
 
 
-def tokenizer(path: str, pattern: str) -> ByteBPE:
-    """One tokenizer for each worker process."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBPE.from_file(path, pattern)
-    return _loaded[path, pattern]
+def tokenizer(ranks: bytes, pattern: str) -> ByteBPE:
+    """One tokenizer for each worker process, from the lines of its vocabulary."""
+    name = (hash(ranks), pattern)
+    if name not in _loaded:
+        _loaded[name] = ByteBPE(parsed(ranks), pattern)
+    return _loaded[name]
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with ids array<int> and n_tokens."""
+    ranks = ranks_of(path)
 
     def make(texts):
-        ids = list(tokenizer(path, pattern).encode_many(texts))
+        ids = list(tokenizer(ranks, pattern).encode_many(texts))
         return pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())
 
     return mapped(docs, docs.columns, text, [StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())], make)
@@ -221,18 +220,20 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text") -
 
 def decode_ids(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """rows with decoded, the bytes of their ids; null ids count as none."""
+    ranks = ranks_of(path)
 
     def make(values):
-        return (pa.array([tokenizer(path, pattern).decode(x or ()) for x in values], pa.binary()),)
+        return (pa.array([tokenizer(ranks, pattern).decode(x or ()) for x in values], pa.binary()),)
 
     return mapped(rows, rows.columns, ids, [StructField("decoded", BinaryType())], make)
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes each text and returns digests in place of both."""
+    ranks = ranks_of(path)
 
     def make(texts):
-        t = tokenizer(path, pattern)
+        t = tokenizer(ranks, pattern)
         counts, of_ids, of_bytes = [], [], []
         for ids in t.encode_many(texts):
             counts.append(len(ids))

@@ -1,77 +1,27 @@
-"""Shared pieces: the shared scratch folder, written intermediate tables, size-checked
-broadcasts and prefix sums that never put a whole key into one task."""
+"""Shared pieces: prefix sums that never put a whole key into one task, and rows that go through Python
+in Arrow batches.  Written tables and size-checked broadcasts come from the library's storage module."""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: A side is broadcast only when its written table is at most this large.
-BROADCAST_BYTES = 16 << 20
+from ..functions.storage import BROADCAST_BYTES as BROADCAST_BYTES
+from ..functions.storage import discard as discard
+from ..functions.storage import plan_bytes as plan_bytes
+from ..functions.storage import ship as ship
+from ..functions.storage import small as small
+from ..functions.storage import written as written
+
 #: Characters that count as white space in every contract here.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once, so that workers can import it wherever they run.
-
-    Also makes Arrow batches smaller than the default, since rows hold whole texts.
-    """
-    sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    if not hasattr(sc, "_strandloom_sent"):
-        root = Path(__file__).resolve().parents[1]
-        with tempfile.TemporaryDirectory() as d:
-            name = f"{d}/strandloom.zip"
-            with zipfile.ZipFile(name, "w") as z:
-                for f in sorted(root.rglob("*.py")):
-                    z.write(f, f.relative_to(root.parent))
-            sc.addPyFile(shutil.copy(name, f"{sc._temp_dir}/strandloom.zip"))
-        sc._strandloom_sent = True
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only in local mode."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/strandloom-{spark.sparkContext.applicationId}"
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/strandloom/{uuid.uuid4().hex}-{tag}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: short lineage, no lost work, known size."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size of df in bytes; for files and written tables this is their length."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A hint to broadcast a written table if it is small enough; else Spark shuffles both sides."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
-
-
 def power_of_two(least: int, low: int, high: int) -> int:
     return max(low, min(high, 1 << max(0, int(least) - 1).bit_length()))
 

@@ -16,12 +16,15 @@ they occur.
 Defined results: a null label or id, or a vector that is null, empty, zero or holds a null
 or non-finite component, links with nothing and is its own component; so do vectors of
 different length with each other.  Rows with equal ids are separate vectors and share the
-component id.
+component id.  Links at the very threshold are settled by one exact sum, for tests and counts alike.
+Vectors of any length are used whole.  An empty table gives an empty table.  Other columns are not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations
 
 from itertools import combinations, product
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +104,26 @@ def _ready(payload: bytes) -> tuple[bytes, np.ndarray]:
     return payload[:32], _units([payload[32:]])[0]  # the label's hash goes first
 
 
+#: A product that is too near to the threshold to tell; the order of its sum could decide.
+MAYBE = 2
+
+
+def reach(products: np.ndarray, threshold: float) -> np.ndarray:
+    """1 where a product of unit vectors is at least the threshold, 0 where it is less, else MAYBE."""
+    return np.where(np.abs(products - threshold) < 1e-9, MAYBE, products >= threshold).astype(np.int8)
+
+
+def cosine(x: np.ndarray, y: np.ndarray) -> float:
+    """The product of two unit vectors, summed without rounding between."""
+    return fsum((x * y).tolist())
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """The one rule for links, wherever they are tested or counted."""
+    hit = int(reach(x @ y, threshold))
+    return cosine(x, y) >= threshold if hit == MAYBE else hit == 1
+
+
 def _cells(dim_args: tuple):
     def make(values):
         ready: dict[int, Lattice] = {}
@@ -144,7 +167,10 @@ def _counted(threshold: float):
             if dims.min() != dims.max():
                 raise ValueError("a component holds vectors of one length only")
             a, b = (_units([frame["_vector"][r] for r in rows]) for rows in (left, right))
-            near = a @ b.T >= threshold
+            near = reach(a @ b.T, threshold)
+            for p, q in np.argwhere(near == MAYBE):
+                near[p, q] = cosine(a[p], b[q]) >= threshold
+            near = near == 1
             if i == j:
                 np.fill_diagonal(near, False)
             for rows, others, hit in [(left, right, near)] + [(right, left, near.T)] * (i != j):
@@ -173,7 +199,7 @@ def embedding_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str
     def payload(ids: DataFrame) -> DataFrame:
         return classes.join(small(written(ids, "wanted")), "_id", "left_semi").select("_id", F.concat(F.unhex(F.sha2(F.col("_label").cast("string"), 256)), "_vector").alias("_payload"))
 
-    labels = linked_components(members, payload, _ready, lambda x, y: x[0] == y[0] and len(x[1]) == len(y[1]) and float(x[1] @ y[1]) >= threshold)
+    labels = linked_components(members, payload, _ready, lambda x, y: x[0] == y[0] and len(x[1]) == len(y[1]) and linked(x[1], y[1], threshold))
     inside = classes.join(labels, "_id")
     sizes = inside.groupBy("_comp").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
     inside = inside.join(small(written(sizes, "sizes")), "_comp").withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))

@@ -11,7 +11,9 @@ The sample: of each language the rows with the smallest hash of their id in each
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected;
 so is every text when nothing could be learned.  Equal sizes go to the first language by
-code point and are rejected.  A null id is held out.  Empty tables give empty tables.
+code point and are rejected.  A null id is held out.  Empty tables give empty tables.  Rows are independent: repeated
+rows have equal results (and count once in the sample).  Texts of any length are compressed whole.  Columns travel
+under numbers, so that names cannot clash.
 """
 
 from __future__ import annotations

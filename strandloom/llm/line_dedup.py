@@ -17,7 +17,8 @@ counted by partial aggregation and met by a join that Spark can split.
 
 Defined results: a null or empty text is one empty line.  A null id is one document and
 keeps a line only if no other holds it.  Rows with equal ids count as one document; each
-row is treated by its own text.  Lines outside keys, and their order, stay as they are.
+row is treated by its own text.  Lines outside keys, and their order, stay as they are.  Lines and texts of any length
+are read whole.  An empty table gives an empty table.  Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

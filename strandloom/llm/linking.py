@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import discard, ship, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("_a <> _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "links")
     last = None
     while True:
-        edges = written(_star(_star(edges, True), False), "stars")
+        before, edges = edges, written(_star(_star(edges, True), False), "stars")
+        discard(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first()
         if state == last:
             break

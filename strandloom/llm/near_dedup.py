@@ -15,7 +15,9 @@ are tested leader first, then in blocks (see linking); no bucket gives all its p
 Defined results: texts of fewer than five words are one k-mer; null and empty texts are one
 class without words, linked with nothing else.  Rows with a null id are alone.  Rows with
 equal ids and equal words stay or go together; those with equal ids and other words are
-documents of their own, of which a group keeps one.
+documents of their own, of which a group keeps one.  Texts of any length are sketched and aligned whole.  Ties go
+to the smallest id.  An empty table gives an empty table.  near_duplicates reads no other columns; drop_near_duplicates
+returns them as they are, and uses names that begin with underscores beside them in joins alone.
 """
 
 from __future__ import annotations

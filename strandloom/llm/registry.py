@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +67,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_token_counts, op4_byte_bpe, op5_minhash_near_dedup, op6_exact_dedup, op7_substring_dedup, op8_token_output, op9_language_id, op10_embedding_near_dedup)}
-    return {**named, "pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_token_counts, op4_byte_bpe, op5_minhash_near_dedup, op6_exact_dedup, op7_substring_dedup, op8_token_output, op9_language_id, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,10 +13,19 @@ import numpy as np
 import tiktoken
 
 
+def ranks_of(path: str) -> bytes:
+    """The vocabulary file, read by the driver alone: its lines travel with the tasks, so executors need no such file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def parsed(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x.strip())}
+
+
 class Encoder:
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+    def __init__(self, lines: bytes, pattern: str):
+        ranks = parsed(lines)
         self.dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"  # little-endian machines
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -35,11 +44,12 @@ class Encoder:
         return np.frombuffer(self(text), self.dtype)
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[int, str], Encoder] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(ranks: bytes, pattern: str) -> Encoder:
     """One encoder for each worker process."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+    name = (hash(ranks), pattern)
+    if name not in _encoders:
+        _encoders[name] = Encoder(ranks, pattern)
+    return _encoders[name]

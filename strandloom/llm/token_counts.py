@@ -14,7 +14,8 @@ outside every section count for no section; a token without a section is not cou
 Defined results: a null or empty text is one empty section without tokens.  Rows are
 independent of each other, so repeated rows and ties give repeated results; a null id is
 kept.  With fields, a null field is empty and the fields are joined by newlines, which
-belong to the field before.
+belong to the field before.  Texts of any length are encoded whole.  An empty table gives an empty table.  Other
+columns are not read, and the named ones travel under names of their own, so that names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField
 
 from .common import mapped
-from .spans import encoder
+from .spans import encoder, ranks_of
 
 RULES = ("most", "first", "last", "share")
 
@@ -78,9 +79,10 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, sections: Callable = line_sections, rule: str = "most") -> DataFrame:
     """id, section (0, 1, ...), start, end and n_tokens (double) for every section of every row."""
+    ranks = ranks_of(path)
 
     def make(texts):
-        encode, lows, highs, counts = encoder(path, pattern), [], [], []
+        encode, lows, highs, counts = encoder(ranks, pattern), [], [], []
         for x in texts:
             low, high = sections(x or "")
             spans = token_spans(x, encode.lengths[encode.ids(x)]) if x else (np.zeros(0, np.int64),) * 2
@@ -97,10 +99,11 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id
 
 def count_field_tokens(docs: DataFrame, path: str, pattern: str, fields: list[str], doc_id: str = "doc_id", *, rule: str = "most") -> DataFrame:
     """id, field and n_tokens: the fields of a row are encoded together, joined by newlines."""
+    ranks = ranks_of(path)
     texts = F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in fields])
 
     def make(rows):
-        encode, out = encoder(path, pattern), []
+        encode, out = encoder(ranks, pattern), []
         for parts in rows:
             whole = "\n".join(parts)
             high = np.cumsum([len(p) + 1 for p in parts])

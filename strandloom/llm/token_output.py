@@ -1,24 +1,33 @@
 """Token-ID output in training order.
 
 A document's ids are cut into sequences of ``stride`` ids.  Sequences are numbered without
-gaps (documents in the order of a hash of their id), and a keyed Feistel permutation with
+gaps (files by path, rows in a file, sequences in a row), and a keyed Feistel permutation with
 cycle-walking over 0 .. N-1 gives each its global slot: a shuffle that needs no sort key but
 the slot, and that any reader can invert.  Slots are cut into ranges; each range is one
-partition, sorted by slot, and writes shards of ``per_shard`` records of fixed size.  So
+partition, sorted by slot, and writes its shards of ``per_shard`` records of fixed size.  So
 slot s lies at byte (s mod per_shard) * record of shard s div per_shard, and training can
 read on from any slot.
 
+1. A scan counts the sequences of each row.  Splits of files are read in order, so a row's first number is that of
+   its split (a row for each split, broadcast) and what stands before it there.  No text is shuffled.  Input that is
+   not a plain scan of files, whose order would not be fixed, is written first.
+2. A second scan encodes, numbers and cuts; the ids go to the ranges of slots and into shards.
+
 A record: ``stride`` ids, little-endian, those after the sequence's end being ``pad``.
-Shards are written under another name and renamed; a shard that is there whole is not
-written again, so tasks can be repeated.
 
-Defined results: null and empty texts have no sequences.  Repeated rows are separate
-documents; their numbers may be exchanged.  A null id is an id.  An empty table writes no
-shard.
+The folder has a manifest that names the key, the sizes, the tokenizer and a digest of the input in its order.  A
+folder with another manifest is refused.  With the same one the work goes on: whole shards are kept
+(they are written under another name and renamed), and a finished folder is only read.
+
+Defined results: null and empty texts have no sequences.  Repeated rows are separate documents.  A null id is an id.
+Texts of any length are cut alike.  An empty table writes no shard.  Other columns are not read, so their names
+cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -26,13 +35,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from .common import mapped, scratch_path, ship, slices, small, unit, written
-from .spans import encoder
+from ..functions.storage import read_new, scratch_root, write_text
+from .common import mapped, ship, slices, written
+from .spans import encoder, ranks_of
 
 
 def permuted(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -55,42 +66,61 @@ def permuted(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def numbered(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, stride: int, bucket_rows: int = 4096) -> DataFrame:
-    """_id, _text, _h and _before, the number of the row's first sequence; _all, the number of sequences."""
-    base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.lit("order"), F.col(doc_id)).alias("_h"), F.xxhash64(text).alias("_t"))
+def in_file_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """_id, _text, _path and _block (the split) of rows that are read from files in a fixed order."""
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    if not any(x in plan for x in ("Exchange", "Sort", "Join", "Aggregate", "Generate", "Map", "Union", "Limit", "Sample", "InMemory", "LocalTableScan", "Range")):
+        try:
+            return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+        except AnalysisException:  # not files
+            pass
+    return written(rows, "rows").select("_id", "_text", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def numbered(rows: DataFrame, ranks: bytes, pattern: str, stride: int) -> tuple[DataFrame, int, str]:
+    """From rows of in_file_order: the first number of each split (_f, a hash of its path, _block, _base), the number of sequences, and a digest of the rows in their order."""
 
     def make(texts):
-        e = encoder(path, pattern)
+        e = encoder(ranks, pattern)
         return (pa.array([-(-e.count(x) // stride) for x in texts], pa.int64()),)
 
-    counts = written(mapped(base, ["_id", "_h", "_t"], "_text", [StructField("_n", LongType())], make), "counts")
-    # rows with equal id and text are numbered one after the other
-    counts = counts.groupBy("_id", "_h", "_t").agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"))
-    buckets = max(1, counts.count() // bucket_rows)
-    counts = written(counts.withColumn("_bucket", F.floor(unit(F.col("_h")) * buckets)), "per_text")
-    sums = counts.groupBy("_bucket").agg(F.sum("_n").alias("_in"))
-    sums = written(sums.select("_bucket", (F.sum("_in").over(Window.orderBy("_bucket")) - F.col("_in")).alias("_base")), "sums")
-    inside = Window.partitionBy("_bucket").orderBy("_h", "_id", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    return written(counts.withColumn("_sum", F.sum("_n").over(inside)).join(small(sums), "_bucket").select("_id", "_t", "_n", "_rows", (F.col("_base") + F.col("_sum") - F.col("_n")).alias("_before")), "numbered")
+    tagged = rows.select("_path", "_block", "_text", F.xxhash64("_id", "_text").alias("_hash"), F.monotonically_increasing_id().alias("_at"))
+    counts = written(mapped(tagged, ["_path", "_block", "_hash", "_at"], "_text", [StructField("_n", LongType())], make), "counts")
+    splits = counts.groupBy("_path", "_block").agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    files = Window.orderBy("_path", "_block")  # a row for each split
+    before = lambda c: F.sum(c).over(files.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
+    splits = written(splits.select("_path", "_block", F.xxhash64("_path").alias("_f"), "_n", "_first", before("_n").alias("_base"), before("_rows").alias("_row")), "splits")
+    total = splits.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    # a row's place over all files, whatever its split and task
+    place = F.col("_row") + F.col("_at") - F.col("_first")
+    known = counts.join(F.broadcast(splits.select("_path", "_block", "_row", "_first")), ["_path", "_block"])
+    state = known.agg(F.count("*").alias("n"), F.sum(F.xxhash64("_hash", place, "_n").cast("decimal(38,0)")).alias("h")).first()
+    return splits.select("_f", "_block", "_base"), total, f"{state['n']}/{state['h']}"
+
 
+def _cut(ranks: bytes, pattern: str, stride: int, total: int, key: int):
+    """Sequences of the rows (_id, _text, _f, _block, _base) of splits, which come one after the other."""
 
-def _cut(path: str, pattern: str, stride: int, total: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, pack = encoder(path, pattern), zstandard.ZstdCompressor(level=1)
+        e, pack = encoder(ranks, pattern), zstandard.ZstdCompressor(level=1)
+        split, at = None, 0
         for batch in batches:
             for part in slices(batch, 64):
-                rows, first, pieces = [], [], []
-                for r, (x, before) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                rows, numbers, seq, pieces = [], [], [], []
+                for r, (x, *here, base) in enumerate(zip(*[part.column(i).to_pylist() for i in range(1, 5)])):
+                    if here != split:
+                        split, at = here, base
                     codes, size = e(x), stride * e.dtype.itemsize
                     cut = [codes[i : i + size] for i in range(0, len(codes), size)]
                     rows += [r] * len(cut)
-                    first += range(before, before + len(cut))
+                    numbers += range(at, at + len(cut))
+                    seq += range(len(cut))
                     pieces += cut
+                    at += len(cut)
                 if rows:
-                    numbers = np.array(first, np.int64)
-                    seq = numbers - np.array(part.column(2).to_pylist(), np.int64)[rows]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(rows)), pa.array(seq), pa.array([len(p) // e.dtype.itemsize for p in pieces], pa.int64()), pa.array(permuted(numbers, total, key)), pa.array(map(pack.compress, pieces), pa.binary())],
+                        [part.column(0).take(pa.array(rows)), pa.array(seq, pa.int64()), pa.array([len(p) // e.dtype.itemsize for p in pieces], pa.int64()), pa.array(permuted(np.array(numbers, np.int64), total, key)), pa.array(map(pack.compress, pieces), pa.binary())],
                         names=["_id", "_seq", "_len", "_slot", "_ids"],
                     )
 
@@ -128,32 +158,45 @@ def _shards(folder: str, record: int, per_shard: int, total: int, pad: bytes):
     return run
 
 
-def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, stride: int = 1024, per_shard: int = 4096, key: int = 20, pad: int | None = None, folder: str | None = None) -> DataFrame:
-    """Writes shards below folder (in the shared folder by default) when the result is read:
-    id, seq_no, n_tokens, slot, shard and byte_offset of every sequence.  pad: the largest id that fits by default."""
+def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, stride: int = 1024, per_shard: int = 4096, key: int = 20, pad: int | None = None, folder: str | None = None, shards_per_task: int = 16) -> DataFrame:
+    """Writes shards, their index and a manifest below folder (a new one in the shared folder by default), and returns the
+    index: id, seq_no, n_tokens, slot, shard, byte_offset and shard_path of every sequence.  pad: the largest id that fits by default."""
     spark = docs.sparkSession
     ship(spark)
-    e = encoder(path, pattern)
-    numbers = numbered(docs, path, pattern, doc_id, text, stride)
-    total = numbers.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t"))
-    once, more = numbers.where("_rows = 1 and _n > 0"), numbers.where("_rows > 1 and _n > 0")
-    on = lambda n: rows["_id"].eqNullSafe(n["_id"]) & (rows["_t"] == n["_t"])
-    first = rows.join(small(once), on(once)).select(rows["_id"], "_text", "_before")
-    # repeated rows: one of them stands for all, a copy for each number
-    again = rows.join(small(more), on(more)).select(rows["_id"], "_text", "_before", "_n", "_rows").distinct()
-    step = (F.col("_n") / F.col("_rows")).cast("long")
-    again = again.select("_id", "_text", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1), lambda i: F.col("_before") + i * step)).alias("_before"))
-    schema = StructType([first.schema.fields[0], *[StructField(c, LongType()) for c in ("_seq", "_len", "_slot")]]).add("_ids", "binary")
-    cut = first.union(again).mapInArrow(_cut(path, pattern, stride, total, key), schema)
-    shards = max(1, -(-total // per_shard))
-    cut = cut.repartitionById(shards, F.floor(F.col("_slot") / per_shard).cast("int")).sortWithinPartitions("_slot")
-    folder = folder or scratch_path(spark, "shards")
-    record = stride * e.dtype.itemsize
-    filler = np.array([np.iinfo(e.dtype).max if pad is None else pad], e.dtype).tobytes()
-    out = StructType([*schema.fields[:4], StructField("_shard", LongType()), StructField("_at", LongType())])
-    done = cut.mapInArrow(_shards(folder, record, per_shard, total, filler), out)
-    return done.select(F.col("_id").alias(doc_id), F.col("_seq").alias("seq_no"), F.col("_len").alias("n_tokens"), F.col("_slot").alias("slot"), F.col("_shard").alias("shard"), F.col("_at").alias("byte_offset"))
+    ranks = ranks_of(path)
+    e = encoder(ranks, pattern)
+    pad = int(np.iinfo(e.dtype).max) if pad is None else pad
+    folder = (folder or f"{scratch_root(spark)}/strandloom-shards/{uuid.uuid4().hex}").rstrip("/")
+    rows = in_file_order(docs, doc_id, text)
+    splits, total, digest = numbered(rows, ranks, pattern, stride)
+    made_by = {"version": 2, "key": key, "stride": stride, "per_shard": per_shard, "pad": pad, "dtype": e.dtype.str, "sequences": total, "tokenizer": hashlib.sha256(ranks).hexdigest(), "pattern": pattern, "input": digest}
+    if not _begin(spark, folder, made_by):
+        rows = rows.select("_id", "_text", F.xxhash64("_path").alias("_f"), "_block").join(F.broadcast(splits), ["_f", "_block"]).select("_id", "_text", "_f", "_block", "_base")
+        schema = StructType([rows.schema["_id"], *[StructField(c, LongType()) for c in ("_seq", "_len", "_slot")]]).add("_ids", "binary")
+        cut = rows.mapInArrow(_cut(ranks, pattern, stride, total, key), schema)
+        shards = max(1, -(-total // per_shard))
+        # enough tasks for all cores, then several shards for each
+        tasks = min(shards, max(3 * spark.sparkContext.defaultParallelism, -(-shards // shards_per_task)))
+        cut = cut.repartitionById(tasks, F.floor(F.floor(F.col("_slot") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("_slot")
+        out = StructType([*schema.fields[:4], StructField("_shard", LongType()), StructField("_at", LongType())])
+        done = cut.mapInArrow(_shards(folder, stride * e.dtype.itemsize, per_shard, total, np.array([pad], e.dtype).tobytes()), out)
+        done = done.select(F.col("_id").alias(doc_id), F.col("_seq").alias("seq_no"), F.col("_len").alias("n_tokens"), F.col("_slot").alias("slot"), F.col("_shard").alias("shard"), F.col("_at").alias("byte_offset"))
+        done.write.mode("overwrite").parquet(f"{folder}/index")
+        write_text(spark, f"{folder}/manifest.json", json.dumps(made_by | {"complete": True}))
+    name = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
+    return spark.read.parquet(f"{folder}/index").withColumn("shard_path", name)
+
+
+def _begin(spark: SparkSession, folder: str, made_by: dict) -> bool:
+    """Whether the folder is finished; a new one gets its manifest, another one's is refused."""
+    found = read_new(spark, f"{folder}/manifest.json")
+    if found is None:
+        write_text(spark, f"{folder}/manifest.json", json.dumps(made_by | {"complete": False}))
+        return False
+    found = json.loads(found)
+    if different := [k for k in made_by if found.get(k) != made_by[k]]:
+        raise ValueError(f"{folder} holds shards with another {', '.join(different)}; choose a new folder")
+    return found["complete"]
 
 
 def read_shard(folder: str, shard: int, stride: int, dtype="<u2", from_record: int = 0) -> np.ndarray:

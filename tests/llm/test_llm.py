@@ -14,6 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from strandloom.functions import storage
 from strandloom.llm import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, registry, spans, substring_dedup, token_counts, token_output
 
 PATH, PATTERN = public_tokenizers.path(registry.TOKENIZER), public_tokenizers.PATTERN
@@ -114,7 +115,7 @@ def test_inverse_demand(spark):
 
 @pytest.fixture(scope="module")
 def library():
-    ranks = bpe.ByteBPE.from_file(PATH, PATTERN).ranks
+    ranks = spans.parsed(spans.ranks_of(PATH))
     return tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -351,22 +352,51 @@ def test_token_counts(spark, docs, library):
 
 
 def test_encoder_is_like_the_library(texts, library):
-    e = spans.encoder(PATH, PATTERN)
+    e = spans.encoder(spans.ranks_of(PATH), PATTERN)
     for t in [*texts, " a  b", "a ", "x \n y", "it's 's 3rd", "  nbsp  "]:
         assert e.ids(t).tolist() == library.encode_ordinary(t or "")
 
 
-def test_training_order(spark, docs, library, tmp_path):
-    folder = f"file://{tmp_path}/shards"
-    out = token_output.write_training_order(docs, PATH, PATTERN, stride=64, per_shard=20, folder=folder)
-    for _ in range(2):  # a second run finds the shards
-        got = out.collect()
+def written_in_order(got, folder, rows, library, stride=64, pad=65535):
+    """Whether the shards hold the sequences of rows at their slots, and each slot once."""
     assert sorted(r["slot"] for r in got) == list(range(len(got)))
-    whole = {r["doc_id"]: library.encode_ordinary(r["text"] or "") for r in docs.collect()}
+    whole = {}
+    for r in rows:
+        whole.setdefault(r["doc_id"], []).append(library.encode_ordinary(r["text"] or ""))
     for r in got:
-        record = token_output.read_shard(folder, r["shard"], 64, from_record=r["byte_offset"] // 128)[0]
-        assert record[: r["n_tokens"]].tolist() == whole[r["doc_id"]][64 * r["seq_no"] :][:64] and (record[r["n_tokens"] :] == 65535).all()
-    assert sum(r["n_tokens"] for r in got) == sum(len(library.encode_ordinary(r["text"] or "")) for r in docs.collect())
+        assert r["shard_path"] == f"{folder}/shard-{r['shard']:08d}.bin"
+        record = token_output.read_shard(folder, r["shard"], stride, from_record=r["byte_offset"] // (2 * stride))[0]
+        assert record[: r["n_tokens"]].tolist() in [w[stride * r["seq_no"] :][:stride] for w in whole[r["doc_id"]]]
+        assert (record[r["n_tokens"] :] == pad).all()
+    assert sum(r["n_tokens"] for r in got) == sum(len(w) for ws in whole.values() for w in ws)
+
+
+@pytest.mark.parametrize("files", [False, True])
+def test_training_order(spark, docs, library, tmp_path, files):
+    folder, kw = f"file://{tmp_path}/shards", {"stride": 64, "per_shard": 20, "shards_per_task": 4}
+    if files:  # several files, in small splits
+        docs.repartition(5).write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = token_output.write_training_order(docs, PATH, PATTERN, folder=folder, **kw)
+    got, rows = out.collect(), docs.collect()
+    written_in_order(got, folder, rows, library)
+    assert len({r["shard"] for r in got}) > 5
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "shards").glob("shard-*")}
+    assert token_output.write_training_order(docs, PATH, PATTERN, folder=folder, **kw).collect() == got
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "shards").glob("shard-*")} == before
+    # another key, size or input does not mix with what is there
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == 4, F.concat(F.lit("x"), F.substring("text", 2, 9999))).otherwise(F.col("text")))
+    for d, other in ((docs, {"key": 21}), (docs, {"stride": 32}), (docs, {"pad": 7}), (changed, {})):
+        with pytest.raises(ValueError, match="new folder"):
+            token_output.write_training_order(d, PATH, PATTERN, folder=folder, **{**kw, **other})
+    # a run that stopped between shards goes on
+    manifest = f"{folder}/manifest.json"
+    storage.write_text(spark, manifest, storage.read_text(spark, manifest).replace("true", "false"))
+    next((tmp_path / "shards").glob("shard-*3.bin")).unlink()
+    again = token_output.write_training_order(docs, PATH, PATTERN, folder=folder, **kw)
+    written_in_order(again.collect(), folder, rows, library)
+    other = token_output.write_training_order(changed, PATH, PATTERN, folder=f"{folder}-2", **{**kw, "key": 21})
+    written_in_order(other.collect(), f"{folder}-2", changed.collect(), library)
     assert token_output.write_training_order(empty(spark), PATH, PATTERN).count() == 0
 
 
