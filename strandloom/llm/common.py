@@ -40,6 +40,22 @@ def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return df.withColumn("_in_part", rank).join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + F.col("_in_part") - 1).drop("_part", "_in_part", "_before")
 
 
+def running_before(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of value over the rows of the same key that come before in order; (key, order) is unique.
+
+    By range partitions and their sums, so that no task sees all rows of a key; keys have a row each in the end.
+    """
+    by = [F.col(key), F.col(order)]
+    df = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = df.groupBy("_part").agg(F.sum(value).alias("_n"))
+    parts = written(parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base")), "parts")
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_sum", inside).join(small(parts), "_part").withColumn(name, F.col("_base") + F.col("_sum") - F.col(value)).drop("_part", "_base", "_sum")
+    df = written(df, "running")
+    first = written(df.groupBy(key).agg(F.min(name).alias("_first")), "firsts")
+    return df.join(small(first), key).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
@@ -65,3 +81,19 @@ def mapped(df: DataFrame, keep: list[str], value: str, fields: list[StructField]
 
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *[F.col(n).alias(f.name) for n, f in zip(new, fields)])
+
+
+#: Rows of Spark's bitmaps hold so many bits.
+PIECE = 1 << 15
+
+
+def maybe_in(rows: DataFrame, value: Column, hashes: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
+    """rows with _maybe: false only where value is not among the _hash of hashes, by a broadcast bitmap of at most max_bits / 8 bytes."""
+    bits = power_of_two(16 * hashes.count(), PIECE, max_bits)
+    at = F.pmod(F.col("_hash"), F.lit(bits))
+    pieces = hashes.select(F.floor(at / PIECE).alias("_piece"), (at % PIECE).alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = F.pmod(value, F.lit(bits))
+    met = rows.select("*", F.floor(at / PIECE).alias("_piece"), (at % PIECE).alias("_bit")).join(F.broadcast(pieces), "_piece", "left")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1, F.lit(False))
+    return met.withColumn("_byte", byte).withColumn("_maybe", maybe).drop("_piece", "_bit", "_bits", "_byte")

@@ -22,10 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SPACE, plan_bytes, power_of_two, small, written
-
-#: Rows of Spark's bitmaps hold so many bits.
-PIECE = 1 << 15
+from .common import BROADCAST_BYTES, SPACE, maybe_in, plan_bytes, small, written
 
 
 def normalised(text: Column) -> Column:
@@ -47,15 +44,6 @@ def _survivors(docs: DataFrame, text: str, prefix_chars: int) -> DataFrame:
     return heads.join(lengths, "_len", "left_semi").where("_n > 1").select("_len", "_prefix")
 
 
-def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
-    at = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(bits))
-    return (
-        keys.select(F.floor(at / PIECE).alias("_piece"), (at % PIECE).alias("_bit"))
-        .groupBy("_piece")
-        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    )
-
-
 def surviving_keys(docs: DataFrame, text: str, prefix_chars: int = 64) -> DataFrame:
     return written(_survivors(docs, text, prefix_chars), "survivors")
 
@@ -63,16 +51,10 @@ def surviving_keys(docs: DataFrame, text: str, prefix_chars: int = 64) -> DataFr
 def refined(docs: DataFrame, text: str, *keep: Column, keys: DataFrame | None = None, prefix_chars: int = 64, max_bits: int = 1 << 27, digest_all: bool = False) -> DataFrame:
     """keep columns, _len, _prefix, _maybe (its group survived) and _sha (null unless it did, or digest_all)."""
     keys = surviving_keys(docs, text, prefix_chars) if keys is None else keys
-    bits = power_of_two(16 * keys.count(), PIECE, max_bits)
-    at = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(bits))
-    byte = F.substring(F.col("_bits"), F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))
-    rows = _keyed(docs, text, prefix_chars, *keep).select("*", F.floor(at / PIECE).alias("_piece"), (at % PIECE).alias("_bit"))
-    # at most max_bits / 8 bytes: 16 MB
-    rows = rows.join(F.broadcast(_bitmap(keys, bits)), "_piece", "left")
-    maybe = F.coalesce(F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1, F.lit(False))
-    rows = rows.withColumn("_byte", F.conv(F.hex(byte), 16, 10).cast("int")).withColumn("_maybe", maybe)
+    key = F.xxhash64("_len", "_prefix")
+    rows = maybe_in(_keyed(docs, text, prefix_chars, *keep), key, keys.select(key.alias("_hash")), max_bits)
     wanted = F.lit(True) if digest_all else F.col("_maybe")
-    return rows.withColumn("_sha", F.when(wanted, F.sha2("_norm", 256))).drop("_norm", "_piece", "_bit", "_bits", "_byte")
+    return rows.withColumn("_sha", F.when(wanted, F.sha2("_norm", 256))).drop("_norm")
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, digest_all: bool = False) -> DataFrame:

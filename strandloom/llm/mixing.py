@@ -16,7 +16,7 @@ word, so that a source gives exactly its target, rounded down; "whole" takes tha
 whole if at least half of it fits, else not.
 
 A running sum over a source of any size goes by hash buckets of about ``bucket_rows``
-documents, so no task holds a source.
+documents, and over its buckets by ranges, so no task holds a source or all its buckets.
 
 Defined results: size of a null or empty text is 0, and such documents take 0 words.  A
 null source is a source.  Rows with equal ids are separate documents; a null id is an id.
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, dense_index, small, unit, written
+from .common import WORD, dense_index, running_before, small, unit, written
 
 #: Weight over training time relative to its mean, for each place in the cycle of weights: (time, weight).
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)))
@@ -96,8 +96,7 @@ def mix_plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     bucket = F.floor(unit(F.col("_h")) * F.ceil(F.col("_docs") / bucket_rows)).cast("long")
     rows = rows.withColumn("_bucket", bucket)
     sums = rows.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_in"))
-    before = F.sum("_in").over(Window.partitionBy("_key").orderBy("_bucket")) - F.col("_in")
-    sums = written(sums.select("_key", "_bucket", before.alias("_before")), "buckets")
+    sums = written(running_before(sums, "_key", "_bucket", "_in", "_before").select("_key", "_bucket", "_before"), "buckets")
     inside = Window.partitionBy("_key", "_bucket").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_sum", F.sum("_size").over(inside)).join(small(sums), ["_key", "_bucket"])
     full = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0)

@@ -70,7 +70,7 @@ def in_file_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """_id, _text, _path and _block (the split) of rows that are read from files in a fixed order."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    if not any(x in plan for x in ("Exchange", "Sort", "Join", "Aggregate", "Generate", "Map", "Union", "Limit", "Sample", "InMemory", "LocalTableScan", "Range")):
+    if not any(x in plan for x in ("Exchange", "Sort", "Join", "Aggregate", "Generate", "Map", "Union", "Limit", "Sample", "InMemoryTableScan", "LocalTableScan", "Range (")):
         try:
             return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
         except AnalysisException:  # not files

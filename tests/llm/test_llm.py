@@ -62,7 +62,11 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.exact_dedup(empty(spark)).count() == exact_dedup.drop_exact_copies(empty(spark)).count() == 0
 
 
-def test_line_dedup(spark, docs):
+@pytest.mark.parametrize("kw", [{}, {"max_bits": 1 << 16, "flush": 3}, {"max_bits": 1 << 16, "broadcast_bytes": 0}])
+def test_line_dedup(spark, docs, kw, monkeypatch):
+    """With filters that fit, with one so full that it suspects other lines too, and with losing documents that travel."""
+    if kw:
+        monkeypatch.setattr(line_dedup, "cells", lambda h, bits: (h & np.uint64(63), h >> np.uint64(32) & np.uint64(63)))
     where = {}
     rows = [(r["doc_id"], (r["text"] or "").split("\n")) for r in docs.collect()]
     key = lambda x: re.sub(r"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
@@ -72,7 +76,7 @@ def test_line_dedup(spark, docs):
                 where.setdefault(key(x), set()).add(i)
     lost = {k: max(x for x in v if x is not None) for k, v in where.items() if len(v) >= 3}
     want = sorted(((i, len(lines), "\n".join(x for x in lines if lost.get(key(x), i) == i)) for i, lines in rows), key=str)
-    got = line_dedup.dedup_lines(docs).collect()
+    got = line_dedup.dedup_lines(docs, **kw).collect()
     assert sorted(((r["doc_id"], r["n_lines"], r["kept_text"]) for r in got), key=str) == want
     assert lost and all(r["n_dropped"] == r["n_lines"] - len(w[2].split("\n")) or w[2] == "" for r, w in zip(sorted(got, key=lambda r: str((r["doc_id"], r["n_lines"], r["kept_text"]))), want))
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
@@ -103,6 +107,51 @@ def test_mixing(spark, docs):
     assert mixing.mix_documents(empty(spark)).count() == mixing.mix_plan(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("boundary, bucket_rows", [("split", 1024), ("split", 2), ("whole", 3)])
+def test_mixing_against_a_plain_model(spark, docs, boundary, bucket_rows):
+    """Words taken of each document, positions and training order, from the seeded order of documents and the targets."""
+    kw = {"boundary": boundary, "bucket_rows": bucket_rows}
+    targets = {}
+    for r in mixing.mix_plan(docs, **kw).select("_source_size", "_target", "_slot").distinct().collect():
+        targets[r["_source_size"]] = (r["_target"], r["_slot"])
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    hashed = docs.select("doc_id", "text", "source", F.xxhash64(F.lit(17), F.col("doc_id")).alias("h")).collect()
+    by = {}
+    for r in hashed:
+        by.setdefault(r["source"], []).append(r)
+    taken, copies = [], []
+    for rows in by.values():
+        rows.sort(key=lambda r: (r["h"], r["doc_id"] is not None, r["doc_id"] or 0, len(words(r["text"]))))
+        total = sum(len(words(r["text"])) for r in rows)
+        target, slot = targets[total]
+        grid = np.linspace(0, 1, 200_001)
+        w = np.interp(grid, *zip(*mixing.SCHEDULES[slot]))
+        demand = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+        full, start = int(target // total), 0
+        for r in rows:
+            n = len(words(r["text"]))
+            left = target - full * total - start
+            extra = max(0, min(n, int(np.floor(left)))) if boundary == "split" else n if n and 2 * left >= n else 0
+            taken.append((r["doc_id"], n, full * n + extra))
+            for epoch in range(full + (extra > 0)):
+                given = n if epoch < full else extra
+                if given:
+                    x = (epoch * total + start + given / 2) / target
+                    copies.append((float(np.interp(x, demand / demand[-1], grid)) if x < 1 else x, r["doc_id"], given))
+            start += n
+    plan = mixing.mix_plan(docs, **kw).collect()
+    assert sorted(((r["_id"], r["_size"], r["_taken"]) for r in plan), key=str) == sorted(taken, key=str)
+    mix = mixing.mix_documents(docs, **kw).collect()
+    copies.sort(key=lambda c: c[0])
+    assert Counter((r["doc_id"], len(words(r["text"]))) for r in mix) == Counter(c[1:] for c in copies)
+    # the order is that of the positions, up to the model's grid
+    at = {}
+    for i, (p, doc, n) in enumerate(copies):
+        at.setdefault((doc, n), []).append(p)
+    found = [at[r["doc_id"], len(words(r["text"]))].pop(0) for r in mix]
+    assert all(b >= a - 1e-4 for a, b in zip(found, found[1:]))
+
+
 def test_inverse_demand(spark):
     x = spark.range(1, 100).select((F.col("id") / 100).alias("x"))
     for knots in mixing.SCHEDULES:
@@ -351,6 +400,47 @@ def test_token_counts(spark, docs, library):
     assert fields.count() == 2 * docs.count() and token_counts.count_tokens(empty(spark), PATH, PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_against_each_character(spark, library, rule):
+    """Each token's characters are counted one by one, for lines and for fields, in texts whose tokens cross their ends."""
+    rng = random.Random(31)
+    texts = ["".join(rng.choice(["a", "bc", " ", "\n", "\n\n", "é", "漢字", "🙂", "the", "  ", "\t\n"]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+
+    def plain(text, bounds):
+        out, char_of = [0.0] * len(bounds), [i for i, c in enumerate(text) for _ in c.encode()]
+        section = {c: k for k, (a, b) in enumerate(bounds) for c in range(a, b)}
+        at = 0
+        for t in library.encode_ordinary(text):
+            n = len(library.decode_single_token_bytes(t))
+            chars = sorted(set(char_of[at : at + n]))
+            at += n
+            held = Counter(section[c] for c in chars if c in section)
+            if rule == "most":
+                out[min(held, key=lambda k: (-held[k], k))] += 1
+            elif rule == "share":
+                for k, c in held.items():
+                    out[k] += c / len(chars)
+            else:
+                out[section[chars[0 if rule == "first" else -1]]] += 1
+        return out
+
+    frame = spark.createDataFrame([(i, t, t[::-1]) for i, t in enumerate(texts)], "doc_id int, text string, other string")
+    got = token_counts.count_tokens(frame, PATH, PATTERN, rule=rule).toPandas()
+    for i, g in got.groupby("doc_id"):
+        g = g.sort_values("section")
+        bounds, at = [], 0
+        lines = texts[i].split("\n")
+        for j, x in enumerate(lines):
+            bounds.append((at, at + len(x) + (j < len(lines) - 1)))
+            at = bounds[-1][1]
+        assert list(zip(g.start, g.end)) == bounds and g.n_tokens.tolist() == pytest.approx(plain(texts[i], bounds))
+    fields = token_counts.count_field_tokens(frame, PATH, PATTERN, ["text", "other"], rule=rule).toPandas()
+    for i, g in fields.groupby("doc_id"):
+        t = texts[i]
+        want = plain(t + "\n" + t[::-1], [(0, len(t) + 1), (len(t) + 1, 2 * len(t) + 1)])
+        assert dict(zip(g.field, g.n_tokens)) == pytest.approx(dict(zip(["text", "other"], want)))
+
+
 def test_encoder_is_like_the_library(texts, library):
     e = spans.encoder(spans.ranks_of(PATH), PATTERN)
     for t in [*texts, " a  b", "a ", "x \n y", "it's 's 3rd", "  nbsp  "]:

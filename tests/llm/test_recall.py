@@ -1,0 +1,91 @@
+"""Recall of the searches that go by sampled keys, against brute force and on planted cases."""
+
+import random
+
+import numpy as np
+import pytest
+
+from strandloom.llm import embedding_dedup, near_dedup, substring_dedup
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_passages_of_every_twentieth_document(spark, record_property):
+    """Queries are the documents whose id is divisible by 20; each is compared with every earlier document that shares any
+    five words in a row.  Words of queries that brute force finds repeated must be in the operator's passages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    made = {i: substring_dedup.Shingles(substring_dedup.word_codes(t), 5) for i, t in rows if len((t or "").split()) >= 50}
+    where = {}
+    for i, s in made.items():
+        for h in np.unique(s.h).tolist():
+            where.setdefault(h, []).append(i)
+    want = {}
+    for i in (i for i in made if i % 20 == 0):
+        covered = np.zeros(len(made[i].codes), bool)
+        for j in {j for h in made[i].h.tolist() for j in where[h] if j < i}:
+            for s, e, _, _ in substring_dedup.passages(made[i], made[j], 5, 0.05, 50, 0.8):
+                covered[s:e] = True
+        want[i] = covered
+    found = {i: np.zeros(len(c), bool) for i, c in want.items()}
+    for r in substring_dedup.repeated_passages(docs).collect():
+        if r["doc_id"] in found:
+            found[r["doc_id"]][r["start_word"] : r["end_word"]] = True
+    hit = {i: (found[i] & want[i]).sum() for i in want}
+    total, held = sum(c.sum() for c in want.values()), sum(hit.values())
+    some = [i for i in want if want[i].any()]
+    print(f"passages: {held} of {total} words, {sum(hit[i] > 0 for i in some)} of {len(some)} of {len(want)} queries")
+    assert len(some) >= 5 and held >= 0.95 * total and all(hit[i] > 0 for i in some)
+    assert sum((found[i] & ~want[i]).sum() for i in want) == 0
+
+
+def test_near_duplicates_just_above_the_threshold(spark):
+    """Pairs of texts whose similarity is 0.80 to 0.83, where sketches are weakest, and pairs just below it."""
+    rng = random.Random(17)
+    rows, above, below = [], [], []
+    while len(above) < 150 or len(below) < 50:
+        a = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        b = list(a)
+        for _ in range(max(1, round(len(a) * rng.uniform(0.015, 0.03)))):
+            b[rng.randrange(len(b))] = f"x{rng.randrange(5000)}"
+        x, y = (near_dedup.shingles(near_dedup.word_codes(" ".join(t))) for t in (a, b))
+        s = near_dedup.aligned(x, y, 0.7)
+        if (0.8 <= s < 0.83 and len(above) < 150) or (0.75 < s < 0.8 and len(below) < 50):
+            (above if s >= 0.8 else below).append((len(rows), len(rows) + 1))
+            rows += [" ".join(a), " ".join(b)]
+    group = {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    held = sum(group[a] == group[b] for a, b in above)
+    print(f"near duplicates: {held} of {len(above)}")
+    assert held >= 0.99 * len(above) and not any(group[a] == group[b] for a, b in below)
+
+
+@pytest.mark.parametrize("dim", [32, 256, 768])
+def test_embeddings_just_above_the_threshold(spark, dim):
+    """Pairs of vectors with a cosine of 0.930 to 0.940, and of 0.920 to 0.9299."""
+    rng = np.random.default_rng(18)
+    rows, above = [], []
+    for n in range(400):
+        c = rng.uniform(0.9301, 0.94) if n < 300 else rng.uniform(0.92, 0.9299)
+        a, b = rng.standard_normal((2, dim))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)
+        above += [n < 300]
+        rows += [(2 * n, (a * rng.uniform(0.1, 9)).tolist(), n), (2 * n + 1, b.tolist(), n)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    links = [(got[2 * n], got[2 * n + 1]) for n in range(400)]
+    held = sum(x == (1, 1) for x, up in zip(links, above) if up)
+    print(f"embeddings of {dim}: {held} of 300")
+    assert held >= 297 and all(x == (0, 0) for x, up in zip(links, above) if not up)
+
+
+def test_cosines_at_the_very_threshold(spark):
+    """Tests and counts agree on each link, however near its cosine is to the threshold."""
+    rng = np.random.default_rng(19)
+    base = rng.standard_normal((30, 48))
+    rows = [(i, base[i // 2 * 2 if i % 2 == 0 else i // 2 * 2].tolist() if i % 2 == 0 else (base[i - 1] + 0.2 * base[i]).tolist(), 1) for i in range(30)]
+    cosines = [float(embedding_dedup.cosine(*(embedding_dedup._units([np.array(rows[j][1]).tobytes()])[0] for j in (i, i + 1)))) for i in range(0, 30, 2)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    for t in sorted(cosines)[5:8]:
+        got = {r["vec_id"]: r for r in embedding_dedup.embedding_duplicates(frame, threshold=t).collect()}
+        assert all((got[2 * i]["n_links"] > 0) == (got[2 * i + 1]["component_id"] == 2 * i) == (c >= t) for i, c in enumerate(cosines))
