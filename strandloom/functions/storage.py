@@ -170,7 +170,9 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def read_new(spark: SparkSession, path: str) -> str | None:
     """The text that write_text wrote last, or None."""
-    for p in (path, f"{path}.part"):
-        if exists(spark, p):
-            return read_text(spark, p)
-    return None
+    place = saved_at(spark, path)
+    return place and read_text(spark, place)
+
+
+def saved_at(spark: SparkSession, path: str) -> str | None:
+    return next((p for p in (path, f"{path}.part") if exists(spark, p)), None)

@@ -21,7 +21,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import exists, listing, qualified, read_new, remove, write_text
+from ..functions.storage import exists, listing, qualified, read_new, remove, saved_at, write_text
 from ..operators import barcodes as B
 from ..operators import binning, cover, kmers, overlap, paths, selection, spectrum
 from ..sources import readers, writers
@@ -110,7 +110,7 @@ def search(edges: DataFrame, anchor_ids: list[int], config: Config, inputs: dict
     spark = edges.sparkSession
     protect(spark, state_path, list(inputs.values()))
     meta = metadata(config, anchor_ids, signatures(spark, inputs))
-    resumed = read_new(spark, state_path) is not None and not restart
+    resumed = not restart and saved_at(spark, state_path) is not None
     state = load_state(spark, state_path, meta) if resumed else {"metadata": meta, "completed": [], "paths": {}}
     if not resumed:
         write_text(spark, state_path, json.dumps(state))

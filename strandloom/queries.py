@@ -20,6 +20,7 @@ from .sources import adapters
 
 #: Parameters of the queries; SQL is filled in from the same values.
 P = {"k": 21, "key": 11, "stride": 3, "fraction": 0.25, "cap": 4000, "min_overlap": 10, "depth": 4, "top": 10, "genome": 600_000, "coverage": 3.0}
+CAP_PATHS = 5
 MIN_BASES = sequences.min_bin_bases(P["genome"], P["coverage"])
 KEYS = {"k": P["key"], "fraction": P["fraction"], "cap": P["cap"]}
 
@@ -121,7 +122,7 @@ def q_anchors_by_rounds(spark, sf_dir):
 
 def q_greedy_coverage(spark, sf_dir):
     b = barcoded(spark, sf_dir)
-    return cover.coverage(cover.anchors(b), cover.universe(b)).select("covered", "universe_size", "pct")
+    return cover.coverage(cover.anchors(b), cover.universe(b))
 
 
 def q_direct_bridges(spark, sf_dir):
@@ -129,8 +130,8 @@ def q_direct_bridges(spark, sf_dir):
     return _listed(overlap.direct_bridges(b, cover.champions(b), P["min_overlap"]).drop("read_int"), "barcode")
 
 
-def _index(b: DataFrame) -> DataFrame:
-    return overlap.head_index(b, cover.champions(b), stride=P["stride"], **KEYS)
+def _index(b: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    return overlap.head_index(b, cover.champions(b) if chosen is None else chosen, stride=P["stride"], **KEYS)
 
 
 def q_index_keys(spark, sf_dir):
@@ -154,9 +155,9 @@ def q_overlap_edges(spark, sf_dir):
     return overlap.overlap_edges(b, _index(b), **KEYS)
 
 
-def _paths(b: DataFrame, **kw) -> DataFrame:
-    chosen = written(cover.champions(b), "anchors")
-    edges = written(overlap.overlap_edges(b, overlap.head_index(b, chosen, stride=P["stride"], **KEYS), **KEYS), "edges")
+def _paths(b: DataFrame, chosen: DataFrame | None = None, **kw) -> DataFrame:
+    chosen = written(cover.champions(b), "anchors") if chosen is None else chosen
+    edges = written(overlap.overlap_edges(b, _index(b, chosen), **KEYS), "edges")
     return paths.top_paths(edges, chosen, max_depth=P["depth"] - 1, top_k=P["top"], **kw)
 
 
@@ -165,7 +166,7 @@ def q_paths_topk(spark, sf_dir):
 
 
 def q_paths_capped(spark, sf_dir):
-    return _listed(_paths(barcoded(spark, sf_dir), max_expansions=5), "path")
+    return _listed(_paths(barcoded(spark, sf_dir), max_expansions=CAP_PATHS), "path")
 
 
 def q_bins_selected(spark, sf_dir):
@@ -180,6 +181,36 @@ def q_final_selection(spark, sf_dir):
     return selection.final_selection(chosen, bridged, direct, binning.bin_reads(b, P["genome"], P["coverage"]))
 
 
+def _chain(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Barcodes and the lazy greedy anchors, with the ids that each of them newly covers: the program's own chain."""
+    b = barcoded(spark, sf_dir)
+    return b, written(cover.anchors(b), "anchors")
+
+
+def q_chain_direct_bridges(spark, sf_dir):
+    b, chosen = _chain(spark, sf_dir)
+    return _listed(overlap.direct_bridges(b, chosen, P["min_overlap"]).drop("read_int"), "barcode")
+
+
+def q_chain_index_statistics(spark, sf_dir):
+    return overlap.index_statistics(_index(*_chain(spark, sf_dir)))
+
+
+def q_chain_paths(spark, sf_dir):
+    return _listed(_paths(*_chain(spark, sf_dir)), "path")
+
+
+def q_chain_read_counters(spark, sf_dir):
+    b, chosen = _chain(spark, sf_dir)
+    return overlap.read_counters(b.where("n_barcodes <> 1"), _index(b, chosen), b)
+
+
+def q_chain_selection(spark, sf_dir):
+    b, chosen = _chain(spark, sf_dir)
+    direct = overlap.direct_bridges(b, chosen, P["min_overlap"])
+    return selection.final_selection(chosen, paths.bridges(_paths(b, chosen), chosen, b), direct, binning.bin_reads(b, P["genome"], P["coverage"]))
+
+
 def q_anchor_fingerprint(spark, sf_dir):
     ids = cover.champions(barcoded(spark, sf_dir)).agg(F.array_sort(F.collect_list("read_int")).alias("ids"))
     return ids.select(F.size("ids").cast("bigint").alias("n"), sequences.fingerprint(F.col("ids")).alias("fingerprint"))
@@ -232,16 +263,56 @@ suf AS (SELECT DISTINCT c.read_int FROM cand c JOIN ap a ON c.b[-1] = a.b[a.p +
 direct AS (SELECT c.* FROM cand c JOIN pre USING (read_int) JOIN suf USING (read_int))"""
 
 
+#: The queue of the lazy greedy cover: the head gets its true score, or is taken if that reaches the next score.
+_LAZY = """lazy(read_int, stale, rem, sel) USING KEY (read_int) AS (
+  SELECT read_int, n AS stale, b AS rem, 0::BIGINT AS sel FROM bc WHERE n > 0
+  UNION
+  SELECT r.read_int, CASE WHEN r.read_int = h.read_int THEN len(r.rem) ELSE r.stale END,
+    CASE WHEN r.read_int <> h.read_int AND h.picked THEN list_filter(r.rem, lambda x: NOT list_contains(h.rem, x)) ELSE r.rem END,
+    CASE WHEN r.read_int = h.read_int AND h.picked THEN h.turn ELSE r.sel END
+  FROM recurring.lazy r, (
+    SELECT read_int, rem, len(rem) >= greatest(1, coalesce(nxt, 0)) AS picked, turn FROM (
+      SELECT read_int, rem, lead(stale) OVER w AS nxt, row_number() OVER w AS rn, (SELECT 1 + max(sel) FROM recurring.lazy) AS turn
+      FROM recurring.lazy WHERE sel = 0 AND stale > 0 WINDOW w AS (ORDER BY stale DESC, read_int)) WHERE rn = 1) h
+  WHERE r.sel = 0 AND (r.read_int = h.read_int OR (h.picked AND list_has_any(r.rem, h.rem)))),
+champ AS (SELECT read_int FROM lazy WHERE sel > 0),
+ch AS (SELECT bc.read_id, bc.read_int, bc.read_len, rem AS b, len(rem) AS n, sel FROM lazy JOIN bc USING (read_int) WHERE sel > 0)"""
+#: Rounds of the distributed cover: a read is taken if it is the best holder of each of its open ids.
+_ROUNDS = """rounds(read_int, rem, sel, turn) USING KEY (read_int) AS (
+  SELECT read_int, b AS rem, 0::BIGINT AS sel, 1::BIGINT AS turn FROM bc WHERE n > 0
+  UNION
+  SELECT r.read_int, CASE WHEN w.read_int IS NULL THEN list_filter(r.rem, lambda x: NOT list_contains(g.ids, x)) ELSE r.rem END,
+    CASE WHEN w.read_int IS NULL THEN 0 ELSE r.turn END, r.turn + 1
+  FROM recurring.rounds r LEFT JOIN {wins} w ON w.read_int = r.read_int, (SELECT list(DISTINCT id) AS ids FROM (SELECT unnest(rem) AS id FROM recurring.rounds WHERE read_int IN (SELECT read_int FROM {wins}))) g
+  WHERE r.sel = 0 AND len(r.rem) > 0),
+ranked AS (SELECT row_number() OVER (ORDER BY sel, len(rem) DESC, read_int) - 1 AS sel_ord, read_int, rem FROM rounds WHERE sel > 0)"""
+_WINS = """(SELECT read_int FROM (SELECT read_int, row_number() OVER (PARTITION BY id ORDER BY s DESC, read_int) AS rn FROM (
+    SELECT DISTINCT read_int, len(rem) AS s, id FROM (SELECT read_int, rem, unnest(rem) AS id FROM recurring.rounds WHERE sel = 0))) GROUP BY read_int HAVING max(rn) = 1)"""
+#: Paths level by level, where a source takes its children in order up to the cap.
+_CAPPED = """p AS (SELECT read_int AS source, [read_int] AS path, 1 AS d, 0::BIGINT AS used FROM champ
+  UNION ALL SELECT source, path, d, used + kept FROM (
+    SELECT source, path, d, used, nth, count(*) FILTER (used + nth <= {cap_paths}) OVER (PARTITION BY source) AS kept FROM (
+      SELECT source, list_append(path, dst) AS path, d + 1 AS d, used, row_number() OVER (PARTITION BY source ORDER BY path, dst) AS nth
+      FROM p JOIN edges ON src = path[-1] WHERE d < {depth} AND NOT list_contains(path, dst))) WHERE used + nth <= {cap_paths}),
+ranked AS (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY d DESC, path) AS rank FROM p WHERE d > 1 AND path[-1] IN (SELECT read_int FROM champ)),
+top AS (SELECT * FROM ranked WHERE rank <= {top})"""
+_EVENTS = """coded AS (SELECT user_id, ts, event_id, md5(event_type || '/' || CAST(hour(ts) AS VARCHAR)) AS h FROM events),
+bc AS (SELECT read_int, b, len(b) AS n FROM (SELECT user_id AS read_int, list(CAST(('0x' || h[1:8]) AS BIGINT) ORDER BY ts, event_id) AS b FROM coded GROUP BY user_id)),
+champ AS (SELECT read_int FROM bc WHERE n < 0)"""
+
+
 def _sql(*parts: str, select: str) -> str:
-    text = "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
-    for name, value in {"k": P["k"], "key": P["key"], "stride": P["stride"], "cap": P["cap"], "mo": P["min_overlap"], "depth": P["depth"], "top": P["top"], "min_bases": MIN_BASES}.items():
+    text = ("WITH RECURSIVE " + ",\n".join(parts) + "\n" + select).replace("{wins}", _WINS)
+    for name, value in {"k": P["k"], "key": P["key"], "stride": P["stride"], "cap": P["cap"], "mo": P["min_overlap"], "depth": P["depth"], "top": P["top"], "min_bases": MIN_BASES, "cap_paths": CAP_PATHS}.items():
         text = text.replace("{" + name + "}", str(value))
     return text
 
 
 def oracle_sql() -> dict[str, str]:
     base, coded = (_READS, _KMERS), (_READS, _KMERS, _WINDOW, _BARCODES)
-    champ, bins = (*coded, _CHAMP), (*coded, _DIST, _BINS)
+    champ, bins, lazy = (*coded, _CHAMP), (*coded, _DIST, _BINS), (*coded, _LAZY)
+    selected = "SELECT read_id FROM ch UNION SELECT CAST(unnest(path) AS VARCHAR) FROM top UNION SELECT read_id FROM direct UNION SELECT read_id FROM binned WHERE bin_id BETWEEN 0 AND 200"
+    counted = "SELECT count(DISTINCT key) AS unique_keys, count(*) AS postings, count(DISTINCT read_int) AS indexed_reads FROM idxk"
     join = lambda x: f"array_to_string({x}, ',')"
     return {
         "kmer_histogram": _sql(*base, select="SELECT freq, n_kmers FROM histo"),
@@ -257,15 +328,24 @@ def oracle_sql() -> dict[str, str]:
         "universe_lineitem": "SELECT DISTINCT l_partkey AS unikmer_id FROM lineitem",
         "champion_anchors": _sql(*champ, select="SELECT read_id, read_int, CAST(n AS INTEGER) AS n_kept, CAST(read_len AS INTEGER) AS read_len FROM ch"),
         "cover_coverage": _sql(*champ, select="SELECT (SELECT count(*) FROM champ) AS n_anchors, count(DISTINCT u) FILTER (WHERE read_int IN (SELECT read_int FROM champ)) AS covered, count(DISTINCT u) AS universe_size, 100.0::DOUBLE AS pct FROM held"),
-        "greedy_coverage": _sql(*champ, select="SELECT count(DISTINCT u) AS covered, count(DISTINCT u) AS universe_size, 100.0::DOUBLE AS pct FROM held"),
+        "anchors_lazy_greedy": _sql(*lazy, select=f"SELECT CAST(sel - 1 AS INTEGER) AS sel_ord, read_id, read_int, {join('b')} AS kept, CAST(read_len AS INTEGER) AS read_len FROM ch"),
+        "anchors_by_rounds": _sql(*coded, _ROUNDS, select=f"SELECT CAST(sel_ord AS INTEGER) AS sel_ord, read_id, read_int, {join('rem')} AS kept, CAST(read_len AS INTEGER) AS read_len FROM ranked JOIN bc USING (read_int)"),
+        "greedy_coverage": _sql(*lazy, select="SELECT n_anchors, covered, universe_size, round(100.0::DOUBLE * covered / universe_size, 6) AS pct FROM (SELECT count(*) AS n_anchors FROM ch), (SELECT count(DISTINCT u) AS covered FROM (SELECT unnest(b) AS u FROM ch)), (SELECT count(DISTINCT u) AS universe_size FROM (SELECT unnest(b) AS u FROM bc))"),
+        "chain_direct_bridges": _sql(*lazy, _DIRECT, select=f"SELECT read_id, {join('b')} AS barcode, CAST(read_len AS INTEGER) AS read_len FROM direct"),
+        "chain_index_statistics": _sql(*lazy, _INDEX, select=counted),
+        "chain_read_counters": _sql(*lazy, _INDEX, select="SELECT count(*) AS reads, count(*) FILTER (n = 1) AS missing, count(*) FILTER (n = 0) AS empty, count(*) FILTER (indexed) AS indexed, count(*) FILTER (n > 1 AND NOT indexed) AS unindexed FROM (SELECT n, read_int IN (SELECT read_int FROM idxk) AS indexed FROM bc)"),
+        "chain_paths": _sql(*lazy, _INDEX, _EDGES, _PATHS, select=f"SELECT source, CAST(rank AS INTEGER) AS rank, {join('path')} AS path FROM top"),
+        "chain_selection": _sql(*lazy, _DIST, _BINS, _INDEX, _EDGES, _PATHS, _DIRECT, select=selected),
+        "index_keys_events": _sql(_EVENTS, _INDEX, select=f"SELECT {join('key')} AS key, read_int, CAST(start AS INTEGER) AS start FROM idxk"),
+        "paths_capped": _sql(*champ, _INDEX, _EDGES, _CAPPED, select=f"SELECT source, CAST(rank AS INTEGER) AS rank, {join('path')} AS path FROM top"),
         "direct_bridges": _sql(*champ, _DIRECT, select=f"SELECT read_id, {join('b')} AS barcode, CAST(read_len AS INTEGER) AS read_len FROM direct"),
         "index_keys": _sql(*champ, _INDEX, select=f"SELECT {join('key')} AS key, read_int, CAST(start AS INTEGER) AS start FROM idxk"),
         "posting_lists": _sql(*champ, _INDEX, select=f"SELECT {join('key')} AS key, array_to_string(list(read_int ORDER BY read_int, start), ',') AS postings FROM idxk GROUP BY idxk.key"),
-        "index_statistics": _sql(*champ, _INDEX, select="SELECT count(DISTINCT key) AS unique_keys, count(*) AS postings, count(DISTINCT read_int) AS indexed_reads FROM idxk"),
+        "index_statistics": _sql(*champ, _INDEX, select=counted),
         "overlap_edges": _sql(*champ, _INDEX, _EDGES, select="SELECT src, dst FROM edges"),
         "paths_topk": _sql(*champ, _INDEX, _EDGES, _PATHS, select=f"SELECT source, CAST(rank AS INTEGER) AS rank, {join('path')} AS path FROM top"),
         "bins_selected": _sql(*bins, select="SELECT DISTINCT read_id FROM binned WHERE bin_id BETWEEN 0 AND 200"),
-        "final_selection": _sql(*champ, _DIST, _BINS, _INDEX, _EDGES, _PATHS, _DIRECT, select="SELECT read_id FROM ch UNION SELECT CAST(unnest(path) AS VARCHAR) FROM top UNION SELECT read_id FROM direct UNION SELECT read_id FROM binned WHERE bin_id BETWEEN 0 AND 200"),
+        "final_selection": _sql(*champ, _DIST, _BINS, _INDEX, _EDGES, _PATHS, _DIRECT, select=selected),
         "anchor_fingerprint": _sql(*champ, select="SELECT count(*) AS n, sha256(unhex(printf('%016X', count(*)) || string_agg(printf('%016X', read_int), '' ORDER BY read_int))) AS fingerprint FROM champ"),
     }
 

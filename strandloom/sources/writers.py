@@ -54,4 +54,5 @@ def write_report(df: DataFrame, path: str, header: tuple[str, ...], order: str |
         rows = rows.sortWithinPartitions(order)
     if len(header) < len(df.columns):
         rows = rows.drop(order)
-    rows.toDF(*header).write.mode("overwrite").csv(path, header=True)
+    # another comment character, since values that begin with the usual one are quoted
+    rows.toDF(*header).write.mode("overwrite").option("comment", "\x01").csv(path, header=True)
