@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.types import LongType, StructField, StructType
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from ..functions.storage import read_new, scratch_root, write_text
 from .common import mapped, ship, slices, written
@@ -66,6 +66,34 @@ def permuted(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: Sequences of texts that this worker process has counted, by vocabulary, pattern and stride, and by digest: repeated texts are encoded once there.
+_counted: dict[tuple[int, str, int], dict[bytes, int]] = {}
+
+
+class Pieces:
+    """The sequences of texts, compressed; those of texts seen before come from a cache of bounded size."""
+
+    def __init__(self, ranks: bytes, pattern: str, stride: int, most: int = 16 << 20):
+        self.encode, self.pack, self.most = encoder(ranks, pattern), zstandard.ZstdCompressor(level=1).compress, most
+        self.width = self.encode.dtype.itemsize
+        self.size, self.known, self.held = stride * self.width, {}, 0
+
+    def __call__(self, text: str | None) -> tuple[list[bytes], list[int]]:
+        """The sequences and their lengths."""
+        if not text:
+            return [], []
+        name = xxh3_128_digest(text.encode())
+        if name not in self.known:
+            codes = self.encode(text)
+            cut = [codes[i : i + self.size] for i in range(0, len(codes), self.size)]
+            made = [self.pack(c) for c in cut], [len(c) // self.width for c in cut]
+            self.held += sum(map(len, made[0]))
+            if self.held > self.most:
+                self.known, self.held = {}, 0
+            self.known[name] = made
+        return self.known[name]
+
+
 def in_file_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """_id, _text, _path and _block (the split) of rows that are read from files in a fixed order."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
@@ -82,8 +110,19 @@ def numbered(rows: DataFrame, ranks: bytes, pattern: str, stride: int) -> tuple[
     """From rows of in_file_order: the first number of each split (_f, a hash of its path, _block, _base), the number of sequences, and a digest of the rows in their order."""
 
     def make(texts):
-        e = encoder(ranks, pattern)
-        return (pa.array([-(-e.count(x) // stride) for x in texts], pa.int64()),)
+        e, known, out = encoder(ranks, pattern), _counted.setdefault((hash(ranks), pattern, stride), {}), []
+        for x in texts:
+            data = (x or "").encode()
+            if len(data) <= stride:  # a token has a byte at least
+                out.append(int(len(data) > 0))
+                continue
+            name = xxh3_128_digest(data)
+            if name not in known:
+                if len(known) >= 1 << 17:
+                    known.clear()
+                known[name] = -(-e.count(x) // stride)
+            out.append(known[name])
+        return (pa.array(out, pa.int64()),)
 
     tagged = rows.select("_path", "_block", "_text", F.xxhash64("_id", "_text").alias("_hash"), F.monotonically_increasing_id().alias("_at"))
     counts = written(mapped(tagged, ["_path", "_block", "_hash", "_at"], "_text", [StructField("_n", LongType())], make), "counts")
@@ -103,16 +142,15 @@ def _cut(ranks: bytes, pattern: str, stride: int, total: int, key: int):
     """Sequences of the rows (_id, _text, _f, _block, _base) of splits, which come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, pack = encoder(ranks, pattern), zstandard.ZstdCompressor(level=1)
-        split, at = None, 0
+        made, split, at = Pieces(ranks, pattern, stride), None, 0
         for batch in batches:
             for part in slices(batch, 64):
-                rows, numbers, seq, pieces = [], [], [], []
+                rows, numbers, seq, pieces, lengths = [], [], [], [], []
                 for r, (x, *here, base) in enumerate(zip(*[part.column(i).to_pylist() for i in range(1, 5)])):
                     if here != split:
                         split, at = here, base
-                    codes, size = e(x), stride * e.dtype.itemsize
-                    cut = [codes[i : i + size] for i in range(0, len(codes), size)]
+                    cut, n = made(x)
+                    lengths += n
                     rows += [r] * len(cut)
                     numbers += range(at, at + len(cut))
                     seq += range(len(cut))
@@ -120,7 +158,7 @@ def _cut(ranks: bytes, pattern: str, stride: int, total: int, key: int):
                     at += len(cut)
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(rows)), pa.array(seq, pa.int64()), pa.array([len(p) // e.dtype.itemsize for p in pieces], pa.int64()), pa.array(permuted(np.array(numbers, np.int64), total, key)), pa.array(map(pack.compress, pieces), pa.binary())],
+                        [part.column(0).take(pa.array(rows)), pa.array(seq, pa.int64()), pa.array(lengths, pa.int64()), pa.array(permuted(np.array(numbers, np.int64), total, key)), pa.array(pieces, pa.binary())],
                         names=["_id", "_seq", "_len", "_slot", "_ids"],
                     )
 
@@ -158,7 +196,7 @@ def _shards(folder: str, record: int, per_shard: int, total: int, pad: bytes):
     return run
 
 
-def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, stride: int = 1024, per_shard: int = 4096, key: int = 20, pad: int | None = None, folder: str | None = None, shards_per_task: int = 16) -> DataFrame:
+def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, stride: int = 1024, per_shard: int = 4096, key: int = 20, pad: int | None = None, folder: str | None = None, shards_per_task: int = 8) -> DataFrame:
     """Writes shards, their index and a manifest below folder (a new one in the shared folder by default), and returns the
     index: id, seq_no, n_tokens, slot, shard, byte_offset and shard_path of every sequence.  pad: the largest id that fits by default."""
     spark = docs.sparkSession
@@ -175,8 +213,7 @@ def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str =
         schema = StructType([rows.schema["_id"], *[StructField(c, LongType()) for c in ("_seq", "_len", "_slot")]]).add("_ids", "binary")
         cut = rows.mapInArrow(_cut(ranks, pattern, stride, total, key), schema)
         shards = max(1, -(-total // per_shard))
-        # enough tasks for all cores, then several shards for each
-        tasks = min(shards, max(3 * spark.sparkContext.defaultParallelism, -(-shards // shards_per_task)))
+        tasks = -(-shards // shards_per_task)
         cut = cut.repartitionById(tasks, F.floor(F.floor(F.col("_slot") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("_slot")
         out = StructType([*schema.fields[:4], StructField("_shard", LongType()), StructField("_at", LongType())])
         done = cut.mapInArrow(_shards(folder, stride * e.dtype.itemsize, per_shard, total, np.array([pad], e.dtype).tobytes()), out)
