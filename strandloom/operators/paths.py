@@ -71,6 +71,12 @@ def _best(paths: DataFrame, k: int, name: str = "_rank") -> DataFrame:
     return out if name == "rank" else out.drop(name)
 
 
+def path_statistics(paths: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row: sources, with_paths (sources that have some), paths and longest (reads of the longest path)."""
+    found = paths.agg(F.countDistinct("source").alias("with_paths"), F.count("*").alias("paths"), F.max(F.size("path")).alias("longest"))
+    return sources.agg(F.countDistinct("read_int").alias("sources")).crossJoin(F.broadcast(found))  # one row each
+
+
 def label_paths(paths: DataFrame, labels: DataFrame) -> DataFrame:
     """source, rank, path of read ids; RuntimeError when a read has no id."""
     steps = paths.select("source", "rank", F.posexplode("path").alias("_i", "read_int")).join(labels.select("read_int", "read_id"), "read_int", "left")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import argparse
 import hashlib
 import json
+import os
 import signal
 import struct
 import sys
@@ -210,6 +211,10 @@ def run(spark: SparkSession, reads_path: str, run_dir: str, config: Config, *, s
     rows = [(i, n + 1, p) for i, ps in found.items() for n, p in enumerate(ps)]
     everything = {"inputs": source, **asdict(config)}
     bridged = stores.kept("bridges", everything, lambda: paths.bridges(spark.createDataFrame(rows, paths.PATH_SCHEMA), chosen, every))
+    if not stores.fresh("path_statistics", everything):
+        statistics = paths.path_statistics(spark.createDataFrame(rows, paths.PATH_SCHEMA), chosen)
+        writers.write_report(statistics, stores.path("path_statistics"), tuple(statistics.columns))
+        stores.finish("path_statistics", everything)
     selected = stores.kept("selected", everything, lambda: selection.final_selection(chosen, bridged, direct, binned).orderBy("read_id"))
     if not stores.fresh("selected_fasta", everything):
         writers.write_selected_fasta(selection.selected_records(records, selected), stores.path("selected_fasta"))
@@ -241,8 +246,8 @@ OPTIONS = (
 def main(args: list[str] | None = None, on_batch=None) -> int:
     """Exit codes: 0, 1 out of memory, 2 unusable state, 130 interrupted, 128 + the signal when stopped by one."""
     p = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    p.add_argument("--reads", required=True)
-    p.add_argument("--run-dir", "--base-dir", required=True)
+    for names, variable in ((("--reads",), "STRANDLOOM_READS"), (("--run-dir", "--base-dir"), "STRANDLOOM_RUN_DIR")):
+        p.add_argument(*names, default=os.environ.get(variable), required=variable not in os.environ, help=f"{variable} by default")
     p.add_argument("--state-path", "--checkpoint-path")
     p.add_argument("--restart", action="store_true")
     p.add_argument("--progress-every", type=int, default=1000, help="anchors between lines on the progress; 0: none")

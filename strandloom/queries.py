@@ -16,11 +16,13 @@ from .functions.ordering import spread
 from .functions.storage import written
 from .operators import barcodes as B
 from .operators import binning, cover, kmers, overlap, paths, selection, spectrum
-from .sources import adapters
+from .sources import adapters, readers, writers
 
 #: Parameters of the queries; SQL is filled in from the same values.
 P = {"k": 21, "key": 11, "stride": 3, "fraction": 0.25, "cap": 4000, "min_overlap": 10, "depth": 4, "top": 10, "genome": 600_000, "coverage": 3.0}
 CAP_PATHS = 5
+#: Letters that one query does not map to bases.
+MASKED = "qv"
 MIN_BASES = sequences.min_bin_bases(P["genome"], P["coverage"])
 KEYS = {"k": P["key"], "fraction": P["fraction"], "cap": P["cap"]}
 
@@ -56,6 +58,30 @@ def q_kmer_counts(spark, sf_dir):
     return kmers.kmer_counts(reads(spark, sf_dir), P["k"])
 
 
+def q_masked_kmer_histogram(spark, sf_dir):
+    """Two letters are no bases: windows that hold them are none."""
+    masked = adapters.reads_from_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), MASKED)
+    return kmers.kmer_histogram(kmers.code_counts(masked, P["k"]))
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    """Records named by the source of their document, so that names repeat."""
+    docs = table(spark, sf_dir, "documents")
+    return adapters.reads_from_documents(docs).drop("read_id", "read_int").join(docs.select(F.coalesce("source", F.lit("")).alias("read_id"), F.col("doc_id").alias("file_ord")), "file_ord")
+
+
+def q_read_ints(spark, sf_dir):
+    return readers.with_read_ints(_records(spark, sf_dir)).select("read_id", "file_ord", "read_int")
+
+
+def q_last_records(spark, sf_dir):
+    return readers.last_records(_records(spark, sf_dir)).select("read_id", "file_ord", "read_len")
+
+
+def q_read_stats(spark, sf_dir):
+    return B.read_stats(barcoded(spark, sf_dir))
+
+
 def q_freq_window(spark, sf_dir):
     w = spectrum.frequency_window(written(kmers.kmer_histogram(counts(spark, sf_dir)), "histogram"))
     return w.select("start_idx", "peak_idx", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "lower", "upper")
@@ -211,6 +237,18 @@ def q_chain_selection(spark, sf_dir):
     return selection.final_selection(chosen, paths.bridges(_paths(b, chosen), chosen, b), direct, binning.bin_reads(b, P["genome"], P["coverage"]))
 
 
+def q_chain_path_statistics(spark, sf_dir):
+    b, chosen = _chain(spark, sf_dir)
+    return paths.path_statistics(_paths(b, chosen), chosen)
+
+
+def q_selected_fasta(spark, sf_dir):
+    """The records of direct bridges and their anchors as they are written."""
+    b, chosen = _chain(spark, sf_dir)
+    ids = overlap.direct_bridges(b, chosen, P["min_overlap"]).select("read_id").union(chosen.select("read_id"))
+    return writers.fasta_lines(selection.selected_records(reads(spark, sf_dir), ids))
+
+
 def q_anchor_fingerprint(spark, sf_dir):
     ids = cover.champions(barcoded(spark, sf_dir)).agg(F.array_sort(F.collect_list("read_int")).alias("ids"))
     return ids.select(F.size("ids").cast("bigint").alias("n"), sequences.fingerprint(F.col("ids")).alias("fingerprint"))
@@ -309,6 +347,7 @@ def _sql(*parts: str, select: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    hidden = _READS.replace("'ACGTACGTACGTACGTACGTACGTAC'", "'" + adapters.bases_without(MASKED) + "'"), _KMERS.replace("length(seq) >= {k})),", "length(seq) >= {k})\n  WHERE NOT contains(substring(seq, i, {k}), 'N')),")
     base, coded = (_READS, _KMERS), (_READS, _KMERS, _WINDOW, _BARCODES)
     champ, bins, lazy = (*coded, _CHAMP), (*coded, _DIST, _BINS), (*coded, _LAZY)
     selected = "SELECT read_id FROM ch UNION SELECT CAST(unnest(path) AS VARCHAR) FROM top UNION SELECT read_id FROM direct UNION SELECT read_id FROM binned WHERE bin_id BETWEEN 0 AND 200"
@@ -316,6 +355,12 @@ def oracle_sql() -> dict[str, str]:
     join = lambda x: f"array_to_string({x}, ',')"
     return {
         "kmer_histogram": _sql(*base, select="SELECT freq, n_kmers FROM histo"),
+        "masked_kmer_histogram": _sql(*hidden, select="SELECT freq, n_kmers FROM histo"),
+        "read_ints": "SELECT coalesce(source, '') AS read_id, doc_id AS file_ord, dense_rank() OVER (ORDER BY f) - 1 AS read_int FROM (SELECT *, min(doc_id) OVER (PARTITION BY coalesce(source, '')) AS f FROM documents)",
+        "last_records": "SELECT coalesce(source, '') AS read_id, max(doc_id) AS file_ord, CAST(arg_max(length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), doc_id) AS INTEGER) AS read_len FROM documents GROUP BY 1",
+        "read_stats": _sql(*coded, select="SELECT read_id, CAST(n AS INTEGER) AS n_barcodes, CAST(read_len AS INTEGER) AS read_len FROM bc"),
+        "chain_path_statistics": _sql(*lazy, _INDEX, _EDGES, _PATHS, select="SELECT (SELECT count(*) FROM champ) AS sources, count(DISTINCT source) AS with_paths, count(*) AS paths, CAST(max(len(path)) AS INTEGER) AS longest FROM top"),
+        "selected_fasta": _sql(*lazy, _DIRECT, select="SELECT '>' || read_id || chr(10) || regexp_replace(regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g'), chr(10) || '$', '') AS value FROM reads WHERE read_int IN (SELECT read_int FROM direct UNION SELECT read_int FROM champ)"),
         "kmer_counts": _sql(*base, select="SELECT kmer, n FROM counts"),
         "freq_window": _sql(*base, _WINDOW, select="SELECT s AS start_idx, p AS peak_idx, round(m, 6) AS mean, round(d, 6) AS std, lo AS lower, hi AS upper FROM st, pk, mu, sd, bounds"),
         "unikmers": _sql(*base, _WINDOW, select="SELECT kmer, uid AS unikmer_id, CAST(list_sum(list_transform(range(1, 16), lambda i: CAST(instr('ACGT', kmer[i]) - 1 AS BIGINT) * CAST(pow(4, 15 - i) AS BIGINT))) AS BIGINT) AS code_prefix FROM unik"),
