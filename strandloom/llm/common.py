@@ -61,6 +61,12 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., which clash with no operator's own names, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def mapped(df: DataFrame, keep: list[str], value: str, fields: list[StructField], make: Callable) -> DataFrame:
     """The columns keep of df with the columns fields, which make() gives as arrays for a list of values.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
-from .common import mapped
+from .common import mapped, renamed
 
 UNKNOWN = "und"
 
@@ -101,5 +101,6 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **fit) -> DataFrame:
     """The rows of docs, whole, whose language was told; lang becomes the language found."""
-    found = identify(docs, docs.columns, text, learn(docs, doc_id, text, lang, **fit)).where("not _rejected")
-    return found.select(*[(F.col("_lang_pred") if c == lang else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    rows, name = renamed(docs)
+    found = identify(rows, rows.columns, name[text], learn(docs, doc_id, text, lang, **fit)).where("not _rejected")
+    return found.select(*[(F.col("_lang_pred") if c == lang else F.col(n)).alias(c) for c, n in name.items()])

@@ -16,8 +16,8 @@ Defined results: texts of fewer than five words are one k-mer; null and empty te
 class without words, linked with nothing else.  Rows with a null id are alone.  Rows with
 equal ids and equal words stay or go together; those with equal ids and other words are
 documents of their own, of which a group keeps one.  Texts of any length are sketched and aligned whole.  Ties go
-to the smallest id.  An empty table gives an empty table.  near_duplicates reads no other columns; drop_near_duplicates
-returns them as they are, and uses names that begin with underscores beside them in joins alone.
+to the smallest id.  An empty table gives an empty table.  near_duplicates reads no other columns; for drop_near_duplicates
+they travel under numbers, so that names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField
 from xxhash import xxh3_128_digest
 
-from .common import BROADCAST_BYTES, mapped, plan_bytes, written
+from .common import mapped, renamed, small, written
 from .linking import linked_components
 
 K = 5
@@ -174,7 +174,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, k: int, threshold: float,
 
     def payload(ids: DataFrame) -> DataFrame:
         wanted = written(classes.select(F.col("_c"), "_id").join(ids.select(F.col("_id").alias("_c")), "_c", "left_semi").select("_id").distinct(), "wanted")
-        texts = base.join(F.broadcast(wanted) if plan_bytes(wanted) <= BROADCAST_BYTES else wanted, "_id", "left_semi")
+        texts = base.join(small(wanted), "_id", "left_semi")
 
         def codes(xs):
             found = [word_codes(x).tobytes() for x in xs]
@@ -202,19 +202,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, k: int = K, threshold: float = 0.8, sketches: int = 16, order: int = 3) -> DataFrame:
     """The rows of docs, whole, without those that are not the first of their group."""
+    columns = docs.columns
+    docs, name = renamed(docs)
+    doc_id, text = name[doc_id], name[text]
     found = written(_labelled(docs, doc_id, text, k, threshold, sketches, order), "labelled")
     dropped = written(found.where("not _kept").select(F.col("_id").alias("_gone"), F.col("_key").alias("_words")).distinct(), "dropped")
-
-    def small_or_not(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if plan_bytes(df) <= BROADCAST_BYTES else df
-
+    gone = written(dropped.select("_gone").distinct(), "gone")
     # ids of which some texts go and others stay
-    split = written(found.where("_kept and _id is not null").select("_id").join(small_or_not(dropped.select("_gone").distinct()), F.col("_id") == F.col("_gone"), "left_semi").distinct(), "split")
-    gone = dropped.select("_gone").distinct()
-    kept = docs.join(small_or_not(gone), docs[doc_id] == gone["_gone"], "left_anti")
-    if split.isEmpty():
-        return kept
-    some = docs.join(small_or_not(split), docs[doc_id] == split["_id"], "left_semi")
-    some = mapped(some, [*docs.columns], text, [StructField("__words", BinaryType())], lambda xs: (pa.array([xxh3_128_digest(word_codes(x).tobytes()) for x in xs], pa.binary()),))
-    some = some.join(small_or_not(dropped), (some[doc_id] == dropped["_gone"]) & (some["__words"] == dropped["_words"]), "left_anti")
-    return kept.unionByName(some.drop("__words"))
+    split = written(found.where("_kept and _id is not null").select("_id").join(small(gone), F.col("_id") == F.col("_gone"), "left_semi").distinct(), "split")
+    kept = docs.join(small(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+    if not split.isEmpty():
+        some = docs.join(small(split), F.col(doc_id) == F.col("_id"), "left_semi")
+        some = mapped(some, some.columns, text, [StructField("_words", BinaryType())], lambda xs: (pa.array([xxh3_128_digest(word_codes(x).tobytes()) for x in xs], pa.binary()),))
+        some = some.join(small(dropped).withColumnRenamed("_words", "_of"), (F.col(doc_id) == F.col("_gone")) & (F.col("_words") == F.col("_of")), "left_anti")
+        kept = kept.unionByName(some.drop("_words"))
+    return kept.toDF(*columns)
