@@ -27,7 +27,6 @@ class Encoder:
     def __init__(self, lines: bytes, pattern: str):
         ranks = parsed(lines)
         self.dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"  # little-endian machines
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for b, i in ranks.items():
             self.lengths[i] = len(b)
@@ -35,7 +34,8 @@ class Encoder:
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text as little-endian integers."""
-        return array(self.code, self.whole(text)).tobytes() if text else b""
+        # by way of 32 bits, which array() fills faster than 16
+        return np.frombuffer(array("I", self.whole(text)), np.uint32).astype(self.dtype).tobytes() if text else b""
 
     def count(self, text: str | None) -> int:
         return len(self.whole(text)) if text else 0
