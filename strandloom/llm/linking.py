@@ -25,15 +25,16 @@ from .common import discard, ship, small, written
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (_a, _b) with _a > _b, no loops.
 
-    The least neighbours are written, so that a node with many edges is met by a broadcast or by a join that Spark can split.
+    In a large star the least neighbours are written, so that a node with many edges, such as the least of a component, is
+    met by a broadcast or by a join that Spark can split; in a small star nodes have only the edges to smaller ones.
     """
     if large:
         both = edges.union(edges.select("_b", "_a"))
         least = written(both.groupBy("_a").agg(F.min("_b").alias("_m")).select("_a", F.least("_m", "_a").alias("_m")), "least")
         out = both.join(small(least), "_a").where("_b > _a").select(F.col("_b").alias("_a"), F.col("_m").alias("_b"))
     else:
-        least = written(edges.groupBy("_a").agg(F.min("_b").alias("_m")), "least")
-        met = edges.join(small(least), "_a")
+        least = edges.groupBy("_a").agg(F.min("_b").alias("_m"))
+        met = edges.join(least, "_a")
         out = met.where("_b <> _m").select(F.col("_b").alias("_a"), F.col("_m").alias("_b")).union(least.select("_a", F.col("_m").alias("_b")))
     return out.where("_a <> _b").distinct()
 
@@ -43,10 +44,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("_a <> _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "links")
     last = None
     while True:
-        large = written(_star(edges, True), "stars")
-        discard(edges)
-        edges = written(_star(large, False), "stars")
-        discard(large)
+        before, edges = edges, written(_star(_star(edges, True), False), "stars")
+        discard(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first()
         if state == last:
             break
