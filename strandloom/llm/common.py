@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -22,6 +22,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """For applications whose rows hold whole texts: fewer rows in an Arrow batch than Spark's 10,000, unless the session has another number already.
+
+    Operators leave the session's settings alone.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def power_of_two(least: int, low: int, high: int) -> int:
     return max(low, min(high, 1 << max(0, int(least) - 1).bit_length()))
 

@@ -91,7 +91,7 @@ def _tested(ready, linked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, object] = {}
         for batch in batches:
-            if len(made) > 4096:
+            if len(made) > 512:  # k-mers of whole texts
                 made.clear()
             keep = []
             for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.column(2), batch.column(3)):
