@@ -14,33 +14,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from strandloom.llm.common import ship, written
+from strandloom.llm.common import ship, small_batches, written
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; lang becomes the language found."""
+    small_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with the smallest doc_id, of each group of equal normalised texts."""
+    small_batches(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with the smallest doc_id, of each group of near duplicates."""
+    small_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents in training order, by the sources' target weights."""
+    small_batches(spark)
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
+    small_batches(spark)
     return bpe.round_trip_digests(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
