@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, near_dedup, substring_dedup, token_counts, token_output
+from . import bpe, embedding_dedup, exact_dedup, hard_negatives, language_id, line_dedup, main_text, mixing, near_dedup, substring_dedup, token_counts, token_output
 from .common import ship, small_batches
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -67,12 +67,22 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0, label=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_token_counts, op4_byte_bpe, op5_minhash_near_dedup, op6_exact_dedup, op7_substring_dedup, op8_token_output, op9_language_id, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_source_mixing, op3_token_counts, op4_byte_bpe, op5_minhash_near_dedup, op6_exact_dedup, op7_substring_dedup, op8_token_output, op9_language_id, op10_embedding_near_dedup, op11_html_main_text, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op6_exact_dedup": EXACT_DEDUP_SQL, "op11_html_main_text": MAIN_TEXT_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
 
 
 EXACT_DEDUP_SQL = r"""
@@ -92,3 +102,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keep IS NOT NULL AND
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keep IS NULL OR keep = doc_id), '')) AS kept_sha256
 FROM l LEFT JOIN rep USING (k) GROUP BY doc_id
 """
+
+#: For pages like the given ones alone: the article is marked, and these are all of its character references.
+MAIN_TEXT_SQL = r"""
+WITH b AS (SELECT page_id, url, string_split_regex(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(p|h1)>') AS blocks FROM pages),
+t AS (SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS lines FROM b),
+j AS (SELECT page_id, url, coalesce(array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)), '') AS text FROM t)
+SELECT page_id, url, text, length(text) AS n_chars FROM j
+"""
+
+HARD_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.c, b.c) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) QUALIFY row_number() OVER w <= 5
+"""
