@@ -346,6 +346,20 @@ def _sql(*parts: str, select: str) -> str:
     return text
 
 
+def code_counts_sql(prefix: int) -> str:
+    """2-bit codes of all k-mers, their counts and first bases."""
+    code = "CAST(list_sum(list_transform(range(1, {k} + 1), lambda i: CAST(instr('ACGT', kmer[i]) - 1 AS BIGINT) << (2 * ({k} - i)))) AS BIGINT)"
+    return _sql(_READS, _KMERS, select=f"SELECT {code} AS code, n, substring(kmer, 1, {prefix}) AS prefix FROM counts".replace("{k}", str(P["k"])))
+
+
+def chosen_reads_sql() -> str:
+    """All reads with their bins, and whether the champions, the direct bridges or the first bins select them."""
+    flags = "read_int IN (SELECT read_int FROM champ) AS is_anchor, read_int IN (SELECT read_int FROM direct) AS is_bridge"
+    rows = f"SELECT *, {flags} FROM bc JOIN (SELECT read_int, CAST(bin_id AS BIGINT) AS bin_id, row_number() OVER (PARTITION BY bin_id ORDER BY read_len DESC, read_int) AS rank_in_bin FROM binned) USING (read_int)"
+    return _sql(_READS, _KMERS, _WINDOW, _BARCODES, _CHAMP, _DIST, _BINS, _DIRECT, select=f"""SELECT read_id, read_int, CAST(read_len AS INTEGER) AS read_len, CAST(n AS INTEGER) AS n_barcodes, array_to_string(b, ',') AS barcode,
+  rank_in_bin, is_anchor, is_bridge, is_anchor OR is_bridge OR bin_id BETWEEN 0 AND 200 AS selected, bin_id FROM ({rows})""")
+
+
 def oracle_sql() -> dict[str, str]:
     hidden = _READS.replace("'ACGTACGTACGTACGTACGTACGTAC'", "'" + adapters.bases_without(MASKED) + "'"), _KMERS.replace("length(seq) >= {k})),", "length(seq) >= {k})\n  WHERE NOT contains(substring(seq, i, {k}), 'N')),")
     base, coded = (_READS, _KMERS), (_READS, _KMERS, _WINDOW, _BARCODES)

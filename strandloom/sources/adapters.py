@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -13,10 +13,14 @@ def bases_without(masked: str) -> str:
     return "".join("N" if x in masked else b for x, b in zip(LETTERS, BASES))
 
 
+def letters(text: str) -> Column:
+    """The letters of a text; none of a null."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""))
+
+
 def reads_from_documents(docs: DataFrame, masked: str = "") -> DataFrame:
     """Letters of a text, as bases, or N for masked letters; read_int and file_ord are the document's id."""
-    letters = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
-    out = docs.select(F.col("doc_id").cast("string").alias("read_id"), F.col("doc_id").alias("read_int"), F.col("doc_id").alias("file_ord"), F.translate(letters, LETTERS, bases_without(masked)).alias("seq"))
+    out = docs.select(F.col("doc_id").cast("string").alias("read_id"), F.col("doc_id").alias("read_int"), F.col("doc_id").alias("file_ord"), F.translate(letters("text"), LETTERS, bases_without(masked)).alias("seq"))
     return out.withColumn("read_len", F.length("seq"))
 
 
