@@ -18,6 +18,7 @@ cannot clash; encode_texts adds ids and n_tokens to the columns that are there.
 from __future__ import annotations
 
 import hashlib
+from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain
 
@@ -78,8 +79,9 @@ class RankQueue:
 class ByteBPE:
     """A tokenizer from ranks (bytes to id) and a pattern of pieces."""
 
-    #: Entries of a generation of the cache (the older of two goes when the younger is full), and bytes of unknown pieces that are merged together.
-    CACHE, TOGETHER = 150_000, 1 << 19
+    #: Entries of a generation of the cache (the older of two goes when the younger is full), the longest piece in it in
+    #: characters, and bytes of unknown pieces that are merged together.  So a generation has 10 million characters at most.
+    CACHE, LONGEST, TOGETHER = 150_000, 64, 1 << 19
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
@@ -95,6 +97,8 @@ class ByteBPE:
                     self.pairs[a * self.size + b] = rank
         self.cache: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        #: Pieces too long for the cache, of one group of texts.
+        self.long: dict[str, tuple[int, ...]] = {}
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The tokens of each piece (not empty)."""
@@ -154,11 +158,11 @@ class ByteBPE:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Puts the tokens of pieces into the cache."""
+        """Puts the tokens of pieces into the cache, or those of long ones beside it."""
         todo, held = [], 0
         for p in pieces:
             if (r := self.ranks.get(b := p.encode())) is not None:
-                self.cache[p] = (r,)
+                (self.cache if len(p) <= self.LONGEST else self.long)[p] = (r,)
                 continue
             todo.append((p, b))
             held += len(b)
@@ -168,7 +172,8 @@ class ByteBPE:
         self._learn(todo)
 
     def _learn(self, todo: list[tuple[str, bytes]]) -> None:
-        self.cache.update(zip([p for p, _ in todo], self.merge([b for _, b in todo])))
+        for (p, _), ids in zip(todo, self.merge([b for _, b in todo])):
+            (self.cache if len(p) <= self.LONGEST else self.long)[p] = ids
 
     def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each text; unknown pieces of several texts are merged together."""
@@ -188,9 +193,10 @@ class ByteBPE:
             again = unknown & self.old.keys()
             self.cache.update((p, self.old[p]) for p in again)
             self.learn(unknown - again)
-        get = self.cache.__getitem__
+        get = self.cache.__getitem__ if not self.long else ChainMap(self.cache, self.long).__getitem__
         for pieces in group:
             yield list(chain.from_iterable(map(get, pieces)))
+        self.long = {}
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))

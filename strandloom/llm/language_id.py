@@ -12,7 +12,7 @@ The sample: of each language the rows with the smallest hash of their id in each
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected;
 so is every text when nothing could be learned.  Equal sizes go to the first language by
 code point and are rejected.  A null id is held out.  Empty tables give empty tables.  Rows are independent: repeated
-rows have equal results (and count once in the sample).  Texts of any length are compressed whole.  Columns travel
+rows have equal results (and count once in the sample, as do rows of one id and language, by the smallest text).  Texts of any length are compressed whole.  Columns travel
 under numbers, so that names cannot clash.
 """
 
@@ -40,7 +40,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     h = F.xxhash64(F.lit("sample"), F.col(doc_id))
     picked = rows.groupBy(F.col(lang).alias("_lang"), F.pmod(h, F.lit(samples)).alias("_bucket")).agg(F.min(F.struct(h.alias("h"), F.col(doc_id).alias("id"))).alias("_min"))
     ids = sorted({r["_min"]["id"] for r in picked.select("_min").collect()})  # samples for each language
-    texts = rows.where(F.col(doc_id).isin(ids)).select(F.col(lang).alias("_lang"), h.alias("_h"), F.substring(F.col(text), 1, piece_chars).alias("_piece")).collect() if ids else []
+    # rows of these ids, of which repeated ones may be many: again one for each language and bucket
+    texts = rows.where(F.col(doc_id).isin(ids)).select(F.col(lang).alias("_lang"), F.pmod(h, F.lit(samples)).alias("_bucket"), h.alias("_h"), F.substring(F.col(text), 1, piece_chars).alias("_piece"))
+    texts = texts.groupBy("_lang", "_bucket").agg(F.min(F.struct("_h", "_piece")).alias("_m")).select("_lang", "_m.*").collect() if ids else []
     out: dict[str, list[bytes]] = {}
     for r in sorted(texts, key=lambda r: (r["_lang"], r["_h"], r["_piece"])):
         out.setdefault(r["_lang"], []).append(r["_piece"].lower().encode())

@@ -9,23 +9,29 @@ slot s lies at byte (s mod per_shard) * record of shard s div per_shard, and tra
 read on from any slot.
 
 1. A scan counts the sequences of each row.  Splits of files are read in order, so a row's first number is that of
-   its split (a row for each split, broadcast) and what stands before it there.  No text is shuffled.  Input that is
-   not a plain scan of files, whose order would not be fixed, is written first.
+   its split (a row for each split, broadcast within a bound) and what stands before it there.  No text is shuffled.
+   Input that is not a plain scan of files, whose order would not be fixed, is written first.
 2. A second scan encodes, numbers and cuts; the ids go to the ranges of slots and into shards.
 
+Both scans have the same splits, however many cores there are meanwhile: the settings that splits follow are held
+during a call, and put back after it.  A row whose split the first scan did not have, a slot that is not the one after
+its neighbour, and an index that does not hold all slots are errors, and the folder stays unfinished.
+
 A record: ``stride`` ids, little-endian, those after the sequence's end being ``pad``.
 
 The folder has a manifest that names the key, the sizes, the tokenizer and a digest of the input in its order.  A
-folder with another manifest is refused.  With the same one the work goes on: whole shards are kept
+folder with another manifest is refused, and so is one that holds anything without a manifest.  With the same one the work goes on: whole shards are kept
 (they are written under another name and renamed), and a finished folder is only read.
 
-Defined results: null and empty texts have no sequences.  Repeated rows are separate documents.  A null id is an id.
+Defined results: null and empty texts have no sequences.  Repeated rows are separate documents, and ties in the
+order do not arise, since a row has its own place in its file.  A null id is an id.
 Texts of any length are cut alike.  An empty table writes no shard.  Other columns are not read, so their names
 cannot clash.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import uuid
@@ -41,8 +47,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from ..functions.storage import read_new, scratch_root, write_text
-from .common import mapped, ship, slices, written
+from ..functions.storage import listing, read_new, scratch_path, write_text
+from .common import mapped, plan_bytes, ship, slices, written
 from .spans import encoder, ranks_of
 
 
@@ -66,6 +72,25 @@ def permuted(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: Splits of the input at most, apart from one for each file, and bytes of their table that are broadcast at most.
+MOST_SPLITS, SPLIT_BYTES = 200_000, 64 << 20
+
+
+@contextlib.contextmanager
+def same_splits(spark: SparkSession, input_bytes: int) -> Iterator[None]:
+    """Holds what the splits of a scan depend on, the number of cores among it."""
+    least, most = "spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes"
+    before = {least: spark.conf.get(least, None), most: spark.conf.get(most)}
+    size = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before[most]))
+    spark.conf.set(least, before[least] or str(spark.sparkContext.defaultParallelism))
+    spark.conf.set(most, str(max(size, input_bytes // MOST_SPLITS)))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 #: Sequences of texts that this worker process has counted, by vocabulary, pattern and stride, and by digest: repeated texts are encoded once there.
 _counted: dict[tuple[int, str, int], dict[bytes, int]] = {}
 
@@ -148,6 +173,8 @@ def _cut(ranks: bytes, pattern: str, stride: int, total: int, key: int):
                 rows, numbers, seq, pieces, lengths = [], [], [], [], []
                 for r, (x, *here, base) in enumerate(zip(*[part.column(i).to_pylist() for i in range(1, 5)])):
                     if here != split:
+                        if base is None:
+                            raise ValueError("the input changed between the scans: a split was not counted")
                         split, at = here, base
                     cut, n = made(x)
                     lengths += n
@@ -179,9 +206,12 @@ def _shards(folder: str, record: int, per_shard: int, total: int, pad: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        unpack, shard, held = zstandard.ZstdDecompressor(), None, []
+        unpack, shard, held, last = zstandard.ZstdDecompressor(), None, [], None
         for batch in batches:
             for slot, ids in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if slot != last + 1 if last is not None else slot % per_shard:
+                    raise ValueError("the input changed between the scans: a slot is missing or there twice")
+                last = slot
                 if slot // per_shard != shard:
                     if held:
                         store(fs, base, shard, held)
@@ -197,37 +227,52 @@ def _shards(folder: str, record: int, per_shard: int, total: int, pad: bytes):
 
 
 def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, stride: int = 1024, per_shard: int = 4096, key: int = 20, pad: int | None = None, folder: str | None = None, shards_per_task: int = 8) -> DataFrame:
-    """Writes shards, their index and a manifest below folder (a new one in the shared folder by default), and returns the
-    index: id, seq_no, n_tokens, slot, shard, byte_offset and shard_path of every sequence.  pad: the largest id that fits by default."""
+    """Writes shards, their index and a manifest below folder, and returns the index; without a folder they go to a new one in the
+    shared folder, which goes when the driver ends.
+
+    The index: id, seq_no, n_tokens, slot, shard, byte_offset and shard_path of every sequence.  pad: the largest id that fits by default."""
     spark = docs.sparkSession
     ship(spark)
-    ranks = ranks_of(path)
+    folder = (folder or scratch_path(spark, "shards")).rstrip("/")
+    with same_splits(spark, plan_bytes(docs)):
+        _write(docs, path, pattern, doc_id, text, stride, per_shard, key, pad, folder, shards_per_task)
+    name = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
+    return spark.read.parquet(f"{folder}/index").withColumn("shard_path", name)
+
+
+def _write(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, stride: int, per_shard: int, key: int, pad: int | None, folder: str, shards_per_task: int) -> None:
+    spark, ranks = docs.sparkSession, ranks_of(path)
     e = encoder(ranks, pattern)
     pad = int(np.iinfo(e.dtype).max) if pad is None else pad
-    folder = (folder or f"{scratch_root(spark)}/strandloom-shards/{uuid.uuid4().hex}").rstrip("/")
     rows = in_file_order(docs, doc_id, text)
     splits, total, digest = numbered(rows, ranks, pattern, stride)
     made_by = {"version": 2, "key": key, "stride": stride, "per_shard": per_shard, "pad": pad, "dtype": e.dtype.str, "sequences": total, "tokenizer": hashlib.sha256(ranks).hexdigest(), "pattern": pattern, "input": digest}
-    if not _begin(spark, folder, made_by):
-        rows = rows.select("_id", "_text", F.xxhash64("_path").alias("_f"), "_block").join(F.broadcast(splits), ["_f", "_block"]).select("_id", "_text", "_f", "_block", "_base")
-        schema = StructType([rows.schema["_id"], *[StructField(c, LongType()) for c in ("_seq", "_len", "_slot")]]).add("_ids", "binary")
-        cut = rows.mapInArrow(_cut(ranks, pattern, stride, total, key), schema)
-        shards = max(1, -(-total // per_shard))
-        tasks = -(-shards // shards_per_task)
-        cut = cut.repartitionById(tasks, F.floor(F.floor(F.col("_slot") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("_slot")
-        out = StructType([*schema.fields[:4], StructField("_shard", LongType()), StructField("_at", LongType())])
-        done = cut.mapInArrow(_shards(folder, stride * e.dtype.itemsize, per_shard, total, np.array([pad], e.dtype).tobytes()), out)
-        done = done.select(F.col("_id").alias(doc_id), F.col("_seq").alias("seq_no"), F.col("_len").alias("n_tokens"), F.col("_slot").alias("slot"), F.col("_shard").alias("shard"), F.col("_at").alias("byte_offset"))
-        done.write.mode("overwrite").parquet(f"{folder}/index")
-        write_text(spark, f"{folder}/manifest.json", json.dumps(made_by | {"complete": True}))
-    name = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
-    return spark.read.parquet(f"{folder}/index").withColumn("shard_path", name)
+    if _begin(spark, folder, made_by):
+        return
+    if plan_bytes(splits) > SPLIT_BYTES:
+        raise ValueError("too many files for their table to be broadcast; write the input to fewer ones")
+    rows = rows.select("_id", "_text", F.xxhash64("_path").alias("_f"), "_block").join(F.broadcast(splits), ["_f", "_block"], "left").select("_id", "_text", "_f", "_block", "_base")
+    schema = StructType([rows.schema["_id"], *[StructField(c, LongType()) for c in ("_seq", "_len", "_slot")]]).add("_ids", "binary")
+    cut = rows.mapInArrow(_cut(ranks, pattern, stride, total, key), schema)
+    shards = max(1, -(-total // per_shard))
+    tasks = -(-shards // shards_per_task)
+    cut = cut.repartitionById(tasks, F.floor(F.floor(F.col("_slot") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("_slot")
+    out = StructType([*schema.fields[:4], StructField("_shard", LongType()), StructField("_at", LongType())])
+    done = cut.mapInArrow(_shards(folder, stride * e.dtype.itemsize, per_shard, total, np.array([pad], e.dtype).tobytes()), out)
+    done = done.select(F.col("_id").alias(doc_id), F.col("_seq").alias("seq_no"), F.col("_len").alias("n_tokens"), F.col("_slot").alias("slot"), F.col("_shard").alias("shard"), F.col("_at").alias("byte_offset"))
+    done.write.mode("overwrite").parquet(f"{folder}/index")
+    found = spark.read.parquet(f"{folder}/index").agg(F.count("*"), F.min("slot"), F.max("slot")).first()
+    if tuple(found) != (total, 0 if total else None, total - 1 if total else None):
+        raise ValueError(f"the input changed between the scans: {found[0]} of {total} sequences are written")
+    write_text(spark, f"{folder}/manifest.json", json.dumps(made_by | {"complete": True}))
 
 
 def _begin(spark: SparkSession, folder: str, made_by: dict) -> bool:
     """Whether the folder is finished; a new one gets its manifest, another one's is refused."""
     found = read_new(spark, f"{folder}/manifest.json")
     if found is None:
+        if listing(spark, f"{folder}/*"):
+            raise ValueError(f"{folder} holds files but no manifest; choose a new folder")
         write_text(spark, f"{folder}/manifest.json", json.dumps(made_by | {"complete": False}))
         return False
     found = json.loads(found)

@@ -490,6 +490,68 @@ def test_training_order(spark, docs, library, tmp_path, files):
     assert token_output.write_training_order(empty(spark), PATH, PATTERN).count() == 0
 
 
+@pytest.fixture
+def restored(spark):
+    """Settings that a test changes are put back."""
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    yield
+    for n, v in before.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_training_order_while_cores_change(spark, docs, library, tmp_path, monkeypatch, restored):
+    """The number of cores changes between the two scans of files that are cut by it."""
+    docs.repartition(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+    rows, numbered = spark.read.parquet(f"{tmp_path}/docs"), token_output.numbered
+
+    def then_more_cores(*args):
+        out = numbered(*args)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "7")
+        return out
+
+    monkeypatch.setattr(token_output, "numbered", then_more_cores)
+    folder = f"file://{tmp_path}/shards"
+    got = token_output.write_training_order(rows, PATH, PATTERN, folder=folder, stride=64, per_shard=20)
+    written_in_order(got.collect(), folder, docs.collect(), library)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    # rows that only one of the scans has are an error, and the folder stays unfinished
+    for change in (lambda s: s.where("_block < 0"), lambda s: s.withColumn("_base", F.col("_base") + 1)):
+        monkeypatch.setattr(token_output, "numbered", lambda *a, change=change: (lambda s, n, d: (change(s), n, d))(*numbered(*a)))
+        other = f"file://{tmp_path}/{random.random()}"
+        with pytest.raises(Exception, match="input changed"):
+            token_output.write_training_order(rows, PATH, PATTERN, folder=other, stride=64, per_shard=20)
+        assert '"complete": false' in storage.read_text(spark, f"{other}/manifest.json")
+
+
+def test_foreign_shards_are_refused(spark, docs, tmp_path):
+    folder, kw = f"file://{tmp_path}/shards", {"stride": 64, "per_shard": 20}
+    token_output.write_training_order(docs, PATH, PATTERN, folder=folder, **kw)
+    (tmp_path / "shards" / "manifest.json").unlink()
+    with pytest.raises(ValueError, match="no manifest"):
+        token_output.write_training_order(docs, PATH, PATTERN, folder=folder, **kw)
+
+
+def test_cache_is_bounded_by_bytes(library):
+    """Long pieces, each another one, leave nothing behind, and are encoded as the library does."""
+    t = bpe.ByteBPE(spans.parsed(spans.ranks_of(PATH)), PATTERN)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([3, 60, 70, 3000]))) for _ in range(300)]
+    for i in range(0, 300, 30):
+        assert list(t.encode_many(texts[i : i + 30])) == [library.encode_ordinary(x) for x in texts[i : i + 30]]
+        assert not t.long and max(map(len, t.cache)) <= t.LONGEST
+
+
+def test_language_samples_are_bounded(spark):
+    """A third of all rows has one id."""
+    rows = [(i, f"some words of text {i} in this language", "en") for i in range(200)] + [(92, f"many rows of one id {i}", "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    one = language_id.learn(docs, samples=16)["en"]
+    assert one.count(b"\n") < 16 and one.count(b"one id") == 1 == language_id.learn(docs, samples=16)["en"].count(b"one id")
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
 def test_permutation(n):
     a, b = (token_output.permuted(np.arange(n), n, key) for key in (1, 2))
