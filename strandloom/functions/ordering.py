@@ -27,9 +27,10 @@ def number_lines(lines: DataFrame, name: str, per_record: int = 1) -> DataFrame:
     (ordered by path) of the record of ``per_record`` lines that holds the row.  No shuffle of lines.
 
     A split of a file is read in order by one task, so a row's place in it follows from its running id; the
-    splits' counts (a row for each split) give the places of splits in files and of files in the whole.
+    splits' counts (a row for each split) give the places of splits in files and of files in the whole.  The scan is
+    written once with its splits' names, since a second one may have other splits.
     """
-    scan = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono"))
+    scan = written(lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mono")), "lines")
     splits = scan.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_mono").alias("_first"))
     splits = written(splits, "splits")
     here = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block")) - F.col("_n")

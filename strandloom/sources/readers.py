@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import number_lines, number_rows
 from ..functions.sequences import canonical
 from ..functions.storage import listing
+from .scan import SPLIT_BYTES, can_open, scan_records
 
 READ_SCHEMA = "read_id string, read_int bigint, file_ord bigint, seq string, read_len int"
 
@@ -29,24 +30,41 @@ def format_of(spark: SparkSession, path: str) -> str:
     return "fastq" if kinds == {True} else "fasta"
 
 
-def read_records(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """read_id, file_ord, seq, read_len of every record of a file, folder or glob, in the order of files by path and of records in them.
+#: A record's place: its file's number above its first byte there.
+PLACE_BITS = 44
+
+
+def read_records(spark: SparkSession, path: str, fmt: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """read_id, file_ord, seq, read_len of every record of a file, folder or glob; file_ord grows with the order of files by path and of records in them.
 
     The id is the header up to the first white space.  FASTQ records have four lines; a
     quality line may start like a header.  Files with other suffixes than .fastq are read as FASTA.
-    Gzipped files are unpacked by Spark.  Lines may end in CR LF.  An empty file has no records.
+    Gzipped files are unpacked.  Lines may end in CR LF.  An empty file has no records.
+    Files that only Hadoop's file systems can open go through Spark's text reader and are written once, with their lines' places.
     """
-    if (fmt or format_of(spark, path)) == "fastq":
+    files = [(name, size) for name, size, _ in listing(spark, path) if size]
+    kind = fmt or format_of(spark, path)
+    if len(files) >= 1 << (63 - PLACE_BITS):
+        raise ValueError(f"more than {1 << (63 - PLACE_BITS)} files: {path}")
+    if all(can_open(name) for name, _ in files[:1]):
+        records = scan_records(spark, files, kind, split_bytes).select((F.shiftleft(F.col("file").cast("bigint"), PLACE_BITS) + F.col("start")).alias("file_ord"), F.col("head").alias("_head"), "seq")
+    else:
+        records = text_records(spark, path, kind)
+    records = records.select(F.regexp_extract("_head", r"^\s*(\S*)", 1).alias("read_id"), "file_ord", "seq")
+    return records.withColumn("read_len", F.length("seq"))
+
+
+def text_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """file_ord, _head, seq by Spark's text reader; file_ord is the record's number."""
+    if kind == "fastq":
         lines = number_lines(spark.read.text(path), "_line", 4)
         place = F.col("_line") % 4
         head, seq = F.max(F.when(place == 0, F.substring("value", 2, 1 << 30))), F.max(F.when(place == 1, F.col("value")))
         records = lines.where(place < 2).groupBy(F.col("_record").alias("file_ord")).agg(head.alias("_head"), seq.alias("seq"))
-    else:
-        whole = number_lines(spark.read.option("lineSep", "\n>").text(path), "_line").where(F.trim("value") != "")
-        value = F.regexp_replace("value", "^>", "")
-        records = whole.select(F.col("_record").alias("file_ord"), F.regexp_extract(value, r"^[^\r\n]*", 0).alias("_head"), F.regexp_replace(F.regexp_replace(value, r"^[^\r\n]*", ""), r"\s", "").alias("seq"))
-    records = records.select(F.regexp_extract("_head", r"^\s*(\S*)", 1).alias("read_id"), "file_ord", F.trim("seq").alias("seq"))
-    return records.withColumn("read_len", F.length("seq"))
+        return records.withColumn("seq", F.trim("seq"))
+    whole = number_lines(spark.read.option("lineSep", "\n>").text(path), "_line").where(F.trim("value") != "")
+    value = F.regexp_replace("value", "^>", "")
+    return whole.select(F.col("_record").alias("file_ord"), F.regexp_extract(value, r"^[^\r\n]*", 0).alias("_head"), F.regexp_replace(F.regexp_replace(value, r"^[^\r\n]*", ""), r"\s", "").alias("seq"))
 
 
 def with_read_ints(records: DataFrame) -> DataFrame:

@@ -281,10 +281,56 @@ def test_many_files_in_small_splits(spark, tmp_path, kind, end):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
     try:
-        rows = readers.read_records(spark, str(tmp_path)).orderBy("file_ord").collect()
+        rows = readers.read_records(spark, str(tmp_path), split_bytes=97).orderBy("file_ord").collect()
+        text = readers.text_records(spark, str(tmp_path), readers.format_of(spark, str(tmp_path))).orderBy("file_ord").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [(r["read_id"], r["seq"]) for r in rows] == want and len({r["file_ord"] for r in rows}) == len(want)
+    assert [(r["_head"].split()[0], r["seq"]) for r in text] == want and len({r["file_ord"] for r in text}) == len(want)
+
+
+@pytest.fixture
+def restored(spark):
+    """Settings that a test changes are put back."""
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+    before = {n: spark.conf.get(n, None) for n in names}
+    yield
+    for n, v in before.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("kind", ["fastq", "fa"])
+@pytest.mark.parametrize("reader", ["source", "text", "list"])
+def test_records_while_cores_change(spark, tmp_path, kind, reader, restored):
+    """The number of cores changes between making a table of records and reading it."""
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(6000)]
+    body = "".join(f"{x}\n" if reader == "list" else f"@r{i}\n{x}\n+\n{'@' * 30}\n" if kind == "fastq" else f">r{i}\n{x}\n" for i, x in enumerate(seqs))
+    (tmp_path / f"x.{kind}").write_text(body)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "4")
+    if reader == "list":
+        table = readers.read_unikmers(spark, str(tmp_path)).select(F.col("unikmer_id").alias("file_ord"), F.col("kmer").alias("seq"))
+        flip = str.maketrans("ACGT", "TGCA")
+        seqs = [min(x, x.translate(flip)[::-1]) for x in seqs]
+    elif reader == "text":
+        table = readers.text_records(spark, str(tmp_path), "fastq" if kind == "fastq" else "fasta")
+    else:
+        table = readers.read_records(spark, str(tmp_path), split_bytes=10_000)
+    for cores in (4, 7, 3):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(cores))
+        assert [r["seq"] for r in table.orderBy("file_ord").collect()] == seqs
+
+
+def test_odd_records(spark, tmp_path):
+    """Quality lines like headers, empty sequences, blank lines at the end, a cut last record, long lines."""
+    long = "ACGT" * 3_000_000
+    (tmp_path / "a.fastq").write_text(f"@a 1\nAC\n+\n@+\n@b\n\n+\n\n@\nGG\n+x\n+@\n@c\n{long}\n+\n{'@' * len(long)}\n\n\n@d\nTT")
+    got = readers.read_records(spark, str(tmp_path / "a.fastq"), split_bytes=5_000_003).orderBy("file_ord").collect()
+    assert [(r["read_id"], r["seq"]) for r in got] == [("a", "AC"), ("b", ""), ("", "GG"), ("c", long), ("d", "TT")]
+    (tmp_path / "b.fa").write_text(f"\n>a\n\n>b x\nA C\n{long}\n>\nGG")
+    got = readers.read_records(spark, str(tmp_path / "b.fa"), split_bytes=5_000_003).orderBy("file_ord").collect()
+    assert [(r["read_id"], r["seq"]) for r in got] == [("a", ""), ("b", "AC" + long), ("", "GG")]
 
 
 def test_lists_and_graphs(spark, tmp_path):
