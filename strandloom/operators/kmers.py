@@ -1,7 +1,12 @@
 """K-mers of reads: windows, counts, histogram.
 
-Up to 31 bases a canonical k-mer travels as its 2-bit code in a bigint, made for many reads at once by an
+Up to 31 bases a canonical k-mer is its 2-bit code in a bigint, made for many reads at once by an
 Arrow kernel; code order is string order.  Longer ones are strings, cut in the JVM.
+
+Counting sends no k-mers.  K-mers that follow each other in a read and have the same minimizer (the smallest hash of a canonical
+m-mer in them, the same for both strands) travel as one run of packed bases, a quarter byte each, to the bucket of
+their minimizer, which holds all occurrences of its k-mers and counts them.  There are as many buckets as the input needs to keep
+them small.  A bucket that is large all the same (a minimizer in a third of all reads) is counted by its tasks in part, and by code.
 """
 
 from __future__ import annotations
@@ -15,13 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import BASES, DIGITS, is_acgt, normalised, reverse_complement
-from ..functions.storage import ship
+from ..functions.storage import plan_bytes, ship, small, written
 
 CHUNK = 96
 #: The longest k-mer whose code fits into a bigint.
 LONGEST_CODE = 31
 #: Bases that one task encodes at a time, and codes that it counts before it sends them on.
-TOGETHER, FLUSH = 1 << 20, 1 << 22
+TOGETHER, FLUSH = 1 << 21, 1 << 22
+#: Bases of a minimizer, and k-mers of a run at most.
+MINIMIZER, LONGEST_RUN = 11, 1 << 15
+#: Packed bytes of a bucket that are aimed at, and beyond which it is counted in parts.
+BUCKET_BYTES, HOT_BYTES = 2 << 20, 16 << 20
 
 
 def _digits() -> np.ndarray:
@@ -32,29 +41,110 @@ def _digits() -> np.ndarray:
     return out
 
 
-def window_codes(seqs: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Canonical codes of all windows of ACGT, and their sequence's number and place in it, in order."""
+def _digits_of(seqs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of sequences, each followed by a digit that is no base, and where each begins."""
     data = [(s or "").encode("latin-1", "replace") for s in seqs]
-    lengths = np.array([len(d) for d in data], np.int64)
-    digit = _digits()[np.frombuffer(b"".join(data), np.uint8)]
-    starts = np.cumsum(lengths) - lengths
+    starts = np.cumsum([0, *(len(d) + 1 for d in data)])[:-1]
+    return _DIGITS[np.frombuffer(b"\n".join([*data, b""]), np.uint8)], starts
+
+
+def _all_codes(digit: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Canonical codes of the windows of k digits at some places, or of all, those without a code too, from codes of 1, 2, 4, 8 and 16 bases."""
     n = len(digit) - k + 1
-    if n <= 0:
+    f = digit & 3
+    b = 3 - f
+    forward, backward = np.zeros((2, n if at is None else len(at)), np.int64)
+    used = 0
+    for width, kind in ((1, np.uint8), (2, np.uint8), (4, np.uint8), (8, np.uint16), (16, np.uint32)):
+        if width > 1:
+            h = width // 2
+            f, b = f.astype(kind), b.astype(kind)
+            f, b = f[:-h] << (2 * h) | f[h:], b[h:] << (2 * h) | b[:-h]
+        if k & width:
+            here = slice(used, used + n) if at is None else at + used
+            forward = forward << (2 * width) | f[here]
+            backward |= b[here].astype(np.int64) << (2 * used)
+            used += width
+        if 2 * width > k:
+            break
+    return np.minimum(forward, backward)
+
+
+def _clean(digit: np.ndarray, k: int) -> np.ndarray:
+    """Whether each window of k digits is bases alone."""
+    bad = np.concatenate([[0], np.cumsum(digit > 3, dtype=np.int32)])
+    return bad[k:] == bad[:-k]
+
+
+def window_codes(seqs: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical codes of all windows of ACGT, and their sequence's number and place in it, in order."""
+    digit, starts = _digits_of(seqs)
+    if len(digit) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bad = np.concatenate([[0], np.cumsum(digit > 3)])
-    clean = bad[k:] == bad[:-k]
-    # windows that leave their sequence are none
-    for end in np.cumsum(lengths):
-        clean[max(0, end - k + 1) : end] = False
-    at = np.flatnonzero(clean)
-    wide = digit.astype(np.int64)
-    forward, backward = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for i in range(k):
-        part = wide[i : i + n]
-        forward = forward << 2 | part & 3
-        backward |= (3 - (part & 3)) << (2 * i)
+    at = np.flatnonzero(_clean(digit, k))
     of = np.searchsorted(starts, at, "right") - 1
-    return np.minimum(forward, backward)[at], of, at - starts[of]
+    return _all_codes(digit, k, at), of, at - starts[of]
+
+
+def _smallest(x: np.ndarray, width: int) -> np.ndarray:
+    """The least value in each window of a width."""
+    n, have = len(x) - width + 1, 1
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return x if have == width else np.minimum(x[:n], x[width - have : width - have + n])
+
+
+def super_kmers(digit: np.ndarray, k: int, buckets: int) -> list[tuple[int, bytes]]:
+    """For each bucket with k-mers the packed runs of them: how many, their lengths in bases, and the bases."""
+    if len(digit) < k or not (clean := _clean(digit, k)).any():
+        return []
+    m = min(k, MINIMIZER)
+    hashed = (_all_codes(digit, m).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    least = _smallest(hashed.astype(np.uint32), k - m + 1).astype(np.uint64)
+    # small hashes win, so they are mixed again
+    bucket = ((((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    new = np.ones(len(clean), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | ~clean[:-1]
+    new &= clean
+    # runs of one minimizer that are too long for their length's 16 bits are cut
+    place = np.flatnonzero(clean)
+    since = place - np.flatnonzero(new)[np.cumsum(new)[place] - 1]
+    new[place[since % LONGEST_RUN == 0]] = True
+    starts = np.flatnonzero(new)
+    lengths = np.bincount(np.cumsum(new)[place] - 1, minlength=len(starts)) + k - 1
+    order = np.argsort(bucket[starts], kind="stable")
+    starts, lengths, of = starts[order], lengths[order], bucket[starts][order]
+    names, first = np.unique(of, return_index=True)
+    sizes = np.add.reduceat(lengths, first)
+    ends = np.cumsum(lengths)
+    bases = digit[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
+    # each bucket begins at a byte of its own
+    padded = -(-sizes // 4)
+    at = np.cumsum(padded) - padded
+    four = np.zeros(4 * int(padded.sum()), np.uint8)
+    four[np.repeat(4 * at - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(bases))] = bases
+    packed = (four[0::4] << 6 | four[1::4] << 4 | four[2::4] << 2 | four[3::4]).tobytes()
+    short, last = lengths.astype("<u2").tobytes(), [*first[1:].tolist(), len(starts)]
+    return [(b, (j - i).to_bytes(4, "little") + short[2 * i : 2 * j] + packed[p : p + n]) for b, i, j, p, n in zip(names.tolist(), first.tolist(), last, at.tolist(), padded.tolist())]
+
+
+def packed_codes(blobs: list[bytes], k: int) -> np.ndarray:
+    """Codes of the k-mers of packed runs."""
+    counts = [int.from_bytes(x[:4], "little") for x in blobs]
+    if not counts:
+        return np.zeros(0, np.int64)
+    sizes = [np.frombuffer(x, "<u2", n, 4).astype(np.int64) for x, n in zip(blobs, counts)]
+    bases = [_FOUR[np.frombuffer(x, np.uint8, offset=4 + 2 * n)].ravel()[: int(y.sum())] for x, n, y in zip(blobs, counts, sizes)]
+    lengths = np.concatenate(sizes)
+    windows, starts = lengths - k + 1, np.cumsum(lengths) - lengths
+    ends = np.cumsum(windows)
+    return _all_codes(np.concatenate(bases), k, np.repeat(starts - (ends - windows), windows) + np.arange(ends[-1]))
+
+
+#: The four digits of each byte of packed bases.
+_FOUR = np.stack([np.arange(256, dtype=np.uint8) >> x & 3 for x in (6, 4, 2, 0)], axis=1)
+_DIGITS = _digits()
 
 
 def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -101,19 +191,42 @@ def kmers(reads: DataFrame, k: int = 21) -> DataFrame:
     return windows.where(F.col("_clean") | is_acgt(F.col("kmer"))).select("read_int", (F.col("_off") + F.col("_j")).alias("pos"), "kmer")
 
 
-def code_counts(reads: DataFrame, k: int = 21) -> DataFrame:
-    """code, n over all reads, both strands together; tasks count before they shuffle."""
-    ship(reads.sparkSession)
+def counted(codes: list[np.ndarray]) -> pa.RecordBatch:
+    code, n = np.unique(np.concatenate(codes), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
-    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+def packed_runs(reads: DataFrame, k: int, buckets: int) -> DataFrame:
+    """bucket, runs: what super_kmers gives, for parts of the reads of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
         for batch in batches:
             for part in _parts(batch, "seq"):
-                parts.append(window_codes(part.column(0).to_pylist(), k)[0])
+                found = super_kmers(_digits_of(part.column(0).to_pylist())[0], k, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "runs"])
+
+    return reads.select(F.col("seq").cast("string").alias("seq")).mapInArrow(run, "bucket bigint, runs binary")
+
+
+def code_counts(reads: DataFrame, k: int = 21, *, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """code, n over all reads, both strands together, counted by the buckets of their minimizers."""
+    spark = reads.sparkSession
+    ship(spark)
+    buckets = max(4 * spark.sparkContext.defaultParallelism, -(-plan_bytes(reads) // bucket_bytes))
+    runs = written(packed_runs(reads, k, buckets), "runs")
+    sizes = runs.groupBy("bucket").agg(F.sum(F.length("runs").cast("bigint")).alias("_size"))
+    hot = None
+    if (sizes.agg(F.max("_size")).first()[0] or 0) > hot_bytes:
+        hot = written(sizes.where(F.col("_size") > hot_bytes).select("bucket"), "hot")
+
+    def whole(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([counted([packed_codes(table.column("runs").to_pylist(), k)])])
+
+    def in_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                parts.append(packed_codes([x], k))
                 held += len(parts[-1])
                 if held >= FLUSH:
                     yield counted(parts)
@@ -121,8 +234,12 @@ def code_counts(reads: DataFrame, k: int = 21) -> DataFrame:
         if held:
             yield counted(parts)
 
-    made = reads.select(F.col("seq").cast("string").alias("seq")).mapInArrow(run, "code bigint, n bigint")
-    return made.groupBy("code").agg(F.sum("n").alias("n"))
+    rest = runs if hot is None else runs.join(small(hot), "bucket", "left_anti")
+    out = rest.groupBy("bucket").applyInArrow(whole, "code bigint, n bigint")
+    if hot is not None:
+        parts = runs.join(small(hot), "bucket", "left_semi").select("runs").mapInArrow(in_part, "code bigint, n bigint")
+        out = out.unionAll(parts.groupBy("code").agg(F.sum("n").alias("n")))
+    return out
 
 
 def kmer_counts(reads: DataFrame, k: int = 21) -> DataFrame:

@@ -75,6 +75,35 @@ def test_codes_are_the_kmers(spark, monkeypatch):
     assert kmers.kmer_counts(reads.limit(0), 21).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 4, 11, 21, 31])
+def test_super_kmers(k):
+    """Packed runs hold each k-mer as often as the reads do, each one in the bucket of its own."""
+    rng = random.Random(3)
+    seqs = ["".join(rng.choice("ACGTNacgt" if i % 5 == 0 else "ACGT") for _ in range(rng.randint(0, 300))) for i in range(40)]
+    seqs += ["", "ACG", None, "é" * 50, "A" * 70_000, "AC" * 20_000]
+    code = lambda w: sum("ACGT".index(c) << 2 * i for i, c in enumerate(reversed(w)))
+    want = Counter(code(w) for s in seqs for _, w in model_windows(s or "", k))
+    for buckets in (1, 7, 1000):
+        found = kmers.super_kmers(kmers._digits_of(seqs)[0], k, buckets)
+        assert Counter(kmers.packed_codes([x for _, x in found], k).tolist()) == want
+        homes = Counter(c for b in {b for b, _ in found} for c in set(kmers.packed_codes([x for y, x in found if y == b], k).tolist()))
+        assert set(homes.values()) <= {1} and all(0 <= b < buckets for b, _ in found)
+
+
+def test_a_hot_minimizer(spark):
+    """A read that makes a third of the input, and one run of a base: their buckets are counted in part."""
+    rng = random.Random(9)
+    hot = "".join(rng.choice("ACGT") for _ in range(200))
+    seqs = [hot] * 150 + ["A" * 5000] * 20 + ["".join(rng.choice("ACGT") for _ in range(300)) for _ in range(100)]
+    reads = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "read_int bigint, seq string").repartition(3)
+    whole = sorted(map(tuple, kmers.code_counts(reads, 21).collect()))
+    for limit in (0, 3000):
+        assert sorted(map(tuple, kmers.code_counts(reads, 21, bucket_bytes=500, hot_bytes=limit).collect())) == whole
+    flip = str.maketrans("ACGT", "TGCA")
+    want = Counter(min(w, w.translate(flip)[::-1]) for s in seqs for i in range(len(s) - 20) if (w := s[i : i + 21]))
+    assert dict(map(tuple, kmers.kmer_counts(reads, 21).collect())) == want
+
+
 def test_frequency_window(spark):
     h = spark.createDataFrame([(0, 7), (1, 1000), (2, 100), (3, 50), (4, 45), (5, 60), (6, 80), (7, 60), (8, 40)], "freq bigint, n_kmers bigint")
     row = spectrum.frequency_window(h).first()
