@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import encode2bit
 from ..functions.storage import ship, written
-from .kmers import LONGEST_CODE, _parts, kmer_codes, kmers, window_codes
+from .kmers import LONGEST_CODE, _parts, kmers, window_codes
 
 #: Unikmers that are broadcast at most: 16 bytes each, 64 MB.
 MOST_BROADCAST = 1 << 22
+#: Bits of the filter for each unikmer beyond that, of which two are set, and bytes of the filter at most.
+FILTER_BITS, FILTER_BYTES = 16, 256 << 20
+#: Bits that one row of Spark's bitmaps holds.
+PIECE = 1 << 15
 
 SCHEMA = "read_id string, read_int bigint, read_len int, barcode array<bigint>"
 
@@ -23,7 +27,8 @@ def barcodes(reads: DataFrame, unikmers: DataFrame, k: int = 21, *, most_broadca
     """read_id, read_int, read_len, barcode, n_barcodes; repeats stay; reads without unikmers have an empty barcode.
 
     While the unikmers are at most ``most_broadcast``, their sorted codes go to all tasks and reads are not
-    shuffled.  Beyond that, k-mers meet the unikmers by a join, and the lists, each as long as its read, are
+    shuffled.  Beyond that, a filter of two bytes a unikmer goes to all tasks, k-mers that it does not hold end there
+    (all but 1.4% of those that are none, while the filter is below its bound), and the others meet the unikmers by a join; the lists, each as long as its read, are
     gathered by read.  Unikmers carry their code or else their k-mer.
     """
     if k > LONGEST_CODE:
@@ -31,8 +36,9 @@ def barcodes(reads: DataFrame, unikmers: DataFrame, k: int = 21, *, most_broadca
         return _gathered(reads, hits)
     code = F.col("code") if "code" in unikmers.columns else encode2bit(F.col("kmer"))
     marks = written(unikmers.select(code.cast("bigint").alias("code"), F.col("unikmer_id").cast("bigint").alias("unikmer_id")), "unikmers")
-    if marks.count() > most_broadcast:
-        return _gathered(reads, kmer_codes(reads, k).join(marks, "code"))
+    n = marks.count()
+    if n > most_broadcast:
+        return _gathered(reads, suspected_codes(reads, marks, n, k).join(marks, "code"))
     table = marks.orderBy("code").toArrow()
     spark = reads.sparkSession
     ship(spark)
@@ -53,6 +59,47 @@ def barcodes(reads: DataFrame, unikmers: DataFrame, k: int = 21, *, most_broadca
     return rows.mapInArrow(run, SCHEMA).withColumn("n_barcodes", F.size("barcode"))
 
 
+def _spots(code: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Two places of each code in a filter of bits, a power of two."""
+    for factor, shift in ((0x9E3779B97F4A7C15, 20), (0xD6E8FEB86659FD93, 22)):
+        yield ((code.astype(np.uint64) * np.uint64(factor)) >> np.uint64(shift)).astype(np.int64) & (bits - 1)
+
+
+def unikmer_filter(marks: DataFrame, n: int, filter_bytes: int = FILTER_BYTES) -> np.ndarray:
+    """The bits of the codes of n unikmers as bytes: FILTER_BITS for each, filter_bytes in all at most."""
+    bits = max(PIECE, min(8 * filter_bytes, 1 << (FILTER_BITS * n - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(list(_spots(np.asarray(batch.column(0)), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at // PIECE), pa.array(at % PIECE)], names=["piece", "bit"])
+
+    pieces = marks.select("code").mapInArrow(run, "piece bigint, bit bigint").groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((bits // PIECE, PIECE // 8), np.uint8)
+    for row in pieces.toLocalIterator():  # bounded by filter_bytes
+        out[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def suspected_codes(reads: DataFrame, marks: DataFrame, n: int, k: int) -> DataFrame:
+    """read_int, pos, code of the k-mers that the filter of the unikmers holds."""
+    spark = reads.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(unikmer_filter(marks, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for part in _parts(batch, "seq"):
+                code, of, pos = window_codes(part.column("seq").to_pylist(), k)
+                hit = np.ones(len(code), bool)
+                for at in _spots(code, 8 * len(known)):
+                    hit &= (known[at >> 3] >> (at & 7) & 1).astype(bool)
+                yield pa.RecordBatch.from_arrays([part.column("read_int").take(pa.array(of[hit])), pa.array(pos[hit].astype(np.int32)), pa.array(code[hit])], names=["read_int", "pos", "code"])
+
+    return reads.select(F.col("read_int").cast("bigint").alias("read_int"), F.col("seq").cast("string").alias("seq")).mapInArrow(run, "read_int bigint, pos int, code bigint")
+
+
 def _gathered(reads: DataFrame, hits: DataFrame) -> DataFrame:
     hits = hits.select("read_int", "pos", F.col("unikmer_id").cast("bigint").alias("unikmer_id"))
     lists = hits.groupBy("read_int").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "unikmer_id"))), lambda x: x["unikmer_id"]).alias("barcode"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import number_rows
-from ..functions.storage import discard, written
+from ..functions.storage import discard, ship, written
 
 ANCHOR_SCHEMA = "sel_ord int, read_id string, read_int bigint, kept array<bigint>, read_len int"
 
@@ -20,52 +21,108 @@ def universe(barcoded: DataFrame) -> DataFrame:
     return barcoded.select(F.explode("barcode").alias("unikmer_id")).distinct()
 
 
-def lazy_greedy(reads: Iterable[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
-    """(read_int, newly covered occurrences) in selection order.
+def lazy_greedy(reads: Iterable[tuple[int, int, np.ndarray]], rest: tuple[int, int] | None = None) -> tuple[list[tuple[int, np.ndarray]], list[tuple[int, int]]]:
+    """From reads (read_int, score in the queue, open ids with repeats): (read_int, newly covered occurrences) in the order of
+    their selection, and (read_int, score) of those that stay in the queue.
 
     A score counts uncovered occurrences, repeats included.  The queue holds stale scores;
     the head is taken when its true score is at least the next stale one, so ties need not
-    fall to the smaller read_int as they would with fresh scores throughout.
+    fall to the smaller read_int as they would with fresh scores throughout.  The queue goes on behind these reads
+    with ``rest``, the (score, read_int) of its first read there, and the work ends when the head is that one.
     """
-    store = {r: b for r, b in reads if len(b)}
-    ids = {u: i for i, u in enumerate(np.unique(np.concatenate(list(store.values()))).tolist())} if store else {}
-    dense = {r: np.fromiter(map(ids.__getitem__, b.tolist()), np.int64, len(b)) for r, b in store.items()}
-    open_ids = np.ones(len(ids), bool)
-    queue = [(-len(b), r) for r, b in store.items()]
+    store, queue = {}, []
+    for r, score, ids in reads:
+        store[r] = ids
+        queue.append((-score, r))
+    names, dense = np.unique(np.concatenate(list(store.values())), return_inverse=True) if store else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    cuts = np.cumsum([len(x) for x in store.values()])
+    dense = dict(zip(store, np.split(dense, cuts[:-1]))) if store else {}
+    open_ids = np.ones(len(names), bool)
     heapq.heapify(queue)
+    behind = (-rest[0], rest[1]) if rest else None
     out = []
-    while queue:
+    while queue and (behind is None or queue[0] < behind):
         _, r = heapq.heappop(queue)
         fresh = open_ids[dense[r]]
         score = int(fresh.sum())
         if not score:
             continue
-        if queue and score < -queue[0][0]:
+        following = [-x[0] for x in (queue[:1] + ([behind] if behind else []))]
+        if following and score < max(following):
             heapq.heappush(queue, (-score, r))
             continue
-        out.append((r, store[r][fresh]))
+        out.append((r, names[dense[r][fresh]]))
         open_ids[dense[r][fresh]] = False
-    return out
+    return out, [(r, -s) for s, r in queue]
 
 
-#: Bytes of barcodes (8 an id) that anchors() takes to the driver at most.
-DRIVER_BYTES = 1 << 31
+#: Ids of the reads that one round settles, at most, apart from a single longer read.
+ROUND_IDS = 1 << 23
 
+SETTLED = "turn int, read_int bigint, score bigint, kept array<bigint>"
 
-def anchors(barcoded: DataFrame, driver_bytes: int = DRIVER_BYTES) -> DataFrame:
+
+def _settle(rest: tuple[int, int] | None):
+    """One task's round: rows with a turn are selected, the others go back into the queue."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r, s, np.asarray(ids.values)) for batch in batches for r, s, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)))
+        taken, back = lazy_greedy(rows, rest)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([*range(len(taken)), *[None] * len(back)], pa.int32()), pa.array([r for r, _ in (*taken, *back)], pa.int64()),
+            pa.array([None] * len(taken) + [s for _, s in back], pa.int64()), pa.array([x for _, x in taken] + [None] * len(back), pa.list_(pa.int64())),
+        ], names=["turn", "read_int", "score", "kept"])
+
+    return run
+
+
+def _head(queue: DataFrame, round_ids: int) -> tuple[DataFrame, DataFrame]:
+    """The queue's first reads (at least one), with about round_ids ids in all, and the others."""
+    levels = queue.groupBy("score").agg(F.count("*").alias("reads"))
+    total = F.sum(F.col("score") * F.col("reads")).over(Window.orderBy(F.desc("score")))  # a row for each score
+    top, least = levels.select("score", total.alias("ids")).agg(F.max("score"), F.min(F.when(F.col("ids") <= round_ids, F.col("score")))).first()
+    if least is not None:
+        return queue.where(F.col("score") >= least), queue.where(F.col("score") < least)
+    # one score has too many reads: the smallest read_ints of them
+    last = queue.where(F.col("score") == top).select("read_int").orderBy("read_int").limit(max(1, round_ids // top)).agg(F.max("read_int")).first()[0]
+    here = (F.col("score") == top) & (F.col("read_int") <= last)
+    return queue.where(here), queue.where(~here)
+
+
+def anchors(barcoded: DataFrame, round_ids: int = ROUND_IDS) -> DataFrame:
     """sel_ord, read_id, read_int, kept, read_len by lazy greedy set cover.
 
-    The order of ties makes this inherently sequential, so the non-empty barcodes stream to
-    the driver, as compact arrays, if they have at most driver_bytes; else ValueError: use anchors_by_rounds.
+    The order of ties makes this sequential, so the queue is settled from its head, in rounds.  A round takes the first
+    reads of the queue of stale scores, of about ``round_ids`` ids together, without the ids that are covered; one task
+    settles them as the queue would, up to where the rest of the queue comes first, and the queue gets back what is
+    not selected with its new score.  Scores, covered ids and selected reads are tables; the driver has counts and
+    one read's score.
     """
-    rows = barcoded.where("n_barcodes > 0").select("read_int", "barcode")
-    size = 8 * (barcoded.agg(F.sum(F.col("n_barcodes").cast("bigint"))).first()[0] or 0)
-    if size > driver_bytes:
-        raise ValueError(f"the barcodes have {size} bytes, more than {driver_bytes}; choose the cover by rounds, which needs no driver")
-    picked = lazy_greedy((r["read_int"], np.array(r["barcode"], np.int64)) for r in rows.toLocalIterator(prefetchPartitions=True))
     spark = barcoded.sparkSession
-    chosen = spark.createDataFrame([(i, r, kept.tolist()) for i, (r, kept) in enumerate(picked)], "sel_ord int, read_int bigint, kept array<bigint>")
-    return chosen.join(barcoded.select("read_int", "read_id", "read_len"), "read_int").select("sel_ord", "read_id", "read_int", "kept", "read_len")
+    ship(spark)
+    reads = written(barcoded.where("n_barcodes > 0").select("read_int", "barcode", F.col("n_barcodes").cast("bigint").alias("score")), "reads")
+    queue, taken = reads.select("read_int", "score"), []
+    while not queue.isEmpty():
+        first, others = _head(queue, round_ids)
+        rest = others.agg(F.max(F.struct("score", -F.col("read_int")))).first()[0]
+        batch = reads.drop("score").join(first, "read_int")
+        if taken:  # reads of which all is covered stay, since their old scores still count in the queue
+            covered = spark.read.schema(SETTLED).parquet(*[t._strandloom_path for t in taken]).select(F.explode("kept").alias("_id")).distinct()
+            left = batch.select("read_int", F.posexplode("barcode").alias("_pos", "_id")).join(covered, "_id", "left_anti")
+            left = left.groupBy("read_int").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_id"))), lambda x: x["_id"]).alias("barcode"))
+            batch = first.join(left, "read_int", "left").withColumn("barcode", F.coalesce("barcode", F.array().cast("array<bigint>")))
+        settled = written(batch.select("read_int", "score", "barcode").repartition(1).mapInArrow(_settle((rest[0], -rest[1]) if rest else None), SETTLED), "settled")
+        taken.append(written(settled.where("turn is not null"), "taken"))
+        old, queue = queue, written(others.unionAll(settled.where("turn is null").select("read_int", "score")), "queue")
+        discard(old, settled)
+    if not taken:
+        return spark.createDataFrame([], ANCHOR_SCHEMA)
+    out, before = None, 0
+    for t in taken:
+        part = t.select((F.col("turn") + before).alias("sel_ord"), "read_int", "kept")
+        before += t.count()
+        out = part if out is None else out.unionAll(part)
+    return out.join(barcoded.select("read_int", "read_id", "read_len"), "read_int").select("sel_ord", "read_id", "read_int", "kept", "read_len")
 
 
 def anchors_by_rounds(barcoded: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ class Config:
     genome_size: int = 0
     coverage: float = 1.0
     batch: int = 64
-    driver_bytes: int = cover.DRIVER_BYTES
+    round_ids: int = cover.ROUND_IDS
     cover: str = "lazy"
 
 
@@ -194,7 +194,7 @@ def run(spark: SparkSession, reads_path: str, run_dir: str, config: Config, *, s
     none = lambda: spark.createDataFrame([], "bin_id bigint, read_id string, read_len int, rank_in_bin bigint")
     binned = stores.kept("bins", binning_by, none if min_bases is None else lambda: binning.bin_reads(barcoded, config.genome_size, config.coverage))
     covering = by("k", "cover")
-    choose = (lambda: cover.anchors(barcoded, config.driver_bytes)) if config.cover == "lazy" else (lambda: cover.anchors_by_rounds(barcoded))
+    choose = (lambda: cover.anchors(barcoded, config.round_ids)) if config.cover == "lazy" else (lambda: cover.anchors_by_rounds(barcoded))
     chosen = stores.kept("anchors", covering, choose, sorted_by("sel_ord"))
     direct = stores.kept("direct_bridges", by("k", "cover", "min_overlap"), lambda: overlap.direct_bridges(barcoded, chosen, config.min_overlap))
     indexing = by("k", "cover", "key", "stride", "fraction", "cap")
@@ -239,7 +239,7 @@ def write_reports(stores: Stores, histogram, distribution, barcoded, binned, ind
 #: Options: the name, its type, and the field of Config (the name, if it is the same).
 OPTIONS = (
     ("k", int), ("min-overlap", int), ("key", int), ("stride", int), ("query-stride", int), ("fraction", float), ("cap", int), ("max-depth", int), ("top-k", int),
-    ("max-expansions", int), ("genome-size", int), ("coverage", float), ("batch", int), ("cover", str), ("driver-bytes", int),
+    ("max-expansions", int), ("genome-size", int), ("coverage", float), ("batch", int), ("cover", str), ("round-ids", int),
 )
 
 

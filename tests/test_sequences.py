@@ -9,6 +9,7 @@ import signal
 import struct
 from collections import Counter, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,25 @@ def test_a_hot_minimizer(spark):
     assert dict(map(tuple, kmers.kmer_counts(reads, 21).collect())) == want
 
 
+def test_filter_of_unikmers(spark, monkeypatch):
+    """With more unikmers than are broadcast, the k-mers that reach the join are the hits and a small share of the others."""
+    rng = random.Random(13)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(2000)) for _ in range(60)]
+    reads = spark.createDataFrame([(str(i), i, s, len(s)) for i, s in enumerate(seqs)], "read_id string, read_int bigint, seq string, read_len int")
+    few = spectrum.unikmers(kmers.code_counts(reads.where("read_int < 20"), 21), 1, 99)
+    n = few.count()
+    sent = barcodes.suspected_codes(reads, few, n, 21).count()
+    hits = 20 * 1980
+    assert n > 30_000 and hits <= sent <= hits + 0.02 * (60 * 1980 - hits)
+    by_filter = barcodes.barcodes(reads, few, 21, most_broadcast=n - 1)
+    assert sorted(map(tuple, by_filter.collect())) == sorted(map(tuple, barcodes.barcodes(reads, few, 21).collect()))
+    # a filter at its bound holds more, and loses none
+    bits = barcodes.unikmer_filter(few, n, 1 << 12)
+    assert len(bits) == 1 << 12
+    monkeypatch.setattr(barcodes, "unikmer_filter", lambda *a: bits)
+    assert barcodes.suspected_codes(reads.where("read_int < 20"), few, n, 21).count() == hits
+
+
 def test_frequency_window(spark):
     h = spark.createDataFrame([(0, 7), (1, 1000), (2, 100), (3, 50), (4, 45), (5, 60), (6, 80), (7, 60), (8, 40)], "freq bigint, n_kmers bigint")
     row = spectrum.frequency_window(h).first()
@@ -146,6 +166,47 @@ def test_lazy_greedy(spark, lists, order, kept):
     assert [r["read_int"] for r in rows] == order and [r["kept"] for r in rows] == kept
 
 
+def model_cover(lists):
+    """The queue, as it is told: the head's true score against the next stale one."""
+    queue, covered, out = sorted((-len(b), i) for i, b in lists.items() if b), set(), []
+    while queue:
+        _, i = queue.pop(0)
+        fresh = [x for x in lists[i] if x not in covered]
+        if fresh and queue and len(fresh) < -queue[0][0]:
+            queue = sorted([*queue, (-len(fresh), i)])
+        elif fresh:
+            out.append((i, fresh))
+            covered |= set(fresh)
+    return out
+
+
+@pytest.mark.parametrize("round_ids", [1, 40, 150, 1 << 20])
+def test_lazy_greedy_in_rounds(spark, round_ids):
+    """Rounds of any size have the order of the one queue, with many ties, repeats and reads that are covered before their turn."""
+    rng = random.Random(round_ids)
+    lists = {i: [rng.randrange(40) for _ in range(rng.choice([0, 1, 3, 3, 4, 5, 8, 12]))] for i in range(28)}
+    lists |= {100 + i: lists[i] for i in range(3)}
+    got = [(r["read_int"], r["kept"]) for r in cover.anchors(coded(spark, lists), round_ids).orderBy("sel_ord").collect()]
+    assert got == model_cover(lists)
+
+
+def test_lazy_greedy_queue_in_pieces():
+    """The rule of a piece of the queue with a rest behind it, for all ways to cut small queues."""
+    rng = random.Random(11)
+    for _ in range(300):
+        lists = {i: [rng.randrange(12) for _ in range(rng.randint(1, 6))] for i in range(9)}
+        queue, covered, out = {i: len(b) for i, b in lists.items()}, set(), []
+        while queue:
+            order = sorted((-s, i) for i, s in queue.items())
+            n = rng.randint(1, len(order))
+            rest = (-order[n][0], order[n][1]) if n < len(order) else None
+            taken, back = cover.lazy_greedy([(i, -s, np.array([x for x in lists[i] if x not in covered], np.int64)) for s, i in order[:n]], rest)
+            out += [(i, x.tolist()) for i, x in taken]
+            covered |= {y for _, x in taken for y in x.tolist()}
+            queue = {i: -s for s, i in order[n:]} | dict(back)
+        assert out == model_cover(lists)
+
+
 def test_cover_by_rounds_covers(spark):
     rng = random.Random(2)
     lists = {i: [rng.randrange(60) for _ in range(rng.randrange(12))] for i in range(80)}
@@ -505,8 +566,6 @@ def test_changed_inputs_stop_a_search(spark, tmp_path):
 
     with pytest.raises(RuntimeError, match="store"):
         runner.search(edges, [0, 1, 2], runner.Config(max_depth=3, batch=1), {"store": str(store)}, str(tmp_path / "state.json"), on_batch=change)
-    with pytest.raises(ValueError, match="rounds"):
-        cover.anchors(coded(spark, {0: [1, 2, 3]}), driver_bytes=16)
     with pytest.raises(SystemExit) as e:
         runner.main(["--reads", "x", "--run-dir", "y", "--max-expansions", "0"])
     assert e.value.code == 2
