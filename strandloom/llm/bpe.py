@@ -18,7 +18,6 @@ cannot clash; encode_texts adds ids and n_tokens to the columns that are there.
 from __future__ import annotations
 
 import hashlib
-from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain
 
@@ -97,8 +96,8 @@ class ByteBPE:
                     self.pairs[a * self.size + b] = rank
         self.cache: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        #: Pieces too long for the cache, of one group of texts.
-        self.long: dict[str, tuple[int, ...]] = {}
+        #: Pieces too long to stay in the cache after their group of texts.
+        self.long: set[str] = set()
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The tokens of each piece (not empty)."""
@@ -158,11 +157,11 @@ class ByteBPE:
         return out
 
     def learn(self, pieces: set[str]) -> None:
-        """Puts the tokens of pieces into the cache, or those of long ones beside it."""
+        """Puts the tokens of pieces into the cache."""
         todo, held = [], 0
         for p in pieces:
             if (r := self.ranks.get(b := p.encode())) is not None:
-                (self.cache if len(p) <= self.LONGEST else self.long)[p] = (r,)
+                self.cache[p] = (r,)
                 continue
             todo.append((p, b))
             held += len(b)
@@ -172,8 +171,8 @@ class ByteBPE:
         self._learn(todo)
 
     def _learn(self, todo: list[tuple[str, bytes]]) -> None:
-        for (p, _), ids in zip(todo, self.merge([b for _, b in todo])):
-            (self.cache if len(p) <= self.LONGEST else self.long)[p] = ids
+        self.cache.update(zip([p for p, _ in todo], self.merge([b for _, b in todo])))
+        self.long.update(p for p, _ in todo if len(p) > self.LONGEST)
 
     def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each text; unknown pieces of several texts are merged together."""
@@ -193,10 +192,12 @@ class ByteBPE:
             again = unknown & self.old.keys()
             self.cache.update((p, self.old[p]) for p in again)
             self.learn(unknown - again)
-        get = self.cache.__getitem__ if not self.long else ChainMap(self.cache, self.long).__getitem__
-        for pieces in group:
-            yield list(chain.from_iterable(map(get, pieces)))
-        self.long = {}
+        get = self.cache.__getitem__
+        out = [list(chain.from_iterable(map(get, pieces))) for pieces in group]
+        for p in self.long:
+            del self.cache[p]
+        self.long.clear()
+        yield from out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))

@@ -10,8 +10,9 @@ read on from any slot.
 
 1. A scan counts the sequences of each row.  Splits of files are read in order, so a row's first number is that of
    its split (a row for each split, broadcast within a bound) and what stands before it there.  No text is shuffled.
-   Input that is not a plain scan of files, whose order would not be fixed, is written first.
-2. A second scan encodes, numbers and cuts; the ids go to the ranges of slots and into shards.
+   Input that is not a plain scan of files, whose order would not be fixed, is written first.  The ids themselves would
+   need more room than the shards' shuffle leaves, so they are kept for a share of the splits alone (``keep_share``, by a hash).
+2. A second scan encodes, numbers and cuts the texts of the other splits; all ids go to the ranges of slots and into shards.
 
 Both scans have the same splits, however many cores there are meanwhile: the settings that splits follow are held
 during a call, and put back after it.  A row whose split the first scan did not have, a slot that is not the one after
@@ -44,11 +45,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from ..functions.storage import listing, read_new, scratch_path, write_text
-from .common import mapped, plan_bytes, ship, slices, written
+from .common import plan_bytes, ship, slices, written
 from .spans import encoder, ranks_of
 
 
@@ -131,26 +132,51 @@ def in_file_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return written(rows, "rows").select("_id", "_text", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
 
 
-def numbered(rows: DataFrame, ranks: bytes, pattern: str, stride: int) -> tuple[DataFrame, int, str]:
-    """From rows of in_file_order: the first number of each split (_f, a hash of its path, _block, _base), the number of sequences, and a digest of the rows in their order."""
+def _first_scan(ranks: bytes, pattern: str, stride: int):
+    """From rows (_id, _path, _block, _hash, _at, _keep, _text) in order: the number of sequences, those before in the split, and the sequences of splits that are kept."""
 
-    def make(texts):
-        e, known, out = encoder(ranks, pattern), _counted.setdefault((hash(ranks), pattern, stride), {}), []
-        for x in texts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, made, known, split, before = encoder(ranks, pattern), Pieces(ranks, pattern, stride), _counted.setdefault((hash(ranks), pattern, stride), {}), None, 0
+
+        def count(x: str | None) -> int:
             data = (x or "").encode()
             if len(data) <= stride:  # a token has a byte at least
-                out.append(int(len(data) > 0))
-                continue
+                return int(len(data) > 0)
             name = xxh3_128_digest(data)
             if name not in known:
                 if len(known) >= 1 << 17:
                     known.clear()
                 known[name] = -(-e.count(x) // stride)
-            out.append(known[name])
-        return (pa.array(out, pa.int64()),)
+            return known[name]
+
+        for batch in batches:
+            for part in slices(batch, 64):
+                n, at, pieces, lengths = [], [], [], []
+                for *here, keep, x in zip(*[part.column(i).to_pylist() for i in (1, 2, 5, 6)]):
+                    if here != split:
+                        split, before = here, 0
+                    cut = made(x) if keep else (None, None)
+                    n.append(len(cut[0]) if keep else count(x))
+                    at.append(before)
+                    before += n[-1]
+                    pieces.append(cut[0])
+                    lengths.append(cut[1])
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(pieces, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int64()))], names=["_id", "_path", "_block", "_hash", "_at", "_keep", "_n", "_before", "_pieces", "_lengths"])
 
-    tagged = rows.select("_path", "_block", "_text", F.xxhash64("_id", "_text").alias("_hash"), F.monotonically_increasing_id().alias("_at"))
-    counts = written(mapped(tagged, ["_path", "_block", "_hash", "_at"], "_text", [StructField("_n", LongType())], make), "counts")
+    return run
+
+
+def in_kept_split(share: float):
+    """Whether the ids of a split are kept, from its path and block."""
+    return F.pmod(F.xxhash64("_path", "_block"), F.lit(1 << 20)) < int(share * (1 << 20))
+
+
+def numbered(rows: DataFrame, ranks: bytes, pattern: str, stride: int, keep_share: float = 0.0) -> tuple[DataFrame, DataFrame, int, str]:
+    """From rows of in_file_order: the first number of each split (_f, a hash of its path, _block, _base), the kept rows with their
+    sequences, the number of sequences, and a digest of the rows in their order."""
+    tagged = rows.select("_id", "_path", "_block", F.xxhash64("_id", "_text").alias("_hash"), F.monotonically_increasing_id().alias("_at"), in_kept_split(keep_share).alias("_keep"), "_text")
+    schema = StructType(tagged.schema.fields[:6]).add("_n", LongType()).add("_before", LongType()).add("_pieces", ArrayType(BinaryType())).add("_lengths", ArrayType(LongType()))
+    counts = written(tagged.mapInArrow(_first_scan(ranks, pattern, stride), schema), "counts")
     splits = counts.groupBy("_path", "_block").agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"), F.min("_at").alias("_first"))
     files = Window.orderBy("_path", "_block")  # a row for each split
     before = lambda c: F.sum(c).over(files.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
@@ -160,7 +186,22 @@ def numbered(rows: DataFrame, ranks: bytes, pattern: str, stride: int) -> tuple[
     place = F.col("_row") + F.col("_at") - F.col("_first")
     known = counts.join(F.broadcast(splits.select("_path", "_block", "_row", "_first")), ["_path", "_block"])
     state = known.agg(F.count("*").alias("n"), F.sum(F.xxhash64("_hash", place, "_n").cast("decimal(38,0)")).alias("h")).first()
-    return splits.select("_f", "_block", "_base"), total, f"{state['n']}/{state['h']}"
+    kept = counts.where("_keep").select("_id", F.xxhash64("_path").alias("_f"), "_block", "_before", "_pieces", "_lengths")
+    return splits.select("_f", "_block", "_base"), kept, total, f"{state['n']}/{state['h']}"
+
+
+def _sequences(part: pa.RecordBatch, cuts: list[tuple[list, list, int]], total: int, key: int) -> pa.RecordBatch | None:
+    """A row for each sequence, from the pieces, the lengths and the first number of each row of part."""
+    rows = [r for r, (pieces, _, _) in enumerate(cuts) for _ in pieces]
+    if not rows:
+        return None
+    seq = [i for pieces, _, _ in cuts for i in range(len(pieces))]
+    numbers = np.array([at + i for pieces, _, at in cuts for i in range(len(pieces))], np.int64)
+    lengths, pieces = [n for _, ns, _ in cuts for n in ns], [x for pieces, _, _ in cuts for x in pieces]
+    return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(seq, pa.int64()), pa.array(lengths, pa.int64()), pa.array(permuted(numbers, total, key)), pa.array(pieces, pa.binary())], names=["_id", "_seq", "_len", "_slot", "_ids"])
+
+
+UNCOUNTED = "the input changed between the scans: a split was not counted"
 
 
 def _cut(ranks: bytes, pattern: str, stride: int, total: int, key: int):
@@ -170,24 +211,31 @@ def _cut(ranks: bytes, pattern: str, stride: int, total: int, key: int):
         made, split, at = Pieces(ranks, pattern, stride), None, 0
         for batch in batches:
             for part in slices(batch, 64):
-                rows, numbers, seq, pieces, lengths = [], [], [], [], []
-                for r, (x, *here, base) in enumerate(zip(*[part.column(i).to_pylist() for i in range(1, 5)])):
+                cuts = []
+                for x, *here, base in zip(*[part.column(i).to_pylist() for i in range(1, 5)]):
                     if here != split:
                         if base is None:
-                            raise ValueError("the input changed between the scans: a split was not counted")
+                            raise ValueError(UNCOUNTED)
                         split, at = here, base
-                    cut, n = made(x)
-                    lengths += n
-                    rows += [r] * len(cut)
-                    numbers += range(at, at + len(cut))
-                    seq += range(len(cut))
-                    pieces += cut
-                    at += len(cut)
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(rows)), pa.array(seq, pa.int64()), pa.array(lengths, pa.int64()), pa.array(permuted(np.array(numbers, np.int64), total, key)), pa.array(pieces, pa.binary())],
-                        names=["_id", "_seq", "_len", "_slot", "_ids"],
-                    )
+                    cuts.append((*made(x), at))
+                    at += len(cuts[-1][0])
+                if out := _sequences(part, cuts, total, key):
+                    yield out
+
+    return run
+
+
+def _numbered_cut(total: int, key: int):
+    """Sequences of the kept rows (_id, _pieces, _lengths, _before, _base)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 64):
+                columns = [part.column(i).to_pylist() for i in range(1, 5)]
+                if None in columns[3]:
+                    raise ValueError(UNCOUNTED)
+                if out := _sequences(part, [(p, n, before + base) for p, n, before, base in zip(*columns)], total, key):
+                    yield out
 
     return run
 
@@ -226,7 +274,7 @@ def _shards(folder: str, record: int, per_shard: int, total: int, pad: bytes):
     return run
 
 
-def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, stride: int = 1024, per_shard: int = 4096, key: int = 20, pad: int | None = None, folder: str | None = None, shards_per_task: int = 8) -> DataFrame:
+def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, stride: int = 1024, per_shard: int = 4096, key: int = 20, pad: int | None = None, folder: str | None = None, shards_per_task: int = 8, keep_share: float = 1 / 3) -> DataFrame:
     """Writes shards, their index and a manifest below folder, and returns the index; without a folder they go to a new one in the
     shared folder, which goes when the driver ends.
 
@@ -235,25 +283,26 @@ def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str =
     ship(spark)
     folder = (folder or scratch_path(spark, "shards")).rstrip("/")
     with same_splits(spark, plan_bytes(docs)):
-        _write(docs, path, pattern, doc_id, text, stride, per_shard, key, pad, folder, shards_per_task)
+        _write(docs, path, pattern, doc_id, text, stride, per_shard, key, pad, folder, shards_per_task, keep_share)
     name = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
     return spark.read.parquet(f"{folder}/index").withColumn("shard_path", name)
 
 
-def _write(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, stride: int, per_shard: int, key: int, pad: int | None, folder: str, shards_per_task: int) -> None:
+def _write(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, stride: int, per_shard: int, key: int, pad: int | None, folder: str, shards_per_task: int, keep_share: float) -> None:
     spark, ranks = docs.sparkSession, ranks_of(path)
     e = encoder(ranks, pattern)
     pad = int(np.iinfo(e.dtype).max) if pad is None else pad
     rows = in_file_order(docs, doc_id, text)
-    splits, total, digest = numbered(rows, ranks, pattern, stride)
+    splits, kept, total, digest = numbered(rows, ranks, pattern, stride, keep_share)
     made_by = {"version": 2, "key": key, "stride": stride, "per_shard": per_shard, "pad": pad, "dtype": e.dtype.str, "sequences": total, "tokenizer": hashlib.sha256(ranks).hexdigest(), "pattern": pattern, "input": digest}
     if _begin(spark, folder, made_by):
         return
     if plan_bytes(splits) > SPLIT_BYTES:
         raise ValueError("too many files for their table to be broadcast; write the input to fewer ones")
-    rows = rows.select("_id", "_text", F.xxhash64("_path").alias("_f"), "_block").join(F.broadcast(splits), ["_f", "_block"], "left").select("_id", "_text", "_f", "_block", "_base")
+    rows = rows.where(~in_kept_split(keep_share)).select("_id", "_text", F.xxhash64("_path").alias("_f"), "_block").join(F.broadcast(splits), ["_f", "_block"], "left").select("_id", "_text", "_f", "_block", "_base")
+    kept = kept.join(F.broadcast(splits), ["_f", "_block"], "left").select("_id", "_pieces", "_lengths", "_before", "_base")
     schema = StructType([rows.schema["_id"], *[StructField(c, LongType()) for c in ("_seq", "_len", "_slot")]]).add("_ids", "binary")
-    cut = rows.mapInArrow(_cut(ranks, pattern, stride, total, key), schema)
+    cut = rows.mapInArrow(_cut(ranks, pattern, stride, total, key), schema).unionAll(kept.mapInArrow(_numbered_cut(total, key), schema))
     shards = max(1, -(-total // per_shard))
     tasks = -(-shards // shards_per_task)
     cut = cut.repartitionById(tasks, F.floor(F.floor(F.col("_slot") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("_slot")

@@ -461,9 +461,9 @@ def written_in_order(got, folder, rows, library, stride=64, pad=65535):
     assert sum(r["n_tokens"] for r in got) == sum(len(w) for ws in whole.values() for w in ws)
 
 
-@pytest.mark.parametrize("files", [False, True])
-def test_training_order(spark, docs, library, tmp_path, files):
-    folder, kw = f"file://{tmp_path}/shards", {"stride": 64, "per_shard": 20, "shards_per_task": 4}
+@pytest.mark.parametrize("files, share", [(False, 1 / 3), (True, 0.5), (True, 0.0), (True, 1.0)])
+def test_training_order(spark, docs, library, tmp_path, files, share):
+    folder, kw = f"file://{tmp_path}/shards", {"stride": 64, "per_shard": 20, "shards_per_task": 4, "keep_share": share}
     if files:  # several files, in small splits
         docs.repartition(5).write.parquet(f"{tmp_path}/docs")
         docs = spark.read.parquet(f"{tmp_path}/docs")
@@ -519,7 +519,7 @@ def test_training_order_while_cores_change(spark, docs, library, tmp_path, monke
     assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
     # rows that only one of the scans has are an error, and the folder stays unfinished
     for change in (lambda s: s.where("_block < 0"), lambda s: s.withColumn("_base", F.col("_base") + 1)):
-        monkeypatch.setattr(token_output, "numbered", lambda *a, change=change: (lambda s, n, d: (change(s), n, d))(*numbered(*a)))
+        monkeypatch.setattr(token_output, "numbered", lambda *a, change=change: (lambda s, *rest: (change(s), *rest))(*numbered(*a)))
         other = f"file://{tmp_path}/{random.random()}"
         with pytest.raises(Exception, match="input changed"):
             token_output.write_training_order(rows, PATH, PATTERN, folder=other, stride=64, per_shard=20)
