@@ -3,8 +3,8 @@
     python -m strandloom.plans.runner --reads R --run-dir D --genome-size N --coverage X
 
 Every stage is a store below the run folder.  The manifest there names the input files and the settings that
-made each finished store; a later run with the same ones reads it.  The path search keeps its own state, a
-checked prefix of the anchors.  All paths may lie on any file system that Hadoop knows.
+made each finished store; a later run with the same ones reads it.  The path search keeps an append-only log of its
+batches (see search_log).  All paths may lie on any file system that Hadoop knows.
 """
 
 from __future__ import annotations
@@ -22,14 +22,13 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import exists, listing, qualified, read_new, remove, saved_at, write_text
+from ..functions.storage import listing, qualified, read_new, remove, write_text, written
 from ..operators import barcodes as B
 from ..operators import binning, cover, kmers, overlap, paths, selection, spectrum
 from ..sources import readers, writers
+from .search_log import HINT, SearchLog, StateError, anchor_digest
 
-STATE_VERSION = 2
-#: Fixed value: the advice at the end of each error about saved state.
-HINT = "use --restart to start a fresh run"
+STATE_VERSION = 3
 
 
 @dataclass(frozen=True)
@@ -51,10 +50,6 @@ class Config:
     cover: str = "lazy"
 
 
-class StateError(RuntimeError):
-    """Saved state that does not belong to this run."""
-
-
 def anchor_fingerprint(ids: list[int]) -> str:
     return hashlib.sha256(struct.pack(f">{len(ids) + 1}Q", len(ids), *ids)).hexdigest()
 
@@ -64,29 +59,6 @@ def signatures(spark: SparkSession, inputs: dict[str, str]) -> dict[str, list]:
     return {role: [qualified(spark, path), listing(spark, path)] for role, path in inputs.items()}
 
 
-def metadata(config: Config, anchor_ids: list[int], inputs: dict[str, list]) -> dict:
-    return {"version": STATE_VERSION, "python": list(sys.version_info[:2]), "count": len(anchor_ids), "fingerprint": anchor_fingerprint(anchor_ids), "anchor_ids": list(anchor_ids), "inputs": inputs, "config": asdict(config)}
-
-
-def validate(state: dict, expected: dict) -> None:
-    """Raises StateError unless state is an ordered prefix of this very run."""
-    if not isinstance(state, dict) or {"metadata", "completed", "paths"} - state.keys():
-        raise StateError(f"the saved state is incomplete; {HINT}")
-    saved = state["metadata"]
-    for key, value in json.loads(json.dumps(expected)).items():
-        if saved.get(key) != value:
-            raise StateError(f"the saved state differs in {key}; {HINT}")
-    done = state["completed"]
-    if len(set(done)) != len(done) or done != expected["anchor_ids"][: len(done)]:
-        raise StateError(f"completed anchors are no prefix of the anchors; {HINT}")
-    if {int(x) for x in state["paths"]} != set(done):
-        raise StateError(f"results and completed anchors differ; {HINT}")
-    for source, found in state["paths"].items():
-        for p in found:
-            if not p or p[0] != int(source) or not all(type(x) is int for x in p):
-                raise StateError(f"a saved path does not start at its anchor; {HINT}")
-
-
 def assert_unchanged(before: dict, now: dict) -> None:
     if changed := [role for role in now if list(now[role]) != list(before[role])]:
         raise RuntimeError(f"inputs changed during the run: {', '.join(changed)}")
@@ -97,42 +69,26 @@ def protect(spark: SparkSession, state_path: str, others: list[str]) -> None:
         raise ValueError("the state file must not be an input or an output")
 
 
-def load_state(spark: SparkSession, path: str, expected: dict) -> dict:
-    try:
-        state = json.loads(read_new(spark, path) or "")
-    except (OSError, ValueError) as e:
-        raise StateError(f"the saved state cannot be read ({e}); {HINT}") from e
-    validate(state, expected)
-    return state
-
-
-def search(edges: DataFrame, anchor_ids: list[int], config: Config, inputs: dict[str, str], state_path: str, *, restart: bool = False, on_batch: Callable[[list[int], int, int], None] | None = None, progress_every: int = 0) -> dict[int, list[list[int]]]:
-    """Paths of each anchor, batch by batch in anchor order; finished batches are in the state file and are not searched again."""
+def search(edges: DataFrame, anchors: DataFrame, config: Config, inputs: dict[str, str], folder: str, *, restart: bool = False, on_batch: Callable[[range, int, int], None] | None = None, progress_every: int = 0) -> DataFrame:
+    """source, rank, path of all anchors (sel_ord from 0 without gaps, read_int), a batch at a time in their order; batches in the log at ``folder`` are not searched again."""
     spark = edges.sparkSession
-    protect(spark, state_path, list(inputs.values()))
-    meta = metadata(config, anchor_ids, signatures(spark, inputs))
-    resumed = not restart and saved_at(spark, state_path) is not None
-    state = load_state(spark, state_path, meta) if resumed else {"metadata": meta, "completed": [], "paths": {}}
-    if not resumed:
-        write_text(spark, state_path, json.dumps(state))
-    targets = spark.createDataFrame([(i,) for i in anchor_ids], "read_int bigint")
-    for at in range(len(state["completed"]), len(anchor_ids), config.batch):
-        batch = anchor_ids[at : at + config.batch]
-        sources = spark.createDataFrame([(i,) for i in batch], "read_int bigint")
-        found = paths.top_paths(edges, sources, targets, max_depth=config.max_depth, top_k=config.top_k, max_expansions=config.max_expansions)
-        by: dict[int, list] = {i: [] for i in batch}
-        for r in found.orderBy("source", "rank").toLocalIterator():  # top_k a source
-            by[r["source"]].append(list(r["path"]))
-        assert_unchanged(meta["inputs"], signatures(spark, inputs))
-        before = len(state["completed"])
-        state["completed"] += batch
-        state["paths"].update({str(i): p for i, p in by.items()})
-        write_text(spark, state_path, json.dumps(state))
-        if progress_every and before // progress_every < len(state["completed"]) // progress_every:
-            print(f"searched {len(state['completed'])} of {len(anchor_ids)} anchors, {sum(map(len, state['paths'].values()))} paths", file=sys.stderr)
+    protect(spark, folder, list(inputs.values()))
+    before = signatures(spark, inputs)
+    total, digest = anchor_digest(anchors)
+    log = SearchLog(spark, folder, {"version": STATE_VERSION, "anchors": total, "order": digest, "inputs": before, "config": asdict(config)}, restart)
+    targets, found = anchors.select("read_int"), log.count() if progress_every else 0
+    for batch in range(log.done, -(-total // config.batch)):
+        first, last = batch * config.batch, min(total, (batch + 1) * config.batch)
+        sources = anchors.where(F.col("sel_ord").between(first, last - 1)).select("read_int")
+        made = paths.top_paths(edges, sources, targets, max_depth=config.max_depth, top_k=config.top_k, max_expansions=config.max_expansions)
+        made = written(made, "found")
+        assert_unchanged(before, signatures(spark, inputs))
+        found += log.commit(batch, first, last, made)
+        if progress_every and first // progress_every < last // progress_every:
+            print(f"searched {last} of {total} anchors, {found} paths", file=sys.stderr)
         if on_batch:
-            on_batch(batch, len(state["completed"]), len(anchor_ids))
-    return {int(i): p for i, p in state["paths"].items()}
+            on_batch(range(first, last), last, total)
+    return log.paths()
 
 
 class Stores:
@@ -175,7 +131,7 @@ def run(spark: SparkSession, reads_path: str, run_dir: str, config: Config, *, s
     if config.cover not in ("lazy", "rounds"):
         raise ValueError("cover is 'lazy' or 'rounds'")
     stores = Stores(spark, run_dir, restart)
-    state_path = state_path or stores.path("search_state.json")
+    state_path = state_path or stores.path("search")
     source = signatures(spark, {"reads": reads_path})
     by = lambda *names: {"inputs": source, **{n: getattr(config, n) for n in names}}
     sorted_by = lambda c: (lambda df, path: writers.write_store(df, path, c))
@@ -204,15 +160,13 @@ def run(spark: SparkSession, reads_path: str, run_dir: str, config: Config, *, s
     if not stores.fresh("reports", binning_by | covering | indexing):
         write_reports(stores, histogram, distribution, barcoded, binned, index, every, min_bases)
         stores.finish("reports", binning_by | covering | indexing)
-    order = [r["read_int"] for r in chosen.orderBy("sel_ord").select("read_int").toLocalIterator()]
     inputs = {name: stores.path(name) for name in ("barcodes", "anchors", "head_index")}
     protect(spark, state_path, [reads_path, *map(stores.path, stores.done)])
-    found = search(edges, order, config, inputs, state_path, restart=restart, on_batch=on_batch, progress_every=progress_every)
-    rows = [(i, n + 1, p) for i, ps in found.items() for n, p in enumerate(ps)]
+    found = search(edges, chosen.select("sel_ord", "read_int"), config, inputs, state_path, restart=restart, on_batch=on_batch, progress_every=progress_every)
     everything = {"inputs": source, **asdict(config)}
-    bridged = stores.kept("bridges", everything, lambda: paths.bridges(spark.createDataFrame(rows, paths.PATH_SCHEMA), chosen, every))
+    bridged = stores.kept("bridges", everything, lambda: paths.bridges(found, chosen, every))
     if not stores.fresh("path_statistics", everything):
-        statistics = paths.path_statistics(spark.createDataFrame(rows, paths.PATH_SCHEMA), chosen)
+        statistics = paths.path_statistics(found, chosen)
         writers.write_report(statistics, stores.path("path_statistics"), tuple(statistics.columns))
         stores.finish("path_statistics", everything)
     selected = stores.kept("selected", everything, lambda: selection.final_selection(chosen, bridged, direct, binned).orderBy("read_id"))

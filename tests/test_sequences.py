@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
 from strandloom.operators import barcodes, binning, cover, kmers, overlap, paths, selection, spectrum
-from strandloom.plans import runner
+from strandloom.plans import runner, search_log
 from strandloom.sources import adapters, readers, writers
 from strandloom.streaming import incremental
 
@@ -454,37 +454,106 @@ def test_streamed_counts(spark, tmp_path):
     assert dict(map(tuple, incremental.streamed_counts(spark, out).collect())) == want
 
 
-def test_state_is_a_checked_prefix(spark, tmp_path):
-    meta = runner.metadata(runner.Config(), [7, 3, 11], {})
-    good = {"metadata": runner.json.loads(runner.json.dumps(meta)), "completed": [7, 3], "paths": {"7": [[7, 2, 3]], "3": []}}
-    runner.validate(good, meta)
-    for change in ({"completed": [7, 11]}, {"paths": {"7": [[2, 7]], "3": []}}, {"metadata": good["metadata"] | {"count": 4}}):
-        with pytest.raises(runner.StateError, match="--restart"):
-            runner.validate(good | change, meta)
-    path = tmp_path / "s.json"
-    path.write_text("{")
-    with pytest.raises(runner.StateError, match="--restart"):
-        runner.load_state(spark, str(path), meta)
+def anchors_of(spark, ids):
+    return spark.createDataFrame(list(enumerate(ids)), "sel_ord int, read_int bigint")
+
+
+def found_paths(df):
+    return sorted((r["source"], r["rank"], r["path"]) for r in df.collect())
+
+
+def test_log_is_a_checked_prefix(spark, tmp_path):
+    folder, belongs = str(tmp_path / "log"), {"anchors": 3, "order": "7", "inputs": {}, "config": {"k": 1}}
+    rows = lambda *x: spark.createDataFrame(list(x), paths.PATH_SCHEMA)
+    log = search_log.SearchLog(spark, folder, belongs)
+    assert log.done == 0 and log.paths().count() == 0
+    assert log.commit(0, 0, 2, rows((7, 1, [7, 2, 3]))) == 1 and log.commit(1, 2, 3, rows()) == 0
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "log").rglob("*") if p.is_file()}
+    again = search_log.SearchLog(spark, folder, belongs)
+    assert again.done == 2 and found_paths(again.paths()) == [(7, 1, [7, 2, 3])] and again.count() == 1
+    # what a stopped batch has left does not count
+    rows((9, 1, [9, 1])).write.parquet(f"{folder}/paths/batch=2")
+    again = search_log.SearchLog(spark, folder, belongs)
+    assert again.done == 2 and again.paths().count() == 1
+    again.commit(2, 3, 4, rows((11, 1, [11, 1])))
+    assert found_paths(again.paths()) == [(7, 1, [7, 2, 3]), (11, 1, [11, 1])] and all(p.stat().st_mtime_ns == t for p, t in before.items())
+
+    def refused(match, belongs=belongs):
+        with pytest.raises(search_log.StateError, match=f"{match}.*--restart"):
+            search_log.SearchLog(spark, folder, belongs)
+
+    refused("config", belongs | {"config": {"k": 2}})
+    refused("order", belongs | {"order": "8"})
+    for name, change, match in (("000000001", {"batch": 5}, "prefix"), ("000000001", {"first": 1}, "prefix"), ("000000000", {"paths": 2}, "differ"), ("000000000", {"digest": "1"}, "differ")):
+        file = tmp_path / "log" / "commits" / f"{name}.json"
+        text = file.read_text()
+        (file.parent / f".{name}.json.crc").unlink(missing_ok=True)
+        file.write_text(json.dumps(json.loads(text) | change))
+        refused(match)
+        file.write_text(text)
+    run = tmp_path / "log" / "run.json"
+    text = run.read_text()
+    (tmp_path / "log" / ".run.json.crc").unlink()
+    for bad in ("{", "[]"):
+        run.write_text(bad)
+        refused("state")
+    run.unlink()
+    refused("belong")
+    run.write_text(text)
+    assert search_log.SearchLog(spark, folder, belongs).done == 3
+    assert search_log.SearchLog(spark, folder, belongs, restart=True).done == 0
     with pytest.raises(ValueError):
-        runner.protect(spark, str(path), [f"file:{path}"])
+        runner.protect(spark, folder, [f"file:{folder}"])
     other = str(tmp_path / "t.json")
     for text in ("one", "two"):
         runner.write_text(spark, other, text)
         assert runner.read_new(spark, other) == text and not os.path.exists(other + ".part")
+    assert search_log.anchor_digest(anchors_of(spark, [7, 3, 11])) != search_log.anchor_digest(anchors_of(spark, [3, 7, 11]))
+    assert search_log.anchor_digest(anchors_of(spark, [])) == (0, "0")
 
 
 def test_search_resumes(spark, tmp_path):
     edges = edge_frame(spark, {0: [1], 1: [2]}).persist()
-    config, state = runner.Config(max_depth=3, batch=1), str(tmp_path / "state.json")
+    config, state = runner.Config(max_depth=3, batch=1), str(tmp_path / "state")
 
     def stop(batch, done, total):
         raise KeyboardInterrupt
 
     with pytest.raises(KeyboardInterrupt):
-        runner.search(edges, [0, 1, 2], config, {}, state, on_batch=stop)
+        runner.search(edges, anchors_of(spark, [0, 1, 2]), config, {}, state, on_batch=stop)
     done = []
-    found = runner.search(edges, [0, 1, 2], config, {}, state, on_batch=lambda b, d, t: done.append(b))
-    assert done == [[1], [2]] and found == {0: [[0, 1, 2], [0, 1]], 1: [[1, 2]], 2: []}
+    found = runner.search(edges, anchors_of(spark, [0, 1, 2]), config, {}, state, on_batch=lambda b, d, t: done.append(b))
+    assert done == [range(1, 2), range(2, 3)] and found_paths(found) == [(0, 1, [0, 1, 2]), (0, 2, [0, 1]), (1, 1, [1, 2])]
+
+
+def test_state_of_many_anchors_stays_off_the_driver(spark, tmp_path, monkeypatch):
+    """100,000 anchors in two batches: what the driver collects are single rows, and what it writes are small records."""
+    edges = spark.range(100_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    anchors = spark.range(100_000).select(F.col("id").cast("int").alias("sel_ord"), F.col("id").alias("read_int"))
+    seen, collect = [], type(edges).collect
+
+    def counted(self):
+        out = collect(self)
+        seen.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(edges), "collect", counted)
+    monkeypatch.setattr(type(edges), "toLocalIterator", None)
+    folder = str(tmp_path / "state")
+    found = runner.search(edges, anchors, runner.Config(max_depth=2, batch=60_000), {}, folder)
+    assert found.count() == 99_999 + 99_998 and max(seen, default=0) <= 5
+    assert sum(p.stat().st_size for p in (tmp_path / "state" / "commits").glob("*.json")) < 1000 and (tmp_path / "state" / "run.json").stat().st_size < 2000
+
+
+def test_paths_of_full_depth(spark):
+    """A chain with branches, searched to the depth of 15 that the runner has, with and without a cap, against the queue's model."""
+    rng = random.Random(15)
+    graph = {i: sorted({i + 1, *([i + 2] if i % 4 == 0 else []), *([rng.randrange(20)] if i % 5 == 0 else [])} - {i}) for i in range(20)}
+    ends = [0, 3, 15, 16, 18, 20]
+    for cap in (10_000_000, 700):
+        got = searched(spark, graph, ends, max_depth=15, top_k=10, max_expansions=cap)
+        assert got == {s: model_paths(graph, s, ends, 15, 10, cap) for s in ends}
+    assert max(len(p) for p in got[0]) > 10
 
 
 @pytest.fixture(scope="module")
@@ -526,8 +595,7 @@ def test_stopped_run_goes_on(spark, reads_file, tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         runner.main(args, on_batch=stop)
     assert e.value.code == 128 + signal.SIGTERM
-    state = json.loads((tmp_path / "parted" / "search_state.json").read_text())
-    assert len(state["completed"]) == 6 and set(state["paths"]) == set(map(str, state["completed"]))
+    assert [json.loads(p.read_text())["last"] for p in sorted((tmp_path / "parted" / "search" / "commits").glob("*.json"))] == [3, 6]
     before = (tmp_path / "parted" / "barcodes" / "_SUCCESS").stat().st_mtime_ns
 
     def interrupt(batch, done, total):
@@ -552,7 +620,8 @@ def test_stopped_run_goes_on(spark, reads_file, tmp_path, capsys):
     other = [*args[:-2], "--max-depth", "2"]
     assert runner.main(other) == 2 and "--restart" in capsys.readouterr().err
     assert runner.main([*other, "--restart"]) == 0
-    (tmp_path / "parted" / "search_state.json").write_text("{")
+    (tmp_path / "parted" / "search" / ".run.json.crc").unlink()
+    (tmp_path / "parted" / "search" / "run.json").write_text("{")
     assert runner.main(args) == 2
 
 
@@ -565,7 +634,7 @@ def test_changed_inputs_stop_a_search(spark, tmp_path):
         store.write_text("other")
 
     with pytest.raises(RuntimeError, match="store"):
-        runner.search(edges, [0, 1, 2], runner.Config(max_depth=3, batch=1), {"store": str(store)}, str(tmp_path / "state.json"), on_batch=change)
+        runner.search(edges, anchors_of(spark, [0, 1, 2]), runner.Config(max_depth=3, batch=1), {"store": str(store)}, str(tmp_path / "state"), on_batch=change)
     with pytest.raises(SystemExit) as e:
         runner.main(["--reads", "x", "--run-dir", "y", "--max-expansions", "0"])
     assert e.value.code == 2
