@@ -87,16 +87,22 @@ def linked_components(members: DataFrame, payload: Callable[[DataFrame], DataFra
     return components(links.union(more))
 
 
+#: Bytes of leaders that a task keeps ready, at eight for each byte of a payload.
+READY_BYTES = 32 << 20
+
+
 def _tested(ready, linked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, object] = {}
+        held = 0
         for batch in batches:
-            if len(made) > 512:  # k-mers of whole texts
-                made.clear()
             keep = []
             for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.column(2), batch.column(3)):
                 if a not in made:
-                    made[a] = ready(x.as_py())
+                    if held > READY_BYTES:  # k-mers of whole texts
+                        made, held = {}, 0
+                    made[a] = ready(x := x.as_py())
+                    held += 8 * len(x)
                 keep.append(linked(made[a], ready(y.as_py())))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["_a", "_b"])
 

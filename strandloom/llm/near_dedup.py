@@ -35,6 +35,8 @@ from .common import mapped, renamed, small, written
 from .linking import linked_components
 
 K = 5
+#: K-mers that are sketched at a time, or those of one longer text.
+TOGETHER = 1 << 18
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 S32, S29 = np.uint64(32), np.uint64(29)
@@ -49,6 +51,11 @@ def word_codes(text: str | None) -> np.ndarray:
     return np.fromiter(map(crc32, found), np.uint32, len(found))
 
 
+def key_of(text: str | None) -> bytes:
+    """128 bits of a text's words themselves."""
+    return xxh3_128_digest(b" ".join(words(text)))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> S32)) * MIX
     return x ^ (x >> S29)
@@ -136,27 +143,32 @@ def _sketch(sketches: int, order: int, k: int):
     def make(texts):
         codes = [word_codes(x) for x in texts]
         parts = [shingles(c, k) for c in codes]
-        held = [i for i, p in enumerate(parts) if len(p)]
         rows: list = [None] * len(parts)
-        if held:
-            for i, r in zip(held, order_sketches([parts[i] for i in held], sketches, order).view(np.int64).tolist()):
-                rows[i] = r
-        return pa.array([xxh3_128_digest(c.tobytes()) for c in codes], pa.binary()), pa.array([len(p) for p in parts], pa.int32()), pa.array(rows, pa.list_(pa.int64()))
+        held, size = [], 0
+        for i, p in enumerate([*parts, None]):
+            if held and (p is None or size + len(p) > TOGETHER):
+                for j, r in zip(held, order_sketches([parts[j] for j in held], sketches, order).view(np.int64).tolist()):
+                    rows[j] = r
+                held, size = [], 0
+            if p is not None and len(p):
+                held.append(i)
+                size += len(p)
+        return pa.array([key_of(x) for x in texts], pa.binary()), pa.array([len(p) for p in parts], pa.int32()), pa.array(rows, pa.list_(pa.int64()))
 
     return make
 
 
 class Shingled:
-    """K-mers of a text in order, and as a set with the number of repeats."""
+    """K-mers of a text in order, and each once, sorted."""
 
     def __init__(self, codes: bytes, k: int):
         self.all = shingles(np.frombuffer(codes, np.uint32), k)
-        self.set = set(self.all.tolist())
+        self.set = np.unique(self.all)
 
     def near(self, other: Shingled, threshold: float) -> bool:
         a, b = len(self.all), len(other.all)
         # common k-mers bound the alignment
-        m = len(self.set & other.set) + a - len(self.set)
+        m = len(np.intersect1d(self.set, other.set, assume_unique=True)) + a - len(self.set)
         return m >= threshold * (a + b - m) - 1e-9 and aligned(self.all, other.all, threshold) > 0
 
 
@@ -177,8 +189,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, k: int, threshold: float,
         texts = base.join(small(wanted), "_id", "left_semi")
 
         def codes(xs):
-            found = [word_codes(x).tobytes() for x in xs]
-            return pa.array([xxh3_128_digest(c) for c in found], pa.binary()), pa.array(found, pa.binary())
+            return pa.array([key_of(x) for x in xs], pa.binary()), pa.array([word_codes(x).tobytes() for x in xs], pa.binary())
 
         held = mapped(texts, ["_id"], "_text", [StructField("_key", BinaryType()), StructField("_payload", BinaryType())], codes)
         return held.select(F.xxhash64("_key").alias("_id"), "_payload").dropDuplicates(["_id"])
@@ -213,7 +224,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     kept = docs.join(small(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
     if not split.isEmpty():
         some = docs.join(small(split), F.col(doc_id) == F.col("_id"), "left_semi")
-        some = mapped(some, some.columns, text, [StructField("_words", BinaryType())], lambda xs: (pa.array([xxh3_128_digest(word_codes(x).tobytes()) for x in xs], pa.binary()),))
+        some = mapped(some, some.columns, text, [StructField("_words", BinaryType())], lambda xs: (pa.array([key_of(x) for x in xs], pa.binary()),))
         some = some.join(small(dropped).withColumnRenamed("_words", "_of"), (F.col(doc_id) == F.col("_gone")) & (F.col("_words") == F.col("_of")), "left_anti")
         kept = kept.unionByName(some.drop("_words"))
     return kept.toDF(*columns)

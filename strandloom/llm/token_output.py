@@ -1,22 +1,22 @@
 """Token-ID output in training order.
 
-A document's ids are cut into sequences of ``stride`` ids.  Sequences are numbered without
-gaps (files by path, rows in a file, sequences in a row), and a keyed Feistel permutation with
-cycle-walking over 0 .. N-1 gives each its global slot: a shuffle that needs no sort key but
-the slot, and that any reader can invert.  Slots are cut into ranges; each range is one
-partition, sorted by slot, and writes its shards of ``per_shard`` records of fixed size.  So
-slot s lies at byte (s mod per_shard) * record of shard s div per_shard, and training can
-read on from any slot.
-
-1. A scan counts the sequences of each row.  Splits of files are read in order, so a row's first number is that of
-   its split (a row for each split, broadcast within a bound) and what stands before it there.  No text is shuffled.
-   Input that is not a plain scan of files, whose order would not be fixed, is written first.  The ids themselves would
-   need more room than the shards' shuffle leaves, so they are kept for a share of the splits alone (``keep_share``, by a hash).
-2. A second scan encodes, numbers and cuts the texts of the other splits; all ids go to the ranges of slots and into shards.
+A document's ids are cut into sequences of ``stride`` ids.  A text of b bytes has b tokens at most, so it gets a number
+for each ``stride`` bytes begun, without gaps (files by path, rows in a file, sequences in a row), and uses the first
+of them, one for each sequence.  A keyed Feistel permutation with cycle-walking over all numbers 0 .. N-1 gives each
+its place in the order of training: a shuffle that needs no sort key but the place, and that any reader can invert.
+Places are cut into ranges of ``per_shard``; a partition of ranges is sorted by place, and writes a shard of each
+range: records of fixed size, as many as the range has sequences.  A table of the shards, a row for each, gives their
+sizes and the slot of their first record: slots are the sequences' numbers in the order of places, without gaps.  So slot s
+lies at byte (s - first slot) * record of its shard, and training can read on from any slot.
+
+1. A scan sums the numbers of each split, by the texts' lengths alone.  Splits of files are read in order, so a row's
+   first number is that of its split (a row for each split, broadcast within a bound) and what stands before it
+   there.  No text is shuffled.  Input that is not a plain scan of files, whose order would not be fixed, is written first.
+2. A second scan encodes each text, once, numbers and cuts; the ids go to the ranges of places and into shards.
 
 Both scans have the same splits, however many cores there are meanwhile: the settings that splits follow are held
-during a call, and put back after it.  A row whose split the first scan did not have, a slot that is not the one after
-its neighbour, and an index that does not hold all slots are errors, and the folder stays unfinished.
+during a call, and put back after it.  A row whose split the first scan did not have, a place that is there twice,
+and texts that are missing from the index are errors, and the folder stays unfinished.
 
 A record: ``stride`` ids, little-endian, those after the sequence's end being ``pad``.
 
@@ -40,16 +40,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from ..functions.storage import listing, read_new, scratch_path, write_text
-from .common import plan_bytes, ship, slices, written
+from .common import plan_bytes, ship, slices, small, written
 from .spans import encoder, ranks_of
 
 
@@ -92,10 +93,6 @@ def same_splits(spark: SparkSession, input_bytes: int) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-#: Sequences of texts that this worker process has counted, by vocabulary, pattern and stride, and by digest: repeated texts are encoded once there.
-_counted: dict[tuple[int, str, int], dict[bytes, int]] = {}
-
-
 class Pieces:
     """The sequences of texts, compressed; those of texts seen before come from a cache of bounded size."""
 
@@ -132,51 +129,11 @@ def in_file_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return written(rows, "rows").select("_id", "_text", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
 
 
-def _first_scan(ranks: bytes, pattern: str, stride: int):
-    """From rows (_id, _path, _block, _hash, _at, _keep, _text) in order: the number of sequences, those before in the split, and the sequences of splits that are kept."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, made, known, split, before = encoder(ranks, pattern), Pieces(ranks, pattern, stride), _counted.setdefault((hash(ranks), pattern, stride), {}), None, 0
-
-        def count(x: str | None) -> int:
-            data = (x or "").encode()
-            if len(data) <= stride:  # a token has a byte at least
-                return int(len(data) > 0)
-            name = xxh3_128_digest(data)
-            if name not in known:
-                if len(known) >= 1 << 17:
-                    known.clear()
-                known[name] = -(-e.count(x) // stride)
-            return known[name]
-
-        for batch in batches:
-            for part in slices(batch, 64):
-                n, at, pieces, lengths = [], [], [], []
-                for *here, keep, x in zip(*[part.column(i).to_pylist() for i in (1, 2, 5, 6)]):
-                    if here != split:
-                        split, before = here, 0
-                    cut = made(x) if keep else (None, None)
-                    n.append(len(cut[0]) if keep else count(x))
-                    at.append(before)
-                    before += n[-1]
-                    pieces.append(cut[0])
-                    lengths.append(cut[1])
-                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(n, pa.int64()), pa.array(at, pa.int64()), pa.array(pieces, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int64()))], names=["_id", "_path", "_block", "_hash", "_at", "_keep", "_n", "_before", "_pieces", "_lengths"])
-
-    return run
-
-
-def in_kept_split(share: float):
-    """Whether the ids of a split are kept, from its path and block."""
-    return F.pmod(F.xxhash64("_path", "_block"), F.lit(1 << 20)) < int(share * (1 << 20))
-
-
-def numbered(rows: DataFrame, ranks: bytes, pattern: str, stride: int, keep_share: float = 0.0) -> tuple[DataFrame, DataFrame, int, str]:
-    """From rows of in_file_order: the first number of each split (_f, a hash of its path, _block, _base), the kept rows with their
-    sequences, the number of sequences, and a digest of the rows in their order."""
-    tagged = rows.select("_id", "_path", "_block", F.xxhash64("_id", "_text").alias("_hash"), F.monotonically_increasing_id().alias("_at"), in_kept_split(keep_share).alias("_keep"), "_text")
-    schema = StructType(tagged.schema.fields[:6]).add("_n", LongType()).add("_before", LongType()).add("_pieces", ArrayType(BinaryType())).add("_lengths", ArrayType(LongType()))
-    counts = written(tagged.mapInArrow(_first_scan(ranks, pattern, stride), schema), "counts")
+def numbered(rows: DataFrame, stride: int) -> tuple[DataFrame, int, int, str]:
+    """From rows of in_file_order: the first number of each split (_f, a hash of its path, _block, _base), how many numbers and
+    how many texts with sequences there are, and a digest of the rows in their order."""
+    size = F.ceil(F.coalesce(F.octet_length("_text"), F.lit(0)) / stride).cast("bigint")
+    counts = written(rows.select("_path", "_block", F.xxhash64("_id", "_text").alias("_hash"), F.monotonically_increasing_id().alias("_at"), size.alias("_n")), "counts")
     splits = counts.groupBy("_path", "_block").agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"), F.min("_at").alias("_first"))
     files = Window.orderBy("_path", "_block")  # a row for each split
     before = lambda c: F.sum(c).over(files.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
@@ -185,23 +142,8 @@ def numbered(rows: DataFrame, ranks: bytes, pattern: str, stride: int, keep_shar
     # a row's place over all files, whatever its split and task
     place = F.col("_row") + F.col("_at") - F.col("_first")
     known = counts.join(F.broadcast(splits.select("_path", "_block", "_row", "_first")), ["_path", "_block"])
-    state = known.agg(F.count("*").alias("n"), F.sum(F.xxhash64("_hash", place, "_n").cast("decimal(38,0)")).alias("h")).first()
-    kept = counts.where("_keep").select("_id", F.xxhash64("_path").alias("_f"), "_block", "_before", "_pieces", "_lengths")
-    return splits.select("_f", "_block", "_base"), kept, total, f"{state['n']}/{state['h']}"
-
-
-def _sequences(part: pa.RecordBatch, cuts: list[tuple[list, list, int]], total: int, key: int) -> pa.RecordBatch | None:
-    """A row for each sequence, from the pieces, the lengths and the first number of each row of part."""
-    rows = [r for r, (pieces, _, _) in enumerate(cuts) for _ in pieces]
-    if not rows:
-        return None
-    seq = [i for pieces, _, _ in cuts for i in range(len(pieces))]
-    numbers = np.array([at + i for pieces, _, at in cuts for i in range(len(pieces))], np.int64)
-    lengths, pieces = [n for _, ns, _ in cuts for n in ns], [x for pieces, _, _ in cuts for x in pieces]
-    return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(seq, pa.int64()), pa.array(lengths, pa.int64()), pa.array(permuted(numbers, total, key)), pa.array(pieces, pa.binary())], names=["_id", "_seq", "_len", "_slot", "_ids"])
-
-
-UNCOUNTED = "the input changed between the scans: a split was not counted"
+    state = known.agg(F.count("*").alias("n"), F.count_if(F.col("_n") > 0).alias("texts"), F.sum(F.xxhash64("_hash", place, "_n").cast("decimal(38,0)")).alias("h")).first()
+    return splits.select("_f", "_block", "_base"), total, state["texts"], f"{state['n']}/{state['h']}"
 
 
 def _cut(ranks: bytes, pattern: str, stride: int, total: int, key: int):
@@ -211,36 +153,30 @@ def _cut(ranks: bytes, pattern: str, stride: int, total: int, key: int):
         made, split, at = Pieces(ranks, pattern, stride), None, 0
         for batch in batches:
             for part in slices(batch, 64):
-                cuts = []
-                for x, *here, base in zip(*[part.column(i).to_pylist() for i in range(1, 5)]):
+                rows, numbers, seq, pieces, lengths = [], [], [], [], []
+                sizes = np.ceil(np.asarray(pc.fill_null(pc.binary_length(part.column(1)), 0)) / stride).astype(np.int64).tolist()
+                for r, (size, x, *here, base) in enumerate(zip(sizes, *[part.column(i).to_pylist() for i in range(1, 5)])):
                     if here != split:
                         if base is None:
-                            raise ValueError(UNCOUNTED)
+                            raise ValueError("the input changed between the scans: a split was not counted")
                         split, at = here, base
-                    cuts.append((*made(x), at))
-                    at += len(cuts[-1][0])
-                if out := _sequences(part, cuts, total, key):
-                    yield out
-
-    return run
-
-
-def _numbered_cut(total: int, key: int):
-    """Sequences of the kept rows (_id, _pieces, _lengths, _before, _base)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 64):
-                columns = [part.column(i).to_pylist() for i in range(1, 5)]
-                if None in columns[3]:
-                    raise ValueError(UNCOUNTED)
-                if out := _sequences(part, [(p, n, before + base) for p, n, before, base in zip(*columns)], total, key):
-                    yield out
+                    cut, n = made(x)
+                    lengths += n
+                    rows += [r] * len(cut)
+                    numbers += range(at, at + len(cut))
+                    seq += range(len(cut))
+                    pieces += cut
+                    at += size
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(rows)), pa.array(seq, pa.int64()), pa.array(lengths, pa.int64()), pa.array(permuted(np.array(numbers, np.int64), total, key)), pa.array(pieces, pa.binary())],
+                        names=["_id", "_seq", "_len", "_place", "_ids"],
+                    )
 
     return run
 
 
-def _shards(folder: str, record: int, per_shard: int, total: int, pad: bytes):
+def _shards(folder: str, record: int, per_shard: int, pad: bytes):
     def store(fs, base: str, shard: int, records: list[bytes]) -> None:
         name, size = f"{base}/shard-{shard:08d}.bin", record * len(records)
         if fs.get_file_info(name).size == size:
@@ -254,65 +190,77 @@ def _shards(folder: str, record: int, per_shard: int, total: int, pad: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        unpack, shard, held, last = zstandard.ZstdDecompressor(), None, [], None
+        unpack, shard, held, last = zstandard.ZstdDecompressor(), None, [], -1
         for batch in batches:
-            for slot, ids in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if slot != last + 1 if last is not None else slot % per_shard:
-                    raise ValueError("the input changed between the scans: a slot is missing or there twice")
-                last = slot
-                if slot // per_shard != shard:
+            at = []
+            for place, ids in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if place <= last:
+                    raise ValueError("the input changed between the scans: a place is there twice")
+                last = place
+                if place // per_shard != shard:
                     if held:
                         store(fs, base, shard, held)
-                    shard, held = slot // per_shard, []
+                    shard, held = place // per_shard, []
                 ids = unpack.decompress(ids)
+                at.append(len(held))
                 held.append(ids + pad * ((record - len(ids)) // len(pad)))
-            slots = np.array(batch.column(3))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(slots // per_shard), pa.array(slots % per_shard * record)], names=["_id", "_seq", "_len", "_slot", "_shard", "_at"])
+            places = np.array(batch.column(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places // per_shard), pa.array(at, pa.int64())], names=["_id", "_seq", "_len", "_shard", "_record"])
         if held:
             store(fs, base, shard, held)
 
     return run
 
 
-def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, stride: int = 1024, per_shard: int = 4096, key: int = 20, pad: int | None = None, folder: str | None = None, shards_per_task: int = 8, keep_share: float = 1 / 3) -> DataFrame:
+def write_training_order(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, stride: int = 1024, per_shard: int = 4096, key: int = 20, pad: int | None = None, folder: str | None = None, shards_per_task: int = 16) -> DataFrame:
     """Writes shards, their index and a manifest below folder, and returns the index; without a folder they go to a new one in the
     shared folder, which goes when the driver ends.
 
-    The index: id, seq_no, n_tokens, slot, shard, byte_offset and shard_path of every sequence.  pad: the largest id that fits by default."""
+    The index: id, seq_no, n_tokens, slot, shard, byte_offset and shard_path of every sequence.  per_shard: places of a
+    shard, and so its records at most.  pad: the largest id that fits by default."""
     spark = docs.sparkSession
     ship(spark)
     folder = (folder or scratch_path(spark, "shards")).rstrip("/")
     with same_splits(spark, plan_bytes(docs)):
-        _write(docs, path, pattern, doc_id, text, stride, per_shard, key, pad, folder, shards_per_task, keep_share)
+        _write(docs, path, pattern, doc_id, text, stride, per_shard, key, pad, folder, shards_per_task)
     name = F.concat(F.lit(f"{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
-    return spark.read.parquet(f"{folder}/index").withColumn("shard_path", name)
+    shards = spark.read.parquet(f"{folder}/shards").select("shard", "first_slot")
+    index = spark.read.parquet(f"{folder}/index").join(small(shards), "shard")
+    return index.select(doc_id, "seq_no", "n_tokens", (F.col("first_slot") + F.col("record")).alias("slot"), "shard", "byte_offset", name.alias("shard_path"))
 
 
-def _write(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, stride: int, per_shard: int, key: int, pad: int | None, folder: str, shards_per_task: int, keep_share: float) -> None:
+def _write(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, stride: int, per_shard: int, key: int, pad: int | None, folder: str, shards_per_task: int) -> None:
     spark, ranks = docs.sparkSession, ranks_of(path)
     e = encoder(ranks, pattern)
     pad = int(np.iinfo(e.dtype).max) if pad is None else pad
     rows = in_file_order(docs, doc_id, text)
-    splits, kept, total, digest = numbered(rows, ranks, pattern, stride, keep_share)
-    made_by = {"version": 2, "key": key, "stride": stride, "per_shard": per_shard, "pad": pad, "dtype": e.dtype.str, "sequences": total, "tokenizer": hashlib.sha256(ranks).hexdigest(), "pattern": pattern, "input": digest}
+    splits, total, texts, digest = numbered(rows, stride)
+    made_by = {"version": 3, "key": key, "stride": stride, "per_shard": per_shard, "pad": pad, "dtype": e.dtype.str, "places": total, "texts": texts, "tokenizer": hashlib.sha256(ranks).hexdigest(), "pattern": pattern, "input": digest}
     if _begin(spark, folder, made_by):
         return
     if plan_bytes(splits) > SPLIT_BYTES:
         raise ValueError("too many files for their table to be broadcast; write the input to fewer ones")
-    rows = rows.where(~in_kept_split(keep_share)).select("_id", "_text", F.xxhash64("_path").alias("_f"), "_block").join(F.broadcast(splits), ["_f", "_block"], "left").select("_id", "_text", "_f", "_block", "_base")
-    kept = kept.join(F.broadcast(splits), ["_f", "_block"], "left").select("_id", "_pieces", "_lengths", "_before", "_base")
-    schema = StructType([rows.schema["_id"], *[StructField(c, LongType()) for c in ("_seq", "_len", "_slot")]]).add("_ids", "binary")
-    cut = rows.mapInArrow(_cut(ranks, pattern, stride, total, key), schema).unionAll(kept.mapInArrow(_numbered_cut(total, key), schema))
+    rows = rows.select("_id", "_text", F.xxhash64("_path").alias("_f"), "_block").join(F.broadcast(splits), ["_f", "_block"], "left").select("_id", "_text", "_f", "_block", "_base")
+    schema = StructType([rows.schema["_id"], *[StructField(c, LongType()) for c in ("_seq", "_len", "_place")]]).add("_ids", "binary")
+    cut = rows.mapInArrow(_cut(ranks, pattern, stride, total, key), schema)
     shards = max(1, -(-total // per_shard))
     tasks = -(-shards // shards_per_task)
-    cut = cut.repartitionById(tasks, F.floor(F.floor(F.col("_slot") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("_slot")
-    out = StructType([*schema.fields[:4], StructField("_shard", LongType()), StructField("_at", LongType())])
-    done = cut.mapInArrow(_shards(folder, stride * e.dtype.itemsize, per_shard, total, np.array([pad], e.dtype).tobytes()), out)
-    done = done.select(F.col("_id").alias(doc_id), F.col("_seq").alias("seq_no"), F.col("_len").alias("n_tokens"), F.col("_slot").alias("slot"), F.col("_shard").alias("shard"), F.col("_at").alias("byte_offset"))
+    cut = cut.repartitionById(tasks, F.floor(F.floor(F.col("_place") / per_shard) * tasks / shards).cast("int")).sortWithinPartitions("_place")
+    record = stride * e.dtype.itemsize
+    out = StructType([*schema.fields[:3], StructField("_shard", LongType()), StructField("_record", LongType())])
+    done = cut.mapInArrow(_shards(folder, record, per_shard, np.array([pad], e.dtype).tobytes()), out)
+    done = done.select(F.col("_id").alias(doc_id), F.col("_seq").alias("seq_no"), F.col("_len").alias("n_tokens"), F.col("_shard").alias("shard"), F.col("_record").alias("record"), (F.col("_record") * record).alias("byte_offset"))
     done.write.mode("overwrite").parquet(f"{folder}/index")
-    found = spark.read.parquet(f"{folder}/index").agg(F.count("*"), F.min("slot"), F.max("slot")).first()
-    if tuple(found) != (total, 0 if total else None, total - 1 if total else None):
-        raise ValueError(f"the input changed between the scans: {found[0]} of {total} sequences are written")
+    index = spark.read.parquet(f"{folder}/index")
+    found = index.agg(F.count_if(F.col("seq_no") == 0)).first()[0]
+    if found != texts:
+        raise ValueError(f"the input changed between the scans: {found} of {texts} texts are written")
+    # sums over shards by blocks of them
+    sizes = written(index.groupBy("shard").agg(F.count("*").alias("records")).withColumn("_block", F.floor(F.col("shard") / 4096)), "shards")
+    before = lambda c, *by: F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col(c)
+    blocks = written(sizes.groupBy("_block").agg(F.sum("records").alias("_n")).select("_block", before("_n", "_block").alias("_base")), "blocks")
+    sizes = sizes.join(small(blocks), "_block").withColumn("first_slot", F.col("_base") + before("records", "_block", "shard"))
+    sizes.select("shard", "first_slot", "records").write.mode("overwrite").parquet(f"{folder}/shards")
     write_text(spark, f"{folder}/manifest.json", json.dumps(made_by | {"complete": True}))
 
 
