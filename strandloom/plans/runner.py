@@ -48,6 +48,7 @@ class Config:
     batch: int = 64
     round_ids: int = cover.ROUND_IDS
     cover: str = "lazy"
+    buckets: int = 64
 
 
 def anchor_fingerprint(ids: list[int]) -> str:
@@ -113,11 +114,11 @@ class Stores:
         self.done[name] = {"by": made_by, "files": listing(self.spark, self.path(name))}
         write_text(self.spark, self.path("manifest.json"), json.dumps(self.done))
 
-    def kept(self, name: str, made_by: dict, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], None] = writers.write_store) -> DataFrame:
+    def kept(self, name: str, made_by: dict, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], None] = writers.write_store, read: Callable[[str], DataFrame] | None = None) -> DataFrame:
         if not self.fresh(name, made_by):
             write(make(), self.path(name))
             self.finish(name, made_by)
-        return self.spark.read.parquet(self.path(name))
+        return (read or self.spark.read.parquet)(self.path(name))
 
 
 def run(spark: SparkSession, reads_path: str, run_dir: str, config: Config, *, state_path: str | None = None, restart: bool = False, on_batch=None, progress_every: int = 0) -> DataFrame:
@@ -143,7 +144,9 @@ def run(spark: SparkSession, reads_path: str, run_dir: str, config: Config, *, s
     histogram = stores.kept("histogram", k, lambda: kmers.kmer_histogram(counts))
     lower, upper = spectrum.window_bounds(histogram)
     marks = stores.kept("unikmers", k, lambda: spectrum.unikmers(counts, lower, upper))
-    barcoded = stores.kept("barcodes", k, lambda: B.barcodes(every, marks, config.k), sorted_by("read_int"))
+    # in buckets of read_int, so that bridges, index and bins meet the barcodes without an exchange of them
+    in_buckets = lambda df, path: writers.write_bucketed(df, path, "read_int", config.buckets)
+    barcoded = stores.kept("barcodes", by("k", "buckets"), lambda: B.barcodes(every, marks, config.k), in_buckets, lambda path: readers.read_bucketed(spark, path, "read_int", config.buckets))
     distribution = stores.kept("distribution", k, lambda: binning.barcode_distribution(barcoded))
     binning_by = by("k", "genome_size", "coverage")
     min_bases = binning.min_bin_bases(config.genome_size, config.coverage)
@@ -193,7 +196,7 @@ def write_reports(stores: Stores, histogram, distribution, barcoded, binned, ind
 #: Options: the name, its type, and the field of Config (the name, if it is the same).
 OPTIONS = (
     ("k", int), ("min-overlap", int), ("key", int), ("stride", int), ("query-stride", int), ("fraction", float), ("cap", int), ("max-depth", int), ("top-k", int),
-    ("max-expansions", int), ("genome-size", int), ("coverage", float), ("batch", int), ("cover", str), ("round-ids", int),
+    ("max-expansions", int), ("genome-size", int), ("coverage", float), ("batch", int), ("cover", str), ("round-ids", int), ("buckets", int),
 )
 
 

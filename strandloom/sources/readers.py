@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import number_lines, number_rows
 from ..functions.sequences import canonical
-from ..functions.storage import listing
+from ..functions.storage import listing, qualified, small, written
 from .scan import SPLIT_BYTES, can_open, scan_records
+from .writers import FENCE
 
 READ_SCHEMA = "read_id string, read_int bigint, file_ord bigint, seq string, read_len int"
 
@@ -105,6 +107,31 @@ def barcode_of(barcodes: DataFrame, read_int: int) -> tuple[int, list[int]]:
     return row["read_len"], list(row["barcode"])
 
 
+def read_bucketed(spark: SparkSession, path: str, column: str, buckets: int) -> DataFrame:
+    """A table that write_bucketed wrote with the same column and number of buckets."""
+    name, columns = f"strandloom_{uuid.uuid4().hex}", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{column}`) SORTED BY (`{column}`) INTO {int(buckets)} BUCKETS LOCATION '{qualified(spark, path)}'")
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # of other files than its own: they stay, and the table's plan has them
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """key, read_int, file_ord, start of the index at a path (see write_head_index) for a table of keys (key).
+
+    Only the files between whose first and last keys some key lies are read.  Repeated keys are looked up once.
+    """
+    keys = written(keys.select("key").distinct(), "asked")
+    fence = spark.read.parquet(f"{path.rstrip('/')}{FENCE}")  # a row for each file
+    files = keys.join(F.broadcast(fence), F.col("key").between(F.col("first"), F.col("last"))).select("file").distinct()
+    found = sorted(r["file"] for r in files.collect())
+    schema = spark.read.parquet(path).schema
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*found).join(small(keys), "key", "left_semi")
+
+
 def postings_of(head_index: DataFrame, key: list[int], k: int) -> list[int]:
     """Reads of one key in posting order, repeats kept; ValueError for a key of another length."""
     if len(key) != k:

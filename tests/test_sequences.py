@@ -232,6 +232,57 @@ def test_bridges_of_long_anchors(spark):
     assert [r["read_int"] for r in overlap.direct_bridges(b, anchors, 100).collect()] == [2]
 
 
+def test_bucketed_barcodes_are_not_exchanged(spark, tmp_path):
+    """Barcodes in buckets of read_int meet what joins them by read_int without being sent anywhere."""
+    rng, path = random.Random(17), str(tmp_path / "barcodes")
+    b = coded(spark, {i: [rng.randrange(9) for _ in range(rng.randint(0, 30))] for i in range(300)})
+    for _ in range(2):  # a second write replaces the first
+        writers.write_bucketed(b, path, "read_int", 5)
+    stored = readers.read_bucketed(spark, path, "read_int", 5)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, b.collect())) and not [t for t in spark.catalog.listTables() if t.name.startswith("strandloom_")]
+    chosen = b.where("read_int < 20").withColumnRenamed("barcode", "kept")
+    want = sorted(map(tuple, overlap.direct_bridges(b, chosen, 2).collect()))
+    old = {n: spark.conf.get(n, None) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = overlap.direct_bridges(stored, chosen, 2)
+        assert sorted(map(tuple, got.collect())) == want != []
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    lines = [(len(x) - len(x.lstrip(" :+-*()0123456789")), x) for x in plan.splitlines()]
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    for i, (depth, x) in enumerate(lines):
+        if "Exchange hashpartitioning" in x:
+            below = lines[i + 1 : next((j for j in range(i + 1, len(lines)) if lines[j][0] <= depth), len(lines))]
+            assert not any("Bucketed: true" in y for _, y in below)
+
+
+def test_end_hashes():
+    rng = random.Random(1)
+    for n in (1, 2, 7, 300):
+        a = [rng.randrange(-5, 5) for _ in range(n)]
+        first, last = overlap.end_hashes(np.array(a, np.int64))
+        for size in range(1, n + 1):
+            assert first[size - 1] == overlap.end_hashes(np.array(a[:size], np.int64))[0][-1]
+            assert last[size - 1] == overlap.end_hashes(np.array(a[n - size :], np.int64))[0][-1]
+    assert len({overlap.end_hashes(np.array(x, np.int64))[0][-1] for x in ([1, 2], [2, 1], [1, 1], [2, 2], [1, 2, 0], [0, 1, 2])}) == 6
+
+
+def test_bridges_of_a_repeated_id(spark, monkeypatch):
+    """An anchor of one id at 20,000 places; each read meets all of them, and one slice of each is compared."""
+    b = coded(spark, {0: [7] * 20_000, 1: list(range(100, 400)), **{i: [7] * (90 + 10 * i) + list(range(100, 250)) for i in range(2, 8)}, 8: [7] * 300 + [5] + list(range(100, 250)), 9: [7] * 50 + list(range(100, 250))})
+    anchors = b.where("read_int < 2").withColumnRenamed("barcode", "kept")
+    assert sorted(r["read_int"] for r in overlap.direct_bridges(b, anchors, 100).collect()) == list(range(2, 9))
+    # hashes that say nothing: the ids decide
+    monkeypatch.setattr(overlap, "end_hashes", lambda x: (np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)))
+    few = coded(spark, {0: [7] * 30, 1: list(range(100, 130)), 2: [7] * 12 + list(range(100, 115)), 3: [7] * 12 + [5] + list(range(101, 115)), 4: [7] * 11 + list(range(100, 111))})
+    anchors = few.where("read_int < 2").withColumnRenamed("barcode", "kept")
+    assert sorted(r["read_int"] for r in overlap.direct_bridges(few, anchors, 10).collect()) == [2, 4]
+
+
 def test_bridges_against_a_model(spark):
     rng = random.Random(8)
     lists = {i: [rng.randrange(6) for _ in range(rng.randint(0, 9))] for i in range(120)}
@@ -262,6 +313,49 @@ def test_index_lookup_and_counters(spark):
     assert barcodes.read_stats(b).where("read_id = '2'").first()["n_barcodes"] == 2
 
 
+def test_fenced_lookup(spark, tmp_path):
+    """Many keys at once read the files that hold them, and no others."""
+    rng = random.Random(21)
+    b = coded(spark, {i: [rng.randrange(50) for _ in range(60)] for i in range(200)})
+    index, path = overlap.head_index(b, k=3), str(tmp_path / "index")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_head_index(index, path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    every = {tuple(r["key"]): 0 for r in index.collect()}
+    files = len(spark.read.parquet(path).inputFiles())
+    low = [[7, x, y] for x in range(4) for y in range(50)] + [[99, 0, 0], [7, 1, 1]]
+    got = readers.lookup(spark, path, spark.createDataFrame([(x,) for x in low], "key array<bigint>"))
+    want = sorted((r["key"], r["read_int"], r["start"]) for r in index.collect() if r["key"] in low)
+    assert sorted((r["key"], r["read_int"], r["start"]) for r in got.collect()) == want != []
+    assert files > 20 and len(got.inputFiles()) <= 4 and (99, 0, 0) not in every
+    assert readers.lookup(spark, path, spark.createDataFrame([([99, 0, 0],)], "key array<bigint>")).count() == 0
+    assert readers.lookup(spark, path, spark.createDataFrame([], "key array<bigint>")).count() == 0
+
+
+def test_a_hot_key(spark):
+    """One key in thousands of reads: its pairs are dealt out evenly, and the edges are those of the plain join."""
+    rng = random.Random(4)
+    tails = [(i, [1, 2]) for i in range(3000)] + [(i, [3, rng.randrange(40)]) for i in range(300)]
+    heads = [(i, [1, 2]) for i in range(1500)] + [(i, [3, rng.randrange(40)]) for i in range(300)]
+    tails, heads = spark.createDataFrame(tails, "src bigint, key array<bigint>"), spark.createDataFrame(heads, "dst bigint, key array<bigint>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = overlap.pairs_by_key(tails, heads, 100_000, 64)
+        of_task = got.where("key[0] = 1").groupBy(F.spark_partition_id().alias("p")).count().orderBy("count").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    counts = [r["count"] for r in of_task]
+    assert sum(counts) == 3000 * 1500 and counts[-1] <= 2 * counts[len(counts) // 2] and len(counts) >= 4
+    plain = tails.join(heads, "key").select("key", "src", "dst")
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("key", "src", "dst").cast("decimal(38,0)"))).first()
+    assert digest(got) == digest(plain)
+
+
 def model_paths(edges, source, targets, depth, k, cap):
     """Breadth-first search with a queue."""
     found, used, queue = [], 0, deque([((source,), 0)])
@@ -573,7 +667,7 @@ def reads_file(tmp_path_factory):
     return str(path)
 
 
-ARGS = ["--genome-size", "600000", "--coverage", "0.1", "--min-overlap", "20", "--key", "5", "--max-depth", "3", "--top-k", "3", "--max-expansions", "60", "--batch", "3", "--progress-every", "3"]
+ARGS = ["--genome-size", "600000", "--coverage", "0.1", "--min-overlap", "20", "--key", "5", "--max-depth", "3", "--top-k", "3", "--max-expansions", "60", "--batch", "3", "--progress-every", "3", "--buckets", "3"]
 
 
 def stored(spark, folder, name):
