@@ -60,8 +60,8 @@ OF_ARTICLES, LEADS, NEGATIONS = words("article content entry post story"), words
 #: Elements that a new one of theirs ends, inside the nearest of the others.
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist")}
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+# quotes count after an equals sign alone, and only if they end
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 PART = re.compile(r"[-_:]+|(?<=[a-z0-9])(?=[A-Z])")
 
@@ -192,7 +192,7 @@ class Page:
                 self.breaks = 0
 
     def read(self, html: str) -> list[Line]:
-        at, tag = 0, TAG
+        at = 0
         while (mark := html.find("<", at)) >= 0:
             self.say(html[at:mark])
             at = mark
@@ -206,12 +206,9 @@ class Page:
                 self.say("<")
                 at = mark + 1
             else:
-                found = tag.match(html, mark)
-                if not found and tag is TAG:  # a quote without its end: from here on quotes mean nothing
-                    tag = LOOSE
-                    found = tag.match(html, mark)
-                if not found:
-                    at = mark + 1 if html.find(">", mark) >= 0 else len(html)
+                found = TAG.match(html, mark)
+                if not found:  # a tag without its end
+                    at = len(html)
                     continue
                 at, name = found.end(), found[2].lower()
                 if found[1]:

@@ -1,0 +1,106 @@
+"""Main text of pages: pages made with a known article, HTML's odd cases, and the given pages against a plain reading."""
+
+import html as H
+import random
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandloom.llm import main_text, registry
+from strandloom.llm.main_text import main_text as text_of
+
+WORDS = "the of and a river stone Größe café naïve über 漢字 AT&T x<y 1,234 \"quoted\" it's end".split()
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def paragraphs(rng, least=1):
+    return [sentence(rng, rng.choice([1, 2, 8, 30, 80])) for _ in range(rng.randint(least, 8))]
+
+
+def marked_up(rng, text):
+    """The text with inline markup, references and white space that do not change it."""
+    out = []
+    for w in text.split():
+        w = H.escape(w) if rng.random() < 0.7 else "".join(f"&#{ord(c)};" if rng.random() < 0.3 or c in "<&" else c for c in w)
+        kind = rng.randrange(9)
+        out.append(f"<b>{w}</b>" if kind == 0 else f'<a href="/x?a>b">{w}</a>' if kind == 1 else f"<!-- no -->{w}" if kind == 2 else f"<span class=x>{w}" + "</span>" if kind == 3 else w)
+    return rng.choice([" ", "\n", " \t ", "&nbsp;", "<br>"]).join(out)
+
+
+def links(rng, n):
+    return "".join(f'<li><a href="/{i}">{H.escape(sentence(rng, 2))}</a></li>' for i in range(n))
+
+
+@pytest.mark.parametrize("kind", ["semantic", "named", "bare", "form"])
+def test_made_pages(kind):
+    rng = random.Random(kind)
+    for _ in range(150):
+        ps = paragraphs(rng, 3 if kind == "bare" else 1)
+        if kind == "bare":  # nothing but lengths tells: long paragraphs at both ends
+            ps[0], ps[-1] = sentence(rng, 60), sentence(rng, 60)
+        body = [f"<p>{marked_up(rng, p)}" + rng.choice(["</p>", "", "</p>\n"]) for p in ps]
+        title = sentence(rng, 5)
+        noise = f"<style>p{{}}</style><script>if (a < b) document.write('</p><article>no')</script>"
+        if kind in ("semantic", "form"):
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = [rng.choice(['<aside><p>no no no</p></aside>', '<div class="ad-slot"><p>Buy</p></div>', '<form>Mail <input> <button>Go</button></form>', "<div hidden>no</div>", "<nav><ul>" + links(rng, 4) + "</ul></nav>", noise])]
+            inner = f"<article><header><h1>{marked_up(rng, title)}</h1></header>{''.join(body)}<footer>by none</footer></article>"
+            want = [title, *ps]
+            page = f"<!DOCTYPE html><html><head><title>no</title>{noise}</head><body><header><h2>Site name that is long enough to be a line of text in its own right, or so</h2></header><nav>{links(rng, 6)}</nav>{inner}<section id=comments><article class=comment><p>{H.escape(sentence(rng, 90))}</p></article></section><footer>&copy; none</footer>" + rng.choice(["</body></html>", ""])
+            if kind == "form":
+                page = page.replace("<body>", '<body><form id="page" action="/">')
+        elif kind == "named":
+            want = ps
+            page = f"<html><body><div id='header'><h1>Site</h1></div><div class='sidebarLeft'>{H.escape(sentence(rng, 70))}</div><div class='content'>{''.join(body)}</div><div class='cookie-notice'>We use cookies. {H.escape(sentence(rng, 50))}</div><div id='user-comments'><p>{H.escape(sentence(rng, 99))}</p></div><div class='site-footer'>no</div></body></html>"
+        else:
+            want = ps
+            page = f"<html><body><div><a href=/>Home</a></div><div><div><ul>{links(rng, 9)}</ul></div></div><div><div>{''.join(body)}</div></div><div><div><p>Imprint</p></div></div></body></html>"
+        assert text_of(page) == "\n".join(" ".join(p.split()) for p in want), page
+
+
+@pytest.mark.parametrize("page, want", [
+    (None, ""), ("", ""), ("   \n ", ""), ("plain words", "plain words"), ("a &lt; b &amp;amp; &#x41;&#0; &bogus; &copy", "a < b &amp; A� &bogus; ©"),
+    ("<p>one<p>two", "one\ntwo"), ("<p>a<br>b<br/>c</p><p>d<br><br>e</p>", "a b c\nd\ne"), ("<p>x < y and 3<4 <3</p>", "x < y and 3<4 <3"),
+    ("<p title='a>b' data-x=\"<p>\">t</p>", "t"), ('<p title="open>one</p><p>two</p>', "one\ntwo"), ("<p>a<!-- x > y --><!--->b-->c</p>", "ab-->c"), ("<p>a<!-- never closed <p>b", "a"),
+    ("<script>no", ""), ("<STYLE>no</STYLE ><P>Yes</P>", "Yes"), ("<textarea>no</textarea><p>y</p>", "y"), ("<nav>only menus</nav>", ""), ("<td>a<td>b<tr><td>c", "a\nb\nc"),
+    ("<ul><li>a<li>b</ul>c", "a\nb\nc"), ("<p>a</b></i></p></div>b", "a\nb"), ("<div class=ad>no<div>no</div>no</div><p>y</p>", "y"), ("<p class=notice>no<p>y", "y"), ("<svg/><p>y</p>", "y"),
+    ("<p>ﬁ x　y</p>", "ﬁ x y"), ("<form><p>whole page</p></form>", "whole page"), ("</>a<>b<?php no?>c", "ab<>c".replace("ab<>", "a<>b")), ("<article></article>", ""), ("<p>a<", "a<"), ("<p>a</", "a"), ("<p>a<b", "a"),
+])
+def test_odd_pages(page, want):
+    assert text_of(page) == want
+
+
+def test_long_and_hostile_pages_take_linear_time():
+    for piece in ("<!--", "<a title=\"", "<div>", "</div>", "<p>word ", "<article>", "<a", "<", "&", "&#", "<script", "<svg><p>", "<b><i></b>", "<!", "<li>", "<br>"):
+        began = time.time()
+        text_of(piece * 100_000)
+        assert time.time() - began < 10, piece
+    long = sentence(random.Random(1), 300_000)
+    assert text_of(f"<article><p>{H.escape(long)}</p></article>") == long
+
+
+def test_pages_of_the_table(spark):
+    """All given pages against a reading that knows their one layout."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in registry.op11_html_main_text(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == pages.count()
+    for r in pages.collect():
+        article = r["html"][r["html"].index("<article>") : r["html"].index("</article>")]
+        lines = [" ".join(H.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", article)]
+        want = "\n".join(x for x in lines if x)
+        assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"], got[r["page_id"]]["url"]) == (want, len(want), r["url"])
+
+
+def test_rows_of_pages(spark):
+    schema = "page_id bigint, url string, html string, text string, n_chars int, _text string, _value int"
+    rows = [(1, "u", "<p>a🙂</p>", "x", 1, "y", 2), (1, "u", "<p>a🙂</p>", "x", 1, "y", 2), (None, None, "<p>b</p>", None, None, None, None), (2, "v", None, None, None, None, None), (3, "w", "", None, None, None, None)]
+    got = main_text.extract_text(spark.createDataFrame(rows, schema))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", "a🙂", 2), (1, "u", "a🙂", 2), (None, None, "b", 1), (2, "v", "", 0), (3, "w", "", 0)], key=str)
+    assert main_text.extract_text(spark.createDataFrame([], schema)).count() == 0
+    assert got.agg(F.sum(F.length("text") - F.col("n_chars"))).first()[0] == 0

@@ -89,3 +89,26 @@ def test_cosines_at_the_very_threshold(spark):
     for t in sorted(cosines)[5:8]:
         got = {r["vec_id"]: r for r in embedding_dedup.embedding_duplicates(frame, threshold=t).collect()}
         assert all((got[2 * i]["n_links"] > 0) == (got[2 * i + 1]["component_id"] == 2 * i) == (c >= t) for i, c in enumerate(cosines))
+
+
+@pytest.mark.parametrize("copies, cases", [(1, 20), (3, 20), (12, 20), (100, 8)])
+def test_passages_made_of_frequent_snippets(spark, copies, cases):
+    """Passages of 96 words, two of them changed, so that no run of 50 is equal, while overlapping snippets of 48 of their words stand in many earlier documents."""
+    rng = random.Random(copies)
+    word = lambda: f"v{rng.randrange(3000)}"
+    some = lambda n: [word() for _ in range(n)]
+    texts, pairs = [], []
+    passages = [some(96) for _ in range(cases)]
+    for p in passages:
+        for at in (0, 24, 48):
+            texts += [some(20) + p[at : at + 48] + some(20) for _ in range(copies)]
+    rng.shuffle(texts)
+    for p in passages:
+        changed = list(p)
+        for i in (30 + rng.randrange(4), 62 + rng.randrange(4)):
+            changed[i] = "other"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [some(30) + p + some(30), some(30) + changed + some(30)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.repeated_passages(docs).where("n_words >= 90").collect()}
+    assert sum((b, a) in found for a, b in pairs) >= 0.9 * cases
