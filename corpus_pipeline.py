@@ -4,8 +4,9 @@ Every stage works on all rows that its predecessor kept, and is written as Parqu
 again by the next one.  Stages 1 to 4 return the columns of ``documents``; the last returns
 the digests of the encoded documents, a row for each copy that the mix takes.
 
-Nulls, empty texts, ties, repeated rows and empty tables have the results that the stages'
-operators state; documents without a letter go in the first stage.
+Nulls, empty and very long texts, ties, repeated rows and empty tables have the results that the stages'
+operators state; documents without a letter go in the first stage.  Further columns travel through stages 1 to 4
+under numbers, so that their names cannot clash.
 """
 
 from __future__ import annotations

@@ -79,8 +79,8 @@ class ByteBPE:
     """A tokenizer from ranks (bytes to id) and a pattern of pieces."""
 
     #: Entries of a generation of the cache (the older of two goes when the younger is full), the longest piece in it in
-    #: characters, and bytes of unknown pieces that are merged together.  So a generation has 10 million characters at most.
-    CACHE, LONGEST, TOGETHER = 150_000, 64, 1 << 19
+    #: characters, and bytes of unknown pieces that are merged together.  So a generation has 26 million characters at most, and about 100 MB with usual pieces.
+    CACHE, LONGEST, TOGETHER = 400_000, 64, 1 << 19
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
@@ -112,12 +112,15 @@ class ByteBPE:
             at += len(p)
             after[at - 1] = -1
         queue = RankQueue(size)
-        push = queue.push
+        push, buckets = queue.push, queue.buckets
         for i in range(n):
             j = after[i]
             if j >= 0 and (r := pairs.get(token[i] * size + token[j], -1)) >= 0:
                 rank_at[i] = r
-                push(r, i)
+                if (bucket := buckets[r]) is None:
+                    push(r, i)
+                else:
+                    bucket.append(i)
         while (rank := queue.first()) >= 0:
             todo = queue.take(rank)
             todo.sort()
@@ -133,7 +136,10 @@ class ByteBPE:
                     before[j] = i
                     r = rank_at[i] = pairs.get(rank * size + token[j], -1)
                     if r >= 0:
-                        push(r, i)
+                        if (bucket := buckets[r]) is None:
+                            push(r, i)
+                        else:
+                            bucket.append(i)
                         lower = r < rank
                 else:
                     rank_at[i] = -1
@@ -141,7 +147,10 @@ class ByteBPE:
                 if j >= 0:
                     r = rank_at[j] = pairs.get(token[j] * size + rank, -1)
                     if r >= 0:
-                        push(r, j)
+                        if (bucket := buckets[r]) is None:
+                            push(r, j)
+                        else:
+                            bucket.append(j)
                         lower = lower or r < rank
                 if lower:  # never with trained ranks
                     for i in todo[k + 1 :]:

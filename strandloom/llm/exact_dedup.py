@@ -14,6 +14,7 @@ a third of all rows costs one row for each task.
 
 Defined results: a null text counts as empty.  Of equal texts the smallest id stays; null
 ids come last.  Repeated rows (same id and text) count each, and one of them stays.
+Texts of any length are hashed whole.
 Empty tables give empty tables.  Other columns are not read, so their names cannot clash.
 """
 

@@ -21,7 +21,8 @@ documents, and over its buckets by ranges, so no task holds a source or all its
 Defined results: size of a null or empty text is 0, and such documents take 0 words.  A
 null source is a source.  Rows with equal ids are separate documents; a null id is an id.
 Untaken documents have the positions (1 or more) that they would have were training to go
-on.  Empty tables give empty tables.  Columns other than the named ones travel inside one
+on.  Ties in the seeded order go by id and size; documents equal in both may change places, with equal results.
+Texts of any length are counted whole, and are cut by words where a copy is.  Empty tables give empty tables.  Columns other than the named ones travel inside one
 struct, so their names cannot clash.
 """
 

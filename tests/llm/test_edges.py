@@ -78,6 +78,24 @@ def test_searches_and_sections(spark, docs, library):
     assert got == [(0, 2, 0), (1, 2, 0), (1, 2, 0), (2, 0, 2), (3, 0, 3)]
 
 
+def test_empty_tables_alone(docs):
+    none = docs.limit(0)
+    for made in (exact_dedup.exact_dedup(none), line_dedup.dedup_lines(none), near_dedup.near_duplicates(none), bpe.round_trip_digests(none, PATH, PATTERN), language_id.language_id(none), mixing.mix_plan(none), substring_dedup.repeated_passages(none), token_counts.count_tokens(none, PATH, PATTERN), token_output.write_training_order(none, PATH, PATTERN)):
+        assert made.count() == 0 and made.columns
+
+
+def test_lines_beyond_the_largest_filter(spark):
+    """A filter that is far too small suspects nearly all lines, and the result is the same."""
+    rng = random.Random(12)
+    common = [f"a line that several documents hold {i}" for i in range(300)]
+    texts = ["\n".join(rng.choice(common) if rng.random() < 0.2 else f"a line of its own {i} {j} {rng.random()}" for j in range(60)) for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    exact = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
+    for bits in (1 << 16, 1 << 18):
+        assert sorted(map(tuple, line_dedup.dedup_lines(docs, max_bits=bits).collect())) == exact
+    assert sum(r[3] for r in exact) > 10_000
+
+
 def test_language_of_ties_and_repeats(spark):
     """Equal dictionaries tie: the first language by code point, rejected; repeated rows have equal results."""
     learned = {"bb": b"one two three", "aa": b"one two three"}
