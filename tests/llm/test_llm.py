@@ -592,7 +592,8 @@ def test_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     got = registry.queries()[name](spark, folder).toPandas()
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for table in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     want = con.execute(registry.oracle_sql()[name]).df()
     columns = sorted(want.columns)
     a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want))
