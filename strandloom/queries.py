@@ -386,7 +386,7 @@ def oracle_sql() -> dict[str, str]:
         "universe": _sql(*coded, select="SELECT DISTINCT unnest(b) AS unikmer_id FROM bc"),
         "universe_lineitem": "SELECT DISTINCT l_partkey AS unikmer_id FROM lineitem",
         "champion_anchors": _sql(*champ, select="SELECT read_id, read_int, CAST(n AS INTEGER) AS n_kept, CAST(read_len AS INTEGER) AS read_len FROM ch"),
-        "cover_coverage": _sql(*champ, select="SELECT (SELECT count(*) FROM champ) AS n_anchors, count(DISTINCT u) FILTER (WHERE read_int IN (SELECT read_int FROM champ)) AS covered, count(DISTINCT u) AS universe_size, 100.0::DOUBLE AS pct FROM held"),
+        "cover_coverage": _sql(*champ, select="SELECT (SELECT count(*) FROM champ) AS n_anchors, covered, universe_size, round(100.0::DOUBLE * covered / universe_size, 6) AS pct FROM (SELECT count(DISTINCT u) FILTER (WHERE read_int IN (SELECT read_int FROM champ)) AS covered, count(DISTINCT u) AS universe_size FROM held)"),
         "anchors_lazy_greedy": _sql(*lazy, select=f"SELECT CAST(sel - 1 AS INTEGER) AS sel_ord, read_id, read_int, {join('b')} AS kept, CAST(read_len AS INTEGER) AS read_len FROM ch"),
         "anchors_by_rounds": _sql(*coded, _ROUNDS, select=f"SELECT CAST(sel_ord AS INTEGER) AS sel_ord, read_id, read_int, {join('rem')} AS kept, CAST(read_len AS INTEGER) AS read_len FROM ranked JOIN bc USING (read_int)"),
         "greedy_coverage": _sql(*lazy, select="SELECT n_anchors, covered, universe_size, round(100.0::DOUBLE * covered / universe_size, 6) AS pct FROM (SELECT count(*) AS n_anchors FROM ch), (SELECT count(DISTINCT u) AS covered FROM (SELECT unnest(b) AS u FROM ch)), (SELECT count(DISTINCT u) AS universe_size FROM (SELECT unnest(b) AS u FROM bc))"),
