@@ -18,6 +18,8 @@ from strandloom.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from strandloom.llm.common import ship, small_batches, written
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+#: Pieces of a generation of the tokenizer's cache: fewer than usual, since its workers hold what other stages have left.
+CACHE = 150_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
     small_batches(spark)
-    return bpe.round_trip_digests(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, cache=CACHE)
 
 
 STAGES = [("language_id", identify_language), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mix_sources", mix_sources), ("encode", encode)]

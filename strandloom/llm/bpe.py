@@ -82,7 +82,8 @@ class ByteBPE:
     #: characters, and bytes of unknown pieces that are merged together.  So a generation has 26 million characters at most, and about 100 MB with usual pieces.
     CACHE, LONGEST, TOGETHER = 400_000, 64, 1 << 19
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
+        self.most = cache
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.size = max(ranks.values()) + 1
         self.vocab = {i: b for b, i in ranks.items()}
@@ -195,7 +196,7 @@ class ByteBPE:
         yield from self._encode(group)
 
     def _encode(self, group: list[list[str]]) -> Iterator[list[int]]:
-        if len(self.cache) > self.CACHE:
+        if len(self.cache) > self.most:
             self.cache, self.old = {}, self.cache
         if unknown := set(chain.from_iterable(group)).difference(self.cache):
             again = unknown & self.old.keys()
@@ -212,14 +213,14 @@ class ByteBPE:
         return b"".join(map(self.vocab.__getitem__, ids))
 
 
-_loaded: dict[tuple[int, str], ByteBPE] = {}
+_loaded: dict[tuple[int, str, int], ByteBPE] = {}
 
 
-def tokenizer(ranks: bytes, pattern: str) -> ByteBPE:
+def tokenizer(ranks: bytes, pattern: str, cache: int = ByteBPE.CACHE) -> ByteBPE:
     """One tokenizer for each worker process, from the lines of its vocabulary."""
-    name = (hash(ranks), pattern)
+    name = (hash(ranks), pattern, cache)
     if name not in _loaded:
-        _loaded[name] = ByteBPE(parsed(ranks), pattern)
+        _loaded[name] = ByteBPE(parsed(ranks), pattern, cache)
     return _loaded[name]
 
 
@@ -244,12 +245,12 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> Da
     return mapped(rows, rows.columns, ids, [StructField("decoded", BinaryType())], make)
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, cache: int = ByteBPE.CACHE) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes each text and returns digests in place of both."""
     ranks = ranks_of(path)
 
     def make(texts):
-        t = tokenizer(ranks, pattern)
+        t = tokenizer(ranks, pattern, cache)
         counts, of_ids, of_bytes = [], [], []
         for ids in t.encode_many(texts):
             counts.append(len(ids))
