@@ -232,6 +232,25 @@ def test_bridges_of_long_anchors(spark):
     assert [r["read_int"] for r in overlap.direct_bridges(b, anchors, 100).collect()] == [2]
 
 
+def test_rounds_end_in_one_task(spark):
+    """Rounds on the cluster and the rounds of one task take the same reads in the same order, and a long tail of rounds needs few jobs."""
+    rng = random.Random(3)
+    lists = {r: [rng.randrange(120) for _ in range(rng.randrange(0, 14))] for r in range(80)}
+    # a chain: each read waits for the one before it
+    lists |= {100 + i: [1000 + i, 1001 + i] for i in range(40)}
+    b = spark.createDataFrame([(str(r), r, 10, x, len(x)) for r, x in lists.items()], "read_id string, read_int bigint, read_len int, barcode array<bigint>, n_barcodes int")
+    want = sorted(map(tuple, cover.anchors_by_rounds(b, 30).collect()))
+    tracker = spark.sparkContext
+    tracker.setJobGroup("rounds", "rounds")
+    try:
+        found = cover.anchors_by_rounds(b)
+        jobs = len(tracker.statusTracker().getJobIdsForGroup("rounds"))
+    finally:
+        tracker._jsc.clearJobGroup()
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 30
+    assert jobs < 40
+
+
 def test_bucketed_barcodes_are_not_exchanged(spark, tmp_path):
     """Barcodes in buckets of read_int meet what joins them by read_int without being sent anywhere."""
     rng, path = random.Random(17), str(tmp_path / "barcodes")
