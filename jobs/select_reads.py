@@ -39,7 +39,7 @@ def run(spark: SparkSession, reads: str, out: str, config: dict | None = None, c
     table = spark.read.parquet(reads).select("doc_id", "text")
     log.info("reads: %d rows of %s", table.count(), reads)
     every = adapters.reads_from_documents(spread(table))
-    kept = spark.read.parquet(counts) if counts else written(kmers.code_counts(every, c["k"]), "counts")
+    kept = spark.read.parquet(counts) if counts else written(kmers.code_counts(every, c["k"], least=spectrum.LEAST_LOWER), "counts")
     marks = spectrum.unikmers(kept, *spectrum.window_bounds(kmers.kmer_histogram(kept)))
     barcoded = written(B.barcodes(every, marks, c["k"]), "barcodes")
     binned = written(binning.bin_reads(barcoded, c["genome_size"], c["coverage"]), "bins")

@@ -10,10 +10,12 @@ import struct
 from collections import Counter, deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
+from strandloom.functions.ordering import spread
 from strandloom.operators import barcodes, binning, cover, kmers, overlap, paths, selection, spectrum
 from strandloom.plans import runner, search_log
 from strandloom.sources import adapters, readers, writers
@@ -251,6 +253,34 @@ def test_rounds_end_in_one_task(spark):
     assert jobs < 40
 
 
+def test_rare_kmers_are_counted_without_their_codes(spark):
+    """Spectra need no rows of rare k-mers; counted whole or in parts, histogram and frequent k-mers are the same."""
+    rng = random.Random(4)
+    part = "".join(rng.choice("ACGT") for _ in range(60))
+    seqs = ["".join(rng.choice("ACGT") for _ in range(80)) + part * (i % 3) for i in range(30)]
+    reads = spark.createDataFrame([(str(i), i, i, s, len(s)) for i, s in enumerate(seqs)], "read_id string, read_int bigint, file_ord bigint, seq string, read_len int")
+    every = kmers.code_counts(reads, 21)
+    want, often = sorted(map(tuple, kmers.kmer_histogram(every).collect())), sorted((r["code"], r["n"]) for r in every.where("n >= 5").collect())
+    for kw in ({}, {"bucket_bytes": 500, "hot_bytes": 600}, {"bucket_bytes": 500, "hot_bytes": 0}):
+        some = kmers.code_counts(reads, 21, least=5, **kw)
+        assert sorted(map(tuple, kmers.kmer_histogram(some).collect())) == want
+        rows = some.collect()
+        assert sorted((r["code"], r["n"]) for r in rows if r["code"] is not None) == often and len(rows) < every.count()
+
+
+def test_letters_of_texts():
+    """The bases of a text's letters, also of a slice of a batch, of nulls and of letters beyond ASCII."""
+    texts = pa.array(["aB c1", None, "", "Z\u00e9~q", "\u212a\u0130x"])
+    assert adapters.bases_of(texts).to_pylist() == ["ACG", "", "", "CA", "T"]
+    assert adapters.bases_of(texts.slice(1, 3), "q").to_pylist() == ["", "", "CN"]
+    assert adapters.bases_of(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_tasks_do_not_grow_with_the_input(spark):
+    """Rows are dealt out in tasks of a bounded size, also when there are more than a task for each core."""
+    assert spread(spark.range(1 << 16), 1 << 14).rdd.getNumPartitions() == 32
+
+
 def test_bucketed_barcodes_are_not_exchanged(spark, tmp_path):
     """Barcodes in buckets of read_int meet what joins them by read_int without being sent anywhere."""
     rng, path = random.Random(17), str(tmp_path / "barcodes")
