@@ -5,9 +5,9 @@
 Sequencing goes on until the spectrum has its peak, so counts are wanted after each delivery, without counting old reads
 again.  A run takes the files that no earlier run has taken (a file stream; its progress is in ``out/checkpoint``):
 
-1. Each micro-batch writes its k-mers' counts to ``new/batch=N`` and its sources' yields to ``yields/batch=N``.
+1. Each micro-batch writes its k-mers, as packed runs of bases by minimizer, to ``new/batch=N`` and its sources' yields to ``yields/batch=N``.
    A batch that is repeated after a stop replaces its own folders, so each read counts once.
-2. What batches have brought since the last run is added to the totals.  Totals lie in two places in turn: the old ones stay
+2. What batches have brought since the last run is counted and added to the totals.  Totals lie in two places in turn: the old ones stay
    whole until the new ones are, and then ``marks`` gets a row that names the place and the last batch in it.  A run that
    stops in between adds the same batches to the same old totals again.
 3. The histogram is written anew from the totals, as CSV.
@@ -30,6 +30,12 @@ from strandloom.sources import adapters, writers
 KNOWN = {"k": 21, "prefix": 2, "files_per_batch": 1000}
 
 
+#: Buckets of minimizers, the same for all batches.
+BUCKETS = 1 << 12
+#: Packed runs of a task that counts them: some six million k-mers, which are sorted in memory.
+TASK_BYTES = 8 << 20
+
+
 def last_mark(spark: SparkSession, out: str) -> dict | None:
     """The newest row of the marks: batch, place, k, prefix."""
     marks = read_parquet(spark, f"{out}/marks")
@@ -64,7 +70,7 @@ def take_new(spark: SparkSession, reads: str, out: str, c: dict) -> None:
 
     def add(batch: DataFrame, number: int) -> None:
         every = adapters.reads_from_documents(batch.select("doc_id", "text"))
-        counted(kmers.code_counts(every, c["k"]), lambda w: w.mode("overwrite").parquet(f"{out}/new/batch={number}"), f"{out}/new/batch={number}")
+        counted(kmers.packed_runs(every, c["k"], BUCKETS), lambda w: w.mode("overwrite").parquet(f"{out}/new/batch={number}"), f"{out}/new/batch={number}")
         of = batch.select("source", F.length(adapters.letters("text")).cast("bigint").alias("_len")).groupBy("source").agg(F.count("*").alias("reads"), F.sum("_len").alias("bases"))
         counted(of, lambda w: w.mode("overwrite").parquet(f"{out}/yields/batch={number}"), f"{out}/yields/batch={number}")
 
@@ -86,12 +92,14 @@ def add_to_totals(spark: SparkSession, out: str, c: dict) -> bool:
     if last is None:
         return False
     k, p, place = c["k"], c["prefix"], 1 - max(mark["place"], 0)
-    both = totals(spark, out).select("code", "n").unionAll(new.select("code", "n"))
-    summed = both.groupBy("code").agg(F.sum("n").alias("n"))
+    summed = kmers.run_counts(new.select("bucket", "runs"), k, task_bytes=TASK_BYTES)
+    if mark["batch"] >= 0:  # without old totals each code is there once
+        summed = totals(spark, out).select("code", "n").unionAll(summed).groupBy("code").agg(F.sum("n").alias("n"))
     summed = summed.withColumn("prefix", kmers.decoded(F.shiftright("code", 2 * (k - p)), p))
     path = f"{out}/totals/place={place}"
-    # prefixes of any size become files of like size
-    counted(summed.hint("rebalance", "prefix"), lambda w: w.mode("overwrite").partitionBy("prefix").parquet(path), path)
+    # no further shuffle: a task writes a file of each prefix; codes in order are stored by their small differences
+    summed = summed.sortWithinPartitions("prefix", "code")
+    counted(summed, lambda w: w.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("prefix").parquet(path), path)
     set_mark(spark, out, mark | {"batch": last, "place": place})
     return True
 
