@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import counted, log, main
-from strandloom.functions.ordering import spread
-from strandloom.functions.storage import written
+from strandloom.functions.storage import plan_bytes, written
 from strandloom.operators import barcodes as B
 from strandloom.operators import binning, cover, kmers, overlap, selection, spectrum
 from strandloom.sources import adapters, writers
@@ -38,8 +37,8 @@ def run(spark: SparkSession, reads: str, out: str, config: dict | None = None, c
         raise ValueError("the genome is too small for bins")
     table = spark.read.parquet(reads).select("doc_id", "text")
     log.info("reads: %d rows of %s", table.count(), reads)
-    every = adapters.reads_from_documents(spread(table))
-    kept = spark.read.parquet(counts) if counts else written(kmers.code_counts(every, c["k"], least=spectrum.LEAST_LOWER), "counts")
+    every = adapters.kept_reads(table)
+    kept = spark.read.parquet(counts) if counts else written(kmers.code_counts(every, c["k"], least=spectrum.LEAST_LOWER, size=plan_bytes(table)), "counts")
     marks = spectrum.unikmers(kept, *spectrum.window_bounds(kmers.kmer_histogram(kept)))
     barcoded = written(B.barcodes(every, marks, c["k"]), "barcodes")
     binned = written(binning.bin_reads(barcoded, c["genome_size"], c["coverage"]), "bins")

@@ -121,6 +121,12 @@ def test_selected_reads(spark, rows, tmp_path):
     got = table(first)
     assert len(got) == len(rows) and {r["read_id"] for r in first.collect()} == {str(r[0]) for r in rows}
     assert table(select_reads.run(spark, reads, out, config)) == got
+    # reads are dealt out once, not by each step that takes them
+    dealt, barcodes = [], select_reads.B.barcodes
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(select_reads.B, "barcodes", lambda r, *a: dealt.append("RoundRobin" in r._jdf.queryExecution().toString()) or barcodes(r, *a))
+        assert table(select_reads.run(spark, reads, out, config)) == got
+    assert dealt == [False]
     kmer_spectrum.run(spark, reads, spectrum, {"k": 21})
     place = kmer_spectrum.last_mark(spark, spectrum)["place"]
     first = select_reads.run(spark, reads, out, config, f"{spectrum}/totals/place={place}")

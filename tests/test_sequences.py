@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
+from strandloom.functions import storage
 from strandloom.functions.ordering import spread
 from strandloom.operators import barcodes, binning, cover, kmers, overlap, paths, selection, spectrum
 from strandloom.plans import runner, search_log
@@ -107,6 +108,33 @@ def test_a_hot_minimizer(spark):
     assert dict(map(tuple, kmers.kmer_counts(reads, 21).collect())) == want
 
 
+def test_runs_are_shuffled_once_and_not_written(spark, monkeypatch):
+    """Counting writes no runs, and what some reads tell wrongly about large buckets changes no count."""
+    rng = random.Random(19)
+    seqs = ["A" * 3000] * 5 + ["".join(rng.choice("ACGT") for _ in range(400)) for _ in range(50)]
+    reads = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "read_int bigint, seq string").repartition(3)
+    tags = []
+    monkeypatch.setattr(kmers, "written", lambda df, tag, *a: tags.append(tag) or storage.written(df, tag, *a))
+    whole = sorted(map(tuple, kmers.code_counts(reads, 21, bucket_bytes=500).collect()))
+    assert not tags
+    for told in ([], [1], list(range(1000))):
+        monkeypatch.setattr(kmers, "hot_buckets", lambda *a: (told, 4))
+        assert sorted(map(tuple, kmers.code_counts(reads, 21, bucket_bytes=500).collect())) == whole
+        rare = kmers.kmer_histogram(kmers.code_counts(reads, 21, least=5, bucket_bytes=500))
+        assert sum(r["freq"] * r["n_kmers"] for r in rare.collect()) == sum(n for _, n in whole)
+    assert "runs" not in tags
+
+
+def test_hot_buckets_from_some_of_the_reads(spark):
+    """A minimizer of many reads is told by a share of them, with the parts that its bucket needs."""
+    rng = random.Random(20)
+    seqs = ["A" * 4000] * 300 + ["".join(rng.choice("ACGT") for _ in range(4000)) for _ in range(300)]
+    reads = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "read_int bigint, seq string").repartition(3)
+    hot, parts = kmers.hot_buckets(reads, 21, 64, 16 << 20, 100_000)
+    assert len(hot) == 1 and parts >= 2
+    assert kmers.hot_buckets(reads, 21, 64, 1 << 20, 16 << 20) == ([], 1)
+
+
 def test_filter_of_unikmers(spark, monkeypatch):
     """With more unikmers than are broadcast, the k-mers that reach the join are the hits and a small share of the others."""
     rng = random.Random(13)
