@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom import queries
 from strandloom.functions import sequences as S
 from strandloom.functions import storage
 from strandloom.functions.ordering import spread
@@ -135,6 +136,14 @@ def test_hot_buckets_from_some_of_the_reads(spark):
     assert kmers.hot_buckets(reads, 21, 64, 1 << 20, 16 << 20) == ([], 1)
 
 
+def test_queries_on_barcodes_deal_reads_out_once(spark, monkeypatch):
+    """Barcodes take the reads that counting took, as they were written, and do not deal the texts out again."""
+    dealt, made = [], barcodes.barcodes
+    monkeypatch.setattr(barcodes, "barcodes", lambda r, *a: dealt.append("RoundRobin" in r._jdf.queryExecution().toString()) or made(r, *a))
+    assert queries.q_barcode_distribution(spark, "/root/testdata/sf0.01").agg(F.sum("n_reads")).first()[0] == 1000
+    assert dealt == [False]
+
+
 def test_filter_of_unikmers(spark, monkeypatch):
     """With more unikmers than are broadcast, the k-mers that reach the join are the hits and a small share of the others."""
     rng = random.Random(13)
