@@ -336,6 +336,45 @@ def test_fuzzy_passages_whose_lines_are_elsewhere(spark, copies):
     assert {r["doc_id"] for r in got} == set(want)
 
 
+def test_matches_against_all_places():
+    """Equal k-mers of two texts, those that the other repeats by their number; in runs each fifth and the last."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        words = rng.integers(0, 1 << 32, 12 if rng.random() < 0.5 else 400, np.uint64).astype(np.uint32)
+        a, b = (words[rng.integers(0, len(words), 150)] for _ in range(2))
+        b[40:90] = a[20:70]
+        b[95:125] = np.tile(a[:2], 15)
+        a[100:130] = b[90:120]
+        x, y, times = substring_dedup.matches(substring_dedup.Shingles(a, 5), substring_dedup.Shingles(b, 5), 5)
+        one, two = ([tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in (a.tolist(), b.tolist()))
+        number = lambda t: [t[:i].count(g) for i, g in enumerate(t)]
+        want = {(i, j) for i, g in enumerate(one) for j, h in enumerate(two) if g == h and (two.count(g) <= 4 or number(one)[i] == number(two)[j])}
+        assert set(zip(x.tolist(), y.tolist())) <= want and len(set(zip(x.tolist(), y.tolist()))) == len(x)
+        runs = {(i, j) for i, j in want if (i - 1, j - 1) not in want}
+        kept = {(i + n, j + n) for i, j in runs for n in range(150) if (i + n, j + n) in want and all((i + m, j + m) in want for m in range(n)) and (n % 5 == 0 or (i + n + 1, j + n + 1) not in want)}
+        assert set(zip(x.tolist(), y.tolist())) == kept
+        assert times.tolist() == ([two.count(g) for g in one] if any(two.count(g) > 4 for g in one) else [])
+
+
+def test_comparing_texts_hashes_their_words_once(monkeypatch):
+    """Texts without an equal run are not hashed in windows, and hashes that are compared alone are not mixed."""
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 1 << 32, 300, np.uint64).astype(np.uint32) for _ in range(2))
+    b[100:190] = a[60:150]
+    b[120::9] += 1
+    b[:30] = np.tile(a[:1], 30)  # more than four times in the other text
+    a[:12] = a[0]
+    want = substring_dedup.passages(substring_dedup.Shingles(a, 5), substring_dedup.Shingles(b, 5), 5, 0.05, 50, 0.8)
+    assert want and want[0][0] <= 60 and want[0][1] >= 145
+
+    def none(*args):
+        raise AssertionError("hashed again")
+
+    monkeypatch.setattr(substring_dedup, "window_hashes", none)
+    monkeypatch.setattr(substring_dedup, "shingles", none)
+    assert substring_dedup.passages(substring_dedup.Shingles(a, 5), substring_dedup.Shingles(b, 5), 5, 0.05, 50, 0.8) == want
+
+
 def test_chains_against_all_predecessors():
     rng = np.random.default_rng(8)
     for _ in range(50):
