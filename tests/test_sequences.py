@@ -163,6 +163,24 @@ def test_filter_of_unikmers(spark, monkeypatch):
     assert barcodes.suspected_codes(reads.where("read_int < 20"), few, n, 21).count() == hits
 
 
+def test_suspects_are_the_windows_that_the_filter_holds():
+    rng = np.random.default_rng(6)
+    seqs = ["".join(rng.choice(list("ACGTN"), n, p=[0.248] * 4 + [0.008])) for n in rng.integers(0, 3000, 40)] + [None, "", "ACGT" * 5]
+    code, of, pos = kmers.window_codes(seqs, 21)
+    marks = rng.choice(code, 300)
+    bits = 1 << 15
+    full = np.zeros(bits, bool)
+    for at in barcodes._spots(marks, bits):
+        full[at] = True
+    known = np.packbits(full, bitorder="little")
+    hit = np.all([full[at] for at in barcodes._spots(code, bits)], axis=0)
+    assert hit.sum() >= 300
+    for got, want in zip(barcodes.suspects(seqs, known, 21), (code[hit], of[hit], pos[hit])):
+        assert got.tolist() == want.tolist()
+    assert [len(x) for x in barcodes.suspects(["ACGT"], known, 21)] == [0, 0, 0]
+    assert [len(x) for x in barcodes.suspects(seqs, np.zeros_like(known), 21)] == [0, 0, 0]
+
+
 def test_frequency_window(spark):
     h = spark.createDataFrame([(0, 7), (1, 1000), (2, 100), (3, 50), (4, 45), (5, 60), (6, 80), (7, 60), (8, 40)], "freq bigint, n_kmers bigint")
     row = spectrum.frequency_window(h).first()
