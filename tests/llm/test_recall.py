@@ -112,3 +112,61 @@ def test_passages_made_of_frequent_snippets(spark, copies, cases):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
     found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.repeated_passages(docs).where("n_words >= 90").collect()}
     assert sum((b, a) in found for a, b in pairs) >= 0.9 * cases
+
+
+def test_short_passages_made_of_frequent_snippets(spark):
+    """Passages of 60 words with two words changed, too short for far contexts, while overlapping snippets of 40 of their words stand in
+    thirty earlier documents each: all seeds are frequent, in their contexts too, and first holders lack the passage."""
+    rng = random.Random(5)
+    some = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    texts, pairs = [], []
+    passages = [some(60) for _ in range(20)]
+    for p in passages:
+        for at in (0, 10, 20):
+            texts += [some(20) + p[at : at + 40] + some(20) for _ in range(30)]
+    rng.shuffle(texts)
+    for p in passages:
+        changed = list(p)
+        for i in (18 + rng.randrange(4), 38 + rng.randrange(4)):
+            changed[i] = "other"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [some(30) + p + some(30), some(30) + changed + some(30)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.repeated_passages(docs).where("n_words >= 55").collect()}
+    print(f"short passages: {sum((b, a) in found for a, b in pairs)} of {len(pairs)}")
+    assert all((b, a) in found for a, b in pairs)
+
+
+def test_alike_places_are_those_of_all_pairs():
+    """Large and small units, with blocks that meet across and without, against counts of common words for every pair."""
+    rng = np.random.default_rng(6)
+    k, n, reach = 5, 700, 45 + substring_dedup.unaligned(50, 0.8)
+    codes = rng.integers(1, 40, (n, 2 * reach + k)).astype(np.uint32)
+    for i in range(1, n, 2):  # half of them are changed copies of others
+        codes[i] = codes[rng.integers(0, i)]
+        at = rng.random(codes.shape[1]) < rng.uniform(0, 0.6)
+        codes[i, at] = rng.integers(1, 40, at.sum())
+    words = np.concatenate([substring_dedup.around(c, np.array([reach]), k, reach) for c in codes])
+    doc, tag = rng.permutation(n), rng.integers(0, 3, n)
+    opened = rng.random(n) < 0.7
+    unit = np.sort(np.concatenate([np.zeros(400, int), np.ones(250, int), rng.integers(2, 9, 50)]))
+    across = unit % 2 == 1
+    side = np.where(across, rng.integers(0, 2, n), 0)
+    a, b = substring_dedup.alike(doc, tag, opened, side, unit, words, k, 50, 0.8, across)
+    got = set(zip(a.tolist(), b.tolist()))
+    assert len(got) == len(a)
+
+    def common(x, y):
+        return sum(min((x == w).sum(), (y == w).sum()) for w in np.unique(x[x > 0]))
+
+    can = lambda i, j: unit[i] == unit[j] and doc[j] < doc[i] and opened[i] and (tag[i] != tag[j] or not tag[i]) and (not across[i] or side[i] != side[j])
+    some = 0
+    for i in rng.choice(n, 60, replace=False):
+        for j in range(n):
+            if can(i, j):
+                left, right = (common(words[i, s : s + 45], words[j, s : s + reach]) for s in (0, reach))
+                if left + right >= 35 or max(left, right) >= 26:
+                    some += 1
+                    assert (doc[i], doc[j]) in got
+    at = np.argsort(doc)
+    assert some > 20 and all(can(at[i], at[j]) for i, j in got)
