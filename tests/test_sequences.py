@@ -308,6 +308,40 @@ def test_rounds_end_in_one_task(spark):
     assert jobs < 40
 
 
+def model_rounds(lists):
+    """Rounds as they are told: a read is taken if none that shares an open id with it has more open occurrences; ties to the smaller."""
+    left, out = {r: list(x) for r, x in lists.items() if x}, []
+    while left:
+        rank = {r: (-len(x), r) for r, x in left.items()}
+        first = {u: min(rank[r] for r, x in left.items() if u in x) for u in {u for x in left.values() for u in x}}
+        wins = sorted(r for r, x in left.items() if all(first[u] == rank[r] for u in x))
+        out += sorted(((r, left[r]) for r in wins), key=lambda t: rank[t[0]])
+        covered = {u for r in wins for u in left[r]}
+        left = {r: y for r, x in left.items() if r not in wins and (y := [u for u in x if u not in covered])}
+    return out
+
+
+def test_rounds_of_copies_and_of_ids_that_stay_together(spark):
+    """Copies of reads, in another order too, and ids that the same reads hold need no rounds on the cluster; results are those of the plain rounds."""
+    rng = random.Random(8)
+    lists = {3 * r: [rng.randrange(30) for _ in range(rng.randrange(0, 9))] for r in range(25)}
+    lists |= {300 + 3 * i: [100 + i, 101 + i] for i in range(25)}  # each waits for the one before it
+    lists = {r: [5 * u + i for u in x for i in range(5)] for r, x in lists.items()}
+    lists |= {r + 1: x for r, x in lists.items()} | {r + 2: x[::-1] for r, x in lists.items()}
+    lists[0] = [*lists[0], 7, 7, 8]  # some ids of one class twice, some once
+    want = model_rounds(lists)
+    for round_ids in (200, 1 << 20):
+        spark.sparkContext.setJobGroup(f"rounds {round_ids}", "rounds")
+        try:
+            found = cover.anchors_by_rounds(coded(spark, lists), round_ids)
+            jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds {round_ids}"))
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        assert [(r["read_int"], r["kept"]) for r in found.orderBy("sel_ord").collect()] == want
+        assert jobs < 40
+    assert len(want) > 20 and sum(map(len, lists.values())) > 6 * 200
+
+
 def test_rare_kmers_are_counted_without_their_codes(spark):
     """Spectra need no rows of rare k-mers; counted whole or in parts, histogram and frequent k-mers are the same."""
     rng = random.Random(4)
