@@ -114,6 +114,39 @@ def test_passages_made_of_frequent_snippets(spark, copies, cases):
     assert sum((b, a) in found for a, b in pairs) >= 0.9 * cases
 
 
+def test_copies_of_whole_texts_grow_no_step(spark, monkeypatch):
+    """With thirty copies of each document, the first ones have the rows that they have alone, each copy that of a copy, and no more seeds meet."""
+    rng = random.Random(12)
+    some = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    texts = {i: some(120) for i in range(12)}
+    for i in (3, 6, 9):  # passages with a changed word
+        texts[i][30:90] = texts[i - 1][40:100]
+        texts[i][60] = "other"
+    rows = [(i, " ".join(x)) for i, x in texts.items()]
+    # a text as before and one of its own; equal words in other letters; a short text; none
+    rows += [(50, rows[0][1]), (50, " ".join(some(20) + texts[1][10:90])), (60, rows[2][1].upper()), (70, "a few words"), (80, None)]
+    made = {}
+    written = substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, tag: made.setdefault(tag, written(df, tag)))
+
+    def run(copies):
+        made.clear()
+        every = [(i + 100 * k, x) for k in range(copies) for i, x in rows]
+        found = substring_dedup.repeated_passages(spark.createDataFrame(every, "doc_id bigint, text string"))
+        return {tuple(r) for r in found.collect()}, made["met"].count()
+
+    alone, met = run(1)
+    assert {(50, 0, 120, 0), (60, 0, 120, 2)} <= {r[:4] for r in alone} and {(3, 2), (6, 5), (9, 8), (50, 1)} <= {(r[0], r[3]) for r in alone}
+    among, met_among = run(30)
+    first = {}
+    for i, x in rows:
+        first.setdefault((x or "").lower(), i)
+    whole = {(i + 100 * k, first[(x or "").lower()]) for k in range(1, 30) for i, x in rows}
+    size = {first[x]: len(x.split()) for x in first}
+    assert among == alone | {(i, 0, size[o], o, 0, size[o], size[o]) for i, o in whole if size[o] >= 50}
+    assert met_among == met
+
+
 def test_short_passages_made_of_frequent_snippets(spark):
     """Passages of 60 words with two words changed, too short for far contexts, while overlapping snippets of 40 of their words stand in
     thirty earlier documents each: all seeds are frequent, in their contexts too, and first holders lack the passage."""
